@@ -244,4 +244,130 @@ def sql_catalog() -> dict[str, str]:
         "e AS (SELECT col, value, n1, n0, (n1 + n0) * sum(n1) OVER (PARTITION BY col) / sum(n1 + n0) OVER (PARTITION BY col) AS e1, "
         "(n1 + n0) * sum(n0) OVER (PARTITION BY col) / sum(n1 + n0) OVER (PARTITION BY col) AS e0, "
         "sum(n1 + n0) OVER (PARTITION BY col) AS n, count(*) OVER (PARTITION BY col) AS r FROM g)")
+    q.update(_rule_catalog())
+    return q
+
+
+_FEATS = ["Contract", "tenure", "InternetService", "PaymentMethod", "TechSupport", "OnlineSecurity"]
+_PHI = {
+    "Contract": "CASE Contract WHEN 'Month-to-month' THEN 0.30 WHEN 'One year' THEN -0.10 WHEN 'Two year' THEN -0.15 ELSE 0.0 END",
+    "tenure": "CASE WHEN tenure <= 12 THEN 0.22 WHEN tenure >= 48 THEN -0.14 ELSE 0.0 END",
+    "InternetService": "CASE InternetService WHEN 'Fiber optic' THEN 0.14 WHEN 'No' THEN -0.12 ELSE 0.0 END",
+    "PaymentMethod": "CASE PaymentMethod WHEN 'Electronic check' THEN 0.10 ELSE -0.02 END",
+    "TechSupport": "CASE TechSupport WHEN 'No' THEN 0.08 WHEN 'Yes' THEN -0.04 ELSE 0.0 END",
+    "OnlineSecurity": "CASE OnlineSecurity WHEN 'No' THEN 0.08 WHEN 'Yes' THEN -0.04 ELSE 0.0 END",
+}
+_REASON = ("(CASE feature WHEN 'Contract' THEN customer_value || ' contract' "
+           "WHEN 'tenure' THEN customer_value || '-month tenure' "
+           "WHEN 'TechSupport' THEN 'tech support: ' || customer_value "
+           "WHEN 'PaymentMethod' THEN customer_value || ' payment method' "
+           "WHEN 'InternetService' THEN customer_value || ' internet service' "
+           "ELSE feature || ' = ' || customer_value END) || ' ' || "
+           "(CASE WHEN v > 0 THEN 'increases' WHEN v < 0 THEN 'decreases' ELSE 'has no measurable effect on' END)"
+           " || ' this customer''s predicted churn risk.'")
+
+
+def _rule_catalog() -> dict[str, str]:
+    from churnkit.operators.metrics import threshold_grid
+
+    q: dict[str, str] = {}
+    scored = ("scored AS (SELECT *, Churn AS y, round_even(p, 4) AS churn_probability, "
+              "round_even(least(greatest(p * 100.0, 0.0), 100.0), 1) AS churn_probability_pct, "
+              "CASE WHEN round_even(p, 4) > 0.7 THEN 'Critical' WHEN round_even(p, 4) >= 0.5 THEN 'High' "
+              "WHEN round_even(p, 4) >= 0.3 THEN 'Medium' ELSE 'Low' END AS risk_tier "
+              f"FROM (SELECT *, {SYNTH_P} AS p FROM clean))")
+    contrib = "contrib AS (SELECT customerID, risk_tier, " + ", ".join(
+        [f"{f}" for f in _FEATS] + [f"CAST({_PHI[f]} AS DOUBLE) AS phi_{f}" for f in _FEATS]) + " FROM scored)"
+    long = "dl AS (" + " UNION ALL ".join(
+        f"SELECT customerID, risk_tier, '{f}' AS feature, {i} AS ord, CAST({f} AS VARCHAR) AS customer_value, "
+        f"phi_{f} AS v FROM contrib" for i, f in enumerate(_FEATS)) + ")"
+    drivers = ("drv AS (SELECT customerID, risk_tier, CAST(rank AS INT) AS rank, feature, customer_value, "
+               f"round_even(v, 4) AS shap_value, CASE WHEN v > 0 THEN 'increases' WHEN v < 0 THEN 'decreases' "
+               f"ELSE 'neutral' END AS direction, {_REASON} AS reason FROM (SELECT *, row_number() OVER "
+               "(PARTITION BY customerID ORDER BY abs(v) DESC, ord) AS rank FROM dl) WHERE rank <= 3)")
+    from churnkit import constants as KK
+    rules = values_table("rules", "rfeature, rvalue, raction, rcategory",
+                         [(r["feature"], r["value"], r["action"], r["category"]) for r in KK.DRIVER_ACTION_RULES])
+    base = values_table("base", "btier, baction, bcategory",
+                        [(t, v["action"], v["category"]) for t, v in KK.TIER_BASE_ACTIONS.items()])
+    acts = ("acts AS (SELECT d.customerID, d.risk_tier, d.rank, d.feature, r.raction, r.rcategory FROM drv d "
+            "JOIN rules r ON d.feature = r.rfeature AND (CASE WHEN r.rfeature = 'tenure' "
+            "THEN TRY_CAST(d.customer_value AS DOUBLE) <= 12 ELSE d.customer_value = r.rvalue END) "
+            "WHERE d.direction = 'increases')")
+    q["validated_subscribers"] = with_clean("SELECT customerID, true AS is_valid, '' AS errors FROM clean")
+    q["charge_outliers"] = with_clean(
+        "SELECT customerID, TotalCharges FROM clean, f WHERE TotalCharges < lo OR TotalCharges > hi",
+        "f AS (SELECT quantile_cont(TotalCharges, 0.25) - 1.5 * (quantile_cont(TotalCharges, 0.75) - "
+        "quantile_cont(TotalCharges, 0.25)) AS lo, quantile_cont(TotalCharges, 0.75) + 1.5 * "
+        "(quantile_cont(TotalCharges, 0.75) - quantile_cont(TotalCharges, 0.25)) AS hi FROM clean)")
+    q["head_customers"] = with_clean(
+        "SELECT customerID, tenure, Contract, MonthlyCharges, Churn FROM clean ORDER BY customerID LIMIT 10")
+    q["rule_scored_tiers"] = with_clean(
+        "SELECT customerID, churn_probability, churn_probability_pct, risk_tier FROM scored", scored)
+    q["rule_tier_summary"] = with_clean(
+        "SELECT d.risk_tier, CAST(coalesce(c.n, 0) AS BIGINT) AS count, "
+        "CASE WHEN (SELECT count(*) FROM scored) > 0 THEN round_even(coalesce(c.n, 0) / "
+        "CAST((SELECT count(*) FROM scored) AS DOUBLE) * 100.0, 2) ELSE 0.0 END AS pct FROM dim d "
+        "LEFT JOIN (SELECT risk_tier, count(*) AS n FROM scored GROUP BY 1) c ON d.risk_tier = c.risk_tier",
+        scored, values_table("dim", "risk_tier, ord", [(t, i) for i, t in enumerate(KK.RISK_TIER_ORDER_DESC)]))
+    q["rule_observed_rate_by_tier"] = with_clean(
+        "SELECT s.risk_tier, CAST(count(*) AS BIGINT) AS customers, round_even(avg(c.Churn) * 100.0, 2) AS churn_rate "
+        "FROM scored s JOIN clean c ON s.customerID = c.customerID GROUP BY s.risk_tier", scored)
+    g = ("g AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg "
+         "FROM scored GROUP BY p)")
+    r = ("r AS (SELECT *, sum(pos) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos, "
+         "sum(neg) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM g)")
+    q["rule_metrics"] = with_clean(
+        "SELECT round_even(auc_num / (P * N), 6) AS auc, round_even(ap_num / P, 6) AS pr_auc, "
+        "round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, "
+        "round_even(CASE WHEN P > 0 THEN tp / P ELSE 0.0 END, 6) AS recall, "
+        "round_even(CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END, 6) AS f1, "
+        "round_even(sq / (P + N), 6) AS brier FROM (SELECT sum(pos) AS P, sum(neg) AS N, "
+        "sum(neg * (cum_pos - pos + pos / 2.0)) AS auc_num, sum(pos * cum_pos / (cum_pos + cum_neg)) AS ap_num, "
+        "sum(CASE WHEN p >= 0.5 THEN pos ELSE 0.0 END) AS tp, sum(CASE WHEN p >= 0.5 THEN neg ELSE 0.0 END) AS fp, "
+        "sum(pos * power(p - 1.0, 2) + neg * power(p, 2)) AS sq FROM r) t", scored, g, r)
+    q["rule_ece"] = with_clean(
+        "SELECT round_even(coalesce(sum(c * abs(acc - conf)) / sum(c), 0.0), 6) AS ece FROM ("
+        "SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS c, avg(p) AS conf, "
+        "avg(CAST(y AS DOUBLE)) AS acc FROM scored GROUP BY 1)", scored)
+    grid = threshold_grid()
+    grid_sql = "[" + ", ".join(repr(t) for t in grid) + "]"
+    gridv = values_table("grid", "slot, threshold", [(i + 1, t) for i, t in enumerate(grid)])
+    curve = ("curve AS (SELECT gr.slot, gr.threshold, sum(CASE WHEN s.slot >= gr.slot THEN s.pos ELSE 0.0 END) AS tp, "
+             "sum(CASE WHEN s.slot >= gr.slot THEN s.neg ELSE 0.0 END) AS fp, (SELECT sum(pos) FROM sl) AS P "
+             "FROM grid gr, sl s GROUP BY gr.slot, gr.threshold)")
+    sl = (f"sl AS (SELECT CAST(len(list_filter({grid_sql}, lambda t: t <= p)) AS INT) AS slot, "
+          "CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM scored GROUP BY 1)")
+    f1 = "CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END"
+    q["rule_threshold_curve"] = with_clean(
+        f"SELECT CAST(slot AS INT) AS slot, threshold, round_even({f1}, 6) AS f1 FROM curve", scored, gridv, sl, curve)
+    q["rule_tuned_threshold"] = with_clean(
+        f"SELECT threshold AS tuned_threshold, round_even({f1}, 6) AS best_f1 FROM curve "
+        f"ORDER BY {f1} DESC, threshold ASC LIMIT 1", scored, gridv, sl, curve)
+    edges = "[" + ", ".join(repr(x / 10) if False else repr(float(e)) for e in __import__("numpy").linspace(0, 1, 11)[1:-1]) + "]"
+    q["rule_reliability_curve"] = with_clean(
+        f"SELECT CAST(len(list_filter({edges}, lambda e: e < p)) AS INT) AS bin, round_even(avg(p), 6) AS mean_predicted, "
+        "round_even(avg(CAST(y AS DOUBLE)), 6) AS fraction_positive, CAST(count(*) AS BIGINT) AS count "
+        "FROM scored GROUP BY 1", scored)
+    q["rule_drivers"] = with_clean(
+        "SELECT customerID, rank, feature, customer_value, shap_value, direction, reason FROM drv",
+        scored, contrib, long, drivers)
+    action_rows = ("ar AS (SELECT customerID, risk_tier, CAST(1 AS INT) AS priority, bcategory AS category, "
+                   "baction AS action, 'tier' AS source, CAST(NULL AS VARCHAR) AS driver_feature "
+                   "FROM scored JOIN base ON risk_tier = btier UNION ALL "
+                   "SELECT customerID, risk_tier, CAST(1 + k AS INT), rcategory, raction, 'driver', feature FROM ("
+                   "SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY rank) AS k FROM ("
+                   "SELECT *, row_number() OVER (PARTITION BY customerID, raction ORDER BY rank) AS dup FROM acts) "
+                   "WHERE dup = 1) WHERE k <= 2)")
+    q["rule_actions"] = with_clean(
+        "SELECT customerID, risk_tier, priority, category, action, source, driver_feature FROM ar",
+        scored, contrib, long, drivers, rules, base, acts, action_rows)
+    q["rule_tier_action_categories"] = with_clean(
+        "SELECT risk_tier, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories "
+        "FROM ar GROUP BY risk_tier", scored, contrib, long, drivers, rules, base, acts, action_rows)
+    q["rule_global_importance"] = with_clean(
+        "SELECT col AS \"column\", round_even(m, 4) AS mean_abs_shap FROM (" + " UNION ALL ".join(
+            f"SELECT '{f}' AS col, avg(abs(phi_{f})) AS m FROM contrib" for f in _FEATS)
+        + ") ORDER BY round_even(m, 4) DESC, col LIMIT 10",
+        scored, contrib)
     return q

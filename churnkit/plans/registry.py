@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
-from churnkit.operators import association, clean, cohorts, eda, kpi
+from churnkit.operators import association, clean, cohorts, drivers, eda, kpi, metrics, recommend, tiers
 from churnkit.sources.subscribers import raw_subscribers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,54 @@ def _base_queries() -> dict[str, Query]:
     }
 
 
+def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean subscribers + the model-free rule score ``p`` + tier."""
+    df = tiers.rule_score(cleaned(spark, sf_dir))
+    scored = df.select(K.ID_COLUMN, K.TARGET_COLUMN, F.col(K.TARGET_COLUMN).alias("y"), "p",
+                       *[c for c in df.columns if c not in (K.ID_COLUMN, K.TARGET_COLUMN, "p")])
+    scored = scored.withColumn("churn_probability", F.bround("p", K.PROBABILITY_DECIMALS)).withColumn(
+        "churn_probability_pct", tiers.probability_pct(F.col("p")))
+    return tiers.assign_risk_tiers(scored)
+
+
+def rule_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rule_scored(spark, sf_dir)
+    contrib = drivers.rule_contributions(s, keep=["risk_tier"])
+    feats = list(drivers.RULE_CONTRIBUTIONS)
+    d = contrib.select(K.ID_COLUMN, "risk_tier", drivers.top_drivers(contrib, feats).alias("shap_top_drivers"))
+    return d.withColumn("actions", recommend.recommend_actions(F.col("risk_tier"), F.col("shap_top_drivers")))
+
+
+def _rule_queries() -> dict[str, Query]:
+    feats = list(drivers.RULE_CONTRIBUTIONS)
+    return {
+        "validated_subscribers": lambda s, d: clean.validate(clean.prepare_scoring_input(raw(s, d))).select(
+            K.ID_COLUMN, "is_valid", F.array_join("errors", ";").alias("errors")),
+        "charge_outliers": lambda s, d: clean.iqr_outliers(cleaned(s, d), "TotalCharges").select(
+            K.ID_COLUMN, "TotalCharges"),
+        "head_customers": lambda s, d: cleaned(s, d).orderBy(K.ID_COLUMN).limit(10).select(
+            K.ID_COLUMN, "tenure", "Contract", "MonthlyCharges", K.TARGET_COLUMN),
+        "rule_scored_tiers": lambda s, d: rule_scored(s, d).select(
+            K.ID_COLUMN, "churn_probability", "churn_probability_pct", "risk_tier"),
+        "rule_tier_summary": lambda s, d: tiers.risk_tier_summary(rule_scored(s, d)),
+        "rule_observed_rate_by_tier": lambda s, d: tiers.observed_rate_by_tier(rule_scored(s, d), cleaned(s, d)),
+        "rule_metrics": lambda s, d: metrics.classification_metrics(rule_scored(s, d)),
+        "rule_ece": lambda s, d: metrics.expected_calibration_error(rule_scored(s, d)),
+        "rule_threshold_curve": lambda s, d: metrics.threshold_curve(rule_scored(s, d)),
+        "rule_tuned_threshold": lambda s, d: metrics.tune_decision_threshold(rule_scored(s, d)),
+        "rule_reliability_curve": lambda s, d: metrics.reliability_curve(rule_scored(s, d)),
+        "rule_drivers": lambda s, d: drivers.drivers_long(rule_recommendations(s, d)),
+        "rule_actions": lambda s, d: recommend.actions_long(rule_recommendations(s, d)),
+        "rule_tier_action_categories": lambda s, d: recommend.tier_action_categories(
+            recommend.actions_long(rule_recommendations(s, d))),
+        "rule_global_importance": lambda s, d: drivers.global_importance(
+            drivers.rule_contributions(cleaned(s, d)), feats),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = _base_queries()
+    q.update(_rule_queries())
     return q
 
 
