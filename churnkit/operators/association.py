@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnkit import constants as K
 from churnkit.operators.eda import _long
@@ -19,7 +20,7 @@ def service_crosstab(df: DataFrame, columns: list[str] | None = None) -> DataFra
     return long.groupBy("column", "value", K.TARGET_COLUMN).agg(F.count(F.lit(1)).alias("count"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_sf(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper-tail chi-square probability for small integer dof (closed forms).
 

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 # Settings a local run or test needs; on a cluster these come from the deployment.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
