@@ -108,9 +108,97 @@ def _rule_queries() -> dict[str, Query]:
     }
 
 
+def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.ml import workflow
+
+    return workflow.split_table(spark, sf_dir).where(F.col("is_test"))
+
+
+def _calibration_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnkit.ml import workflow
+
+    test = _test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN))
+    raw_p = workflow.raw_scorer(spark, sf_dir).transform(test, out="p_raw")
+    return workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
+
+
+def _diagnostic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throwaway boosted-tree driver model weighted n_neg/n_pos (from the
+    training rows only); AUC + PR-AUC on the test rows, leakage guard."""
+    from churnkit.ml import workflow
+    from churnkit.ml.score import ModelScorer
+    from churnkit.ml.train import model_pipeline, with_label
+
+    data = with_label(workflow.split_table(spark, sf_dir))
+    train = data.where(~F.col("is_test"))
+    counts = {r[K.TARGET_COLUMN]: r["count"] for r in train.groupBy(K.TARGET_COLUMN).count().collect()}
+    w = counts.get(0, 0) / max(counts.get(1, 0), 1)
+    train = train.withColumn("w", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
+    params = {"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}
+    model = model_pipeline("Diagnostic", params, 0, weight_col="w").fit(train)
+    pred = ModelScorer(model).transform(data.where(F.col("is_test")).withColumn("y", F.col(K.TARGET_COLUMN)))
+    m = metrics.classification_metrics(pred, digits=4)
+    metrics.check_auc_leakage_guard(float(m.first()["auc"]))
+    return m.select(F.lit("Diagnostic").alias("model"), "auc", "pr_auc", F.lit(w).alias("positive_weight"))
+
+
+def _ml_queries() -> dict[str, Query]:
+    from churnkit.ml import actions, segment, workflow
+    from churnkit.ml.score import classify_scored_customers, score_customers
+    from churnkit.ml.shap import shap_contributions, source_columns
+    from churnkit.sources import artifacts
+
+    def comparison(s, d):
+        return workflow.comparison(s, d)
+
+    def classified(s, d):
+        return classify_scored_customers(raw(s, d), workflow.calibrated_scorer(s, d))
+
+    def segmented(s, d):
+        return segment.assign_value_segment(cleaned(s, d), workflow.segmentation_model(s, d))
+
+    def global_shap(s, d):
+        model = workflow.explainer_model(s, d)
+        test = _test_rows(s, d)
+        contrib = shap_contributions(s, model, test, keep=[K.ID_COLUMN])
+        return drivers.global_importance(contrib, source_columns(model))
+
+    return {
+        "split_assignment": lambda s, d: workflow.split_table(s, d).select(
+            K.ID_COLUMN, K.TARGET_COLUMN, "is_test", "fold"),
+        "model_comparison": comparison,
+        "best_model": lambda s, d: comparison(s, d).orderBy(F.desc("cv_auc_mean"), "name").limit(1).select(
+            "name", "cv_auc_mean", "test_auc", (F.col("cv_auc_mean") >= K.TARGET_AUC).alias("meets_target")),
+        "leaderboard_display": lambda s, d: artifacts.format_leaderboard(comparison(s, d)),
+        "leaderboard_chart": lambda s, d: artifacts.leaderboard_chart_data(comparison(s, d)),
+        "model_runs": lambda s, d: (comparison(s, d), s.read.parquet(workflow.run_dir(s, d, "model_runs")))[1]
+        .select("run_name", F.col("metrics")["cv_auc_mean"].alias("cv_auc_mean"),
+                F.col("tags")["best_model"].alias("best_model")).dropDuplicates(["run_name"]),
+        "diagnostic_model": _diagnostic_model,
+        "scored_customers": lambda s, d: score_customers(raw(s, d), workflow.raw_scorer(s, d)),
+        "classified_customers": classified,
+        "model_tier_summary": lambda s, d: tiers.risk_tier_summary(classified(s, d)),
+        "model_observed_rate_by_tier": lambda s, d: tiers.observed_rate_by_tier(classified(s, d), cleaned(s, d)),
+        "calibration_report": lambda s, d: metrics.calibration_report(_calibration_frame(s, d)),
+        "model_reliability_curve": lambda s, d: metrics.reliability_curve(
+            _calibration_frame(s, d), p="p_raw").withColumn("model", F.lit("raw")).unionByName(
+            metrics.reliability_curve(_calibration_frame(s, d), p="p_cal").withColumn("model", F.lit("calibrated"))),
+        "value_segments": lambda s, d: segmented(s, d).select(K.ID_COLUMN, "ValueSegment"),
+        "segment_summary": lambda s, d: segment.segment_summary(segmented(s, d)),
+        "segment_profile": lambda s, d: segment.segment_profile(segment.segment_summary(segmented(s, d))),
+        "silhouette": lambda s, d: segment.silhouette_diagnostic(cleaned(s, d)),
+        "shap_global_importance": global_shap,
+        "shap_top_drivers": lambda s, d: drivers.drivers_long(
+            actions.explain(s, workflow.explainer_model(s, d), cleaned(s, d))),
+        "recommendations": lambda s, d: actions.recommend_for_customers(
+            s, cleaned(s, d), workflow.calibrated_scorer(s, d), workflow.explainer_model(s, d)),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = _base_queries()
     q.update(_rule_queries())
+    q.update(_ml_queries())
     return q
 
 
