@@ -195,10 +195,41 @@ def _ml_queries() -> dict[str, Query]:
     }
 
 
+def _stream_run(spark: SparkSession, sf_dir: str, recommend_mode: bool = False) -> tuple[str, str]:
+    """K1/K2 over the subscriber rows landed as files: each run gets its own sink and
+    checkpoint folders under the shared run folder; the trigger drains all files."""
+    import uuid
+
+    from churnkit.ml import workflow
+    from churnkit.sources import artifacts
+    from churnkit.streaming import scoring_stream
+
+    landing = workflow.run_dir(spark, sf_dir, "landing")
+    if not artifacts.path_exists(spark, f"{landing}/_SUCCESS"):
+        raw(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(landing)
+    scorer = workflow.calibrated_scorer(spark, sf_dir)
+    scoring_stream.require_models(spark, workflow.run_dir(spark, sf_dir, "calibrated"))
+    run = workflow.run_dir(spark, sf_dir, "stream", uuid.uuid4().hex)
+    stream = scoring_stream.read_subscriber_stream(spark, landing, max_files_per_trigger=2)
+    q = scoring_stream.start_scoring_stream(
+        spark, stream, scorer, f"{run}/scored", f"{run}/quarantine", f"{run}/_checkpoint",
+        recommend_with=workflow.explainer_model(spark, sf_dir) if recommend_mode else None)
+    q.awaitTermination()
+    return f"{run}/scored", f"{run}/quarantine"
+
+
+def _stream_queries() -> dict[str, Query]:
+    return {
+        "stream_scored_customers": lambda s, d: s.read.parquet(_stream_run(s, d)[0]).drop("batch_id"),
+        "stream_recommendations": lambda s, d: s.read.parquet(_stream_run(s, d, True)[0]).drop("batch_id"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = _base_queries()
     q.update(_rule_queries())
     q.update(_ml_queries())
+    q.update(_stream_queries())
     return q
 
 
