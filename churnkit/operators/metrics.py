@@ -104,12 +104,13 @@ def _grid_slot(p: Column, grid: list[float]) -> Column:
     return F.size(F.filter(arr, lambda t: t <= p))
 
 
-def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = METRIC_DIGITS) -> DataFrame:
+def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = METRIC_DIGITS,
+                    grid: list[float] | None = None) -> DataFrame:
     """M9 support: F1 at each of the 91 grid thresholds, from ONE scan.
 
     Rows are bucketed to their grid slot (<= 92 groups); tp/fp at threshold i are
     reverse running sums over those few groups."""
-    grid = threshold_grid()
+    grid = [float(t) for t in grid] if grid is not None else threshold_grid()
     slots = df.groupBy(_grid_slot(F.col(p), grid).alias("slot")).agg(
         F.sum(F.col(y)).cast("double").alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y))).cast("double").alias("neg"))
@@ -126,9 +127,10 @@ def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = MET
                     F.bround(F.when(denom > 0, 2 * F.col("tp") / denom).otherwise(0.0), digits).alias("f1"))
 
 
-def tune_decision_threshold(df: DataFrame, y: str = "y", p: str = "p", digits: int = METRIC_DIGITS) -> DataFrame:
+def tune_decision_threshold(df: DataFrame, y: str = "y", p: str = "p", digits: int = METRIC_DIGITS,
+                            grid: list[float] | None = None) -> DataFrame:
     """M9: the grid threshold with the highest F1, the lowest threshold on ties (T5)."""
-    curve = threshold_curve(df, y, p, digits=15)
+    curve = threshold_curve(df, y, p, digits=15, grid=grid)
     best = curve.agg(F.max_by(F.struct("threshold", "f1"), F.struct(F.col("f1"), -F.col("threshold"))).alias("b"))
     return best.select(F.col("b.threshold").alias("tuned_threshold"),
                        F.bround("b.f1", digits).alias("best_f1"))
