@@ -11,7 +11,8 @@ from churnkit.functions.columns import lifecycle_stage, risk_signal_count, servi
 
 def _dimension(spark, name: str, labels: list[str]) -> DataFrame:
     """A fixed label list as a (label, ord) dimension; joined from the left so
-    empty groups still appear (J3)."""
+    empty groups still appear (J3).  The aggregate on the right has at most one row
+    per label (a proven bound), so it is the broadcast side of the left outer join."""
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], f"{name} string, ord int")
 
 
@@ -24,7 +25,7 @@ def cohort_summary(df: DataFrame) -> DataFrame:
            .groupBy("cohort").agg(F.count(F.lit(1)).alias("customers"), F.avg(y).alias("rate")))
     dim = _dimension(df.sparkSession, "cohort", K.TENURE_COHORT_LABELS)
     churn = F.bround(F.col("rate") * 100.0, 2)
-    return (F.broadcast(dim).join(agg, "cohort", "left")
+    return (dim.join(F.broadcast(agg), "cohort", "left")
             .select("cohort", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"),
                     churn.alias("churn_rate"), F.bround(100.0 - churn, 2).alias("retention_rate"), "ord")
             .orderBy("ord").drop("ord"))
@@ -49,7 +50,7 @@ def empirical_retention_curve(df: DataFrame, max_month: int = K.MAX_OBSERVED_TEN
     n = hist.agg(F.sum("c").alias("n")).select(F.coalesce("n", F.lit(0)).alias("n")).scalar()
     spine = spark.range(0, max_month + 1).select(F.col("id").cast("int").alias("month"))
     w = Window.orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = (F.broadcast(spine).join(hist, "month", "left")
+    curve = (spine.join(F.broadcast(hist), "month", "left")
              .select("month", F.sum(F.coalesce("c", F.lit(0))).over(w).alias("n_at_risk")))
     return curve.select(
         "month",
@@ -65,7 +66,7 @@ def lifecycle_summary(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"), F.avg("tenure").alias("t"),
         F.avg(service_count()).alias("s"), F.avg(y).alias("r"))
     dim = _dimension(df.sparkSession, "stage", K.LIFECYCLE_STAGE_LABELS)
-    return (F.broadcast(dim).join(agg, "stage", "left")
+    return (dim.join(F.broadcast(agg), "stage", "left")
             .select("stage", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"),
                     F.bround("t", 2).alias("avg_tenure"), F.bround("s", 2).alias("avg_service_count"),
                     F.bround(F.col("r") * 100.0, 2).alias("churn_rate"), "ord")
@@ -78,7 +79,7 @@ def risk_signal_diagnostic(df: DataFrame) -> DataFrame:
     agg = df.groupBy(risk_signal_count().alias("risk_count")).agg(
         F.count(F.lit(1)).alias("customers"), F.avg(y).alias("r"))
     spine = df.sparkSession.range(0, K.N_RISK_SIGNALS + 1).select(F.col("id").cast("int").alias("risk_count"))
-    return (F.broadcast(spine).join(agg, "risk_count", "left")
+    return (spine.join(F.broadcast(agg), "risk_count", "left")
             .select("risk_count", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"),
                     F.bround(F.col("r") * 100.0, 2).alias("churn_rate")).orderBy("risk_count"))
 

@@ -74,5 +74,5 @@ def service_attach_distribution(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     counts = df.groupBy(service_count().alias("services")).agg(F.count(F.lit(1)).alias("customers"))
     spine = spark.range(0, K.SERVICE_ATTACH_MAX + 1).select(F.col("id").cast("int").alias("services"))
-    return F.broadcast(spine).join(counts, "services", "left").select(
+    return spine.join(F.broadcast(counts), "services", "left").select(
         "services", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"))

@@ -117,7 +117,7 @@ def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = MET
     spark = df.sparkSession
     g = spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "slot int, threshold double")
     # threshold index i (1-based) counts rows whose slot >= i
-    full = g.join(slots, "slot", "left").select("slot", "threshold", F.coalesce("pos", F.lit(0.0)).alias("pos"),
+    full = g.join(F.broadcast(slots), "slot", "left").select("slot", "threshold", F.coalesce("pos", F.lit(0.0)).alias("pos"),
                                                 F.coalesce("neg", F.lit(0.0)).alias("neg"))
     P = slots.agg(F.coalesce(F.sum("pos"), F.lit(0.0))).scalar()
     w = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)

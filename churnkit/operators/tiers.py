@@ -39,7 +39,7 @@ def risk_tier_summary(tiered: DataFrame) -> DataFrame:
     dim = spark.createDataFrame([(t, i) for i, t in enumerate(K.RISK_TIER_ORDER_DESC)], "risk_tier string, ord int")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     c = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
-    return (F.broadcast(dim).join(counts, "risk_tier", "left")
+    return (dim.join(F.broadcast(counts), "risk_tier", "left")
             .select("risk_tier", c.alias("count"),
                     F.when(total > 0, F.bround(c / total * 100.0, 2)).otherwise(F.lit(0.0)).alias("pct"), "ord")
             .orderBy("ord").drop("ord"))

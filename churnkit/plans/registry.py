@@ -60,6 +60,7 @@ def _base_queries() -> dict[str, Query]:
         "chi_square_association": _on_clean(
             lambda df: association.chi_square_statistics(df).drop("_chi2_raw")),
         "chi_square_pvalues": _on_clean(association.chi_square_service_association),
+        "class_density": _on_clean(eda.class_density),
     }
 
 

@@ -92,3 +92,17 @@ def test_chi_square_pvalue_matches_closed_forms(spark):
             assert r.p_value == pytest.approx(math.exp(-r.chi2 / 2), rel=1e-3)
         if r.dof == 1:
             assert r.p_value == pytest.approx(math.erfc(math.sqrt(r.chi2 / 2)), rel=1e-3)
+
+
+def test_class_density_integrates_to_one(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(float(rnd.gauss(50, 10)), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "MonthlyCharges double, Churn int")
+    out = eda.class_density(df, ["MonthlyCharges"]).orderBy("Churn", "point").collect()
+    for cls in (0, 1):
+        pts = [r for r in out if r.Churn == cls]
+        assert len(pts) == 200
+        dx = pts[1].x - pts[0].x
+        assert sum(r.density for r in pts) * dx == pytest.approx(1.0, abs=0.01)
