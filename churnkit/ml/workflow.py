@@ -23,6 +23,14 @@ from churnkit.sources import artifacts
 
 CACHE_VERSION = "v1"
 EXPLAINABLE = ("XGBoost", "LightGBM", "LogisticRegression")
+# Loaded models, keyed by artifact path: each model is read from storage once per process.
+_LOADED: dict[str, object] = {}
+
+
+def _load_once(path: str, loader):
+    if path not in _LOADED:
+        _LOADED[path] = loader()
+    return _LOADED[path]
 
 
 def run_dir(spark: SparkSession, sf_dir: str, *parts: str) -> str:
@@ -64,17 +72,22 @@ def comparison(spark: SparkSession, sf_dir: str, profile: dict | None = None) ->
 
 
 def production_model(spark: SparkSession, sf_dir: str):
-    comparison(spark, sf_dir)
-    return artifacts.load_trained_model(spark, run_dir(spark, sf_dir, "production"))
+    path = run_dir(spark, sf_dir, "production")
+    if path not in _LOADED:
+        comparison(spark, sf_dir)
+    return _load_once(path, lambda: artifacts.load_trained_model(spark, path))
 
 
 def explainer_model(spark: SparkSession, sf_dir: str):
     """The production model when its family has exact SHAP here, else the best
     explainable candidate."""
-    board = comparison(spark, sf_dir)
-    names = [r["name"] for r in board.collect()]
-    name = next(n for n in names if n in EXPLAINABLE)
-    return artifacts.load_trained_model(spark, run_dir(spark, sf_dir, "candidates", name))
+    key = run_dir(spark, sf_dir, "explainer")
+    if key not in _LOADED:
+        board = comparison(spark, sf_dir)
+        names = [r["name"] for r in board.collect()]
+        name = next(n for n in names if n in EXPLAINABLE)
+        _LOADED[key] = artifacts.load_trained_model(spark, run_dir(spark, sf_dir, "candidates", name))
+    return _LOADED[key]
 
 
 def calibrated_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
@@ -84,6 +97,8 @@ def calibrated_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
     from pyspark.ml.regression import IsotonicRegressionModel
 
     path = run_dir(spark, sf_dir, "calibrated")
+    if path in _LOADED:
+        return _LOADED[path]
     if not artifacts.path_exists(spark, f"{path}/_DONE"):
         board = comparison(spark, sf_dir)
         best = select_best(board)["name"]
@@ -97,7 +112,7 @@ def calibrated_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
             .coalesce(1).write.mode("overwrite").json(f"{path}/_DONE")
     pairs = [(PipelineModel.load(f"{path}/fold{i}/base"), IsotonicRegressionModel.load(f"{path}/fold{i}/isotonic"))
              for i in range(K.CV_FOLDS)]
-    return CalibratedScorer(pairs)
+    return _load_once(path, lambda: CalibratedScorer(pairs))
 
 
 def raw_scorer(spark: SparkSession, sf_dir: str) -> ModelScorer:
@@ -108,6 +123,6 @@ def segmentation_model(spark: SparkSession, sf_dir: str):
     from pyspark.ml import PipelineModel
 
     path = run_dir(spark, sf_dir, "segmentation")
-    if not artifacts.path_exists(spark, f"{path}/metadata"):
+    if path not in _LOADED and not artifacts.path_exists(spark, f"{path}/metadata"):
         seg.fit_segmentation(cleaned(spark, sf_dir)).write().overwrite().save(path)
-    return PipelineModel.load(path)
+    return _load_once(path, lambda: PipelineModel.load(path))

@@ -244,6 +244,9 @@ def sql_catalog() -> dict[str, str]:
         "e AS (SELECT col, value, n1, n0, (n1 + n0) * sum(n1) OVER (PARTITION BY col) / sum(n1 + n0) OVER (PARTITION BY col) AS e1, "
         "(n1 + n0) * sum(n0) OVER (PARTITION BY col) / sum(n1 + n0) OVER (PARTITION BY col) AS e0, "
         "sum(n1 + n0) OVER (PARTITION BY col) AS n, count(*) OVER (PARTITION BY col) AS r FROM g)")
+    q["implied_lifetime"] = with_clean(
+        "SELECT churn_rate, round_even(100.0 / churn_rate, 1) AS implied_lifetime_months FROM "
+        "(SELECT round_even(avg(Churn) * 100.0, 2) AS churn_rate FROM clean)")
     q.update(_rule_catalog())
     return q
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
+from churnkit.functions import columns as _columns
 from churnkit.operators import association, clean, cohorts, drivers, eda, kpi, metrics, recommend, tiers
 from churnkit.sources.subscribers import raw_subscribers
 
@@ -61,6 +62,8 @@ def _base_queries() -> dict[str, Query]:
             lambda df: association.chi_square_statistics(df).drop("_chi2_raw")),
         "chi_square_pvalues": _on_clean(association.chi_square_service_association),
         "class_density": _on_clean(eda.class_density),
+        "implied_lifetime": _on_clean(lambda df: kpi.kpi_row(df).select(
+            "churn_rate", _columns.implied_lifetime_months(F.col("churn_rate")).alias("implied_lifetime_months"))),
     }
 
 
@@ -152,6 +155,13 @@ def _ml_queries() -> dict[str, Query]:
     def comparison(s, d):
         return workflow.comparison(s, d)
 
+    def model_runs(s, d):
+        """The run log written by the comparison (one row per candidate run)."""
+        comparison(s, d)
+        runs = s.read.parquet(workflow.run_dir(s, d, "model_runs"))
+        return runs.select("run_name", F.col("metrics")["cv_auc_mean"].alias("cv_auc_mean"),
+                           F.col("tags")["best_model"].alias("best_model")).dropDuplicates(["run_name"])
+
     def classified(s, d):
         return classify_scored_customers(raw(s, d), workflow.calibrated_scorer(s, d))
 
@@ -172,9 +182,7 @@ def _ml_queries() -> dict[str, Query]:
             "name", "cv_auc_mean", "test_auc", (F.col("cv_auc_mean") >= K.TARGET_AUC).alias("meets_target")),
         "leaderboard_display": lambda s, d: artifacts.format_leaderboard(comparison(s, d)),
         "leaderboard_chart": lambda s, d: artifacts.leaderboard_chart_data(comparison(s, d)),
-        "model_runs": lambda s, d: (comparison(s, d), s.read.parquet(workflow.run_dir(s, d, "model_runs")))[1]
-        .select("run_name", F.col("metrics")["cv_auc_mean"].alias("cv_auc_mean"),
-                F.col("tags")["best_model"].alias("best_model")).dropDuplicates(["run_name"]),
+        "model_runs": model_runs,
         "diagnostic_model": _diagnostic_model,
         "scored_customers": lambda s, d: score_customers(raw(s, d), workflow.raw_scorer(s, d)),
         "classified_customers": classified,
