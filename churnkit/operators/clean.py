@@ -11,9 +11,14 @@ from pyspark.sql import types as T
 from churnkit import constants as K
 
 
+# the characters of the regex class \s: space, tab, newline, vertical tab, form feed, return
+_WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    """Strip leading/trailing whitespace (all kinds, not just blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (all kinds, not just blanks) with a
+    plain character-set trim (no regex per value)."""
+    return F.trim(c, F.lit(_WHITESPACE))
 
 
 def total_charges_double(c: Column) -> Column:
