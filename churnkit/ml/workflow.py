@@ -126,3 +126,16 @@ def segmentation_model(spark: SparkSession, sf_dir: str):
     if path not in _LOADED and not artifacts.path_exists(spark, f"{path}/metadata"):
         seg.fit_segmentation(cleaned(spark, sf_dir)).write().overwrite().save(path)
     return _load_once(path, lambda: PipelineModel.load(path))
+
+
+def lime_pool(spark: SparkSession, sf_dir: str):
+    """E5 context: training marginals of the split's training rows and the shared,
+    scored perturbation pool for the explainer model, built once per process."""
+    from churnkit.ml.lime import build_pool, training_marginals
+
+    key = run_dir(spark, sf_dir, "lime-pool")
+    if key not in _LOADED:
+        train = split_table(spark, sf_dir).where(~F.col("is_test"))
+        marginals = training_marginals(train)
+        _LOADED[key] = build_pool(spark, marginals, ModelScorer(explainer_model(spark, sf_dir)), train.schema)
+    return _LOADED[key]

@@ -126,30 +126,59 @@ def _calibration_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
 
 
-def _diagnostic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fit_diagnostic(spark: SparkSession, sf_dir: str):
     """Throwaway boosted-tree driver model weighted n_neg/n_pos (from the
-    training rows only); AUC + PR-AUC on the test rows, leakage guard."""
+    training rows only); fit once per process."""
     from churnkit.ml import workflow
-    from churnkit.ml.score import ModelScorer
     from churnkit.ml.train import model_pipeline, with_label
 
-    data = with_label(workflow.split_table(spark, sf_dir))
-    train = data.where(~F.col("is_test"))
-    counts = {r[K.TARGET_COLUMN]: r["count"] for r in train.groupBy(K.TARGET_COLUMN).count().collect()}
-    w = counts.get(0, 0) / max(counts.get(1, 0), 1)
-    train = train.withColumn("w", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
-    params = {"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}
-    model = model_pipeline("Diagnostic", params, 0, weight_col="w").fit(train)
-    pred = ModelScorer(model).transform(data.where(F.col("is_test")).withColumn("y", F.col(K.TARGET_COLUMN)))
+    key = workflow.run_dir(spark, sf_dir, "diagnostic")
+    if key not in workflow._LOADED:
+        data = with_label(workflow.split_table(spark, sf_dir))
+        train = data.where(~F.col("is_test"))
+        counts = {r[K.TARGET_COLUMN]: r["count"] for r in train.groupBy(K.TARGET_COLUMN).count().collect()}
+        w = counts.get(0, 0) / max(counts.get(1, 0), 1)
+        train = train.withColumn("w", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
+        params = {"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}
+        workflow._LOADED[key] = (model_pipeline("Diagnostic", params, 0, weight_col="w").fit(train), w)
+    return workflow._LOADED[key]
+
+
+def _diagnostic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC + PR-AUC of the diagnostic model on the test rows, leakage guard."""
+    from churnkit.ml.score import ModelScorer
+
+    model, w = _fit_diagnostic(spark, sf_dir)
+    pred = ModelScorer(model).transform(_test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN)))
     m = metrics.classification_metrics(pred, digits=4)
     metrics.check_auc_leakage_guard(float(m.first()["auc"]))
     return m.select(F.lit("Diagnostic").alias("model"), "auc", "pr_auc", F.lit(w).alias("positive_weight"))
 
 
-def _ml_queries() -> dict[str, Query]:
-    from churnkit.ml import actions, segment, workflow
-    from churnkit.ml.score import classify_scored_customers, score_customers
+def _global_shap(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+    """Mean |SHAP| per source column over the test rows, top 10."""
     from churnkit.ml.shap import shap_contributions, source_columns
+
+    contrib = shap_contributions(spark, model, _test_rows(spark, sf_dir), keep=[K.ID_COLUMN])
+    return drivers.global_importance(contrib, source_columns(model))
+
+
+def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHAP and LIME top drivers side by side for every customer (one row-local
+    pass each, no join)."""
+    from churnkit.ml import actions, lime, workflow
+    from churnkit.ml.score import ModelScorer
+
+    model = workflow.explainer_model(spark, sf_dir)
+    shap = actions.explain(spark, model, cleaned(spark, sf_dir))
+    both = lime.lime_top_drivers(shap, ModelScorer(model), workflow.lime_pool(spark, sf_dir),
+                                 keep=[K.ID_COLUMN, "shap_top_drivers"])
+    return both
+
+
+def _ml_queries() -> dict[str, Query]:
+    from churnkit.ml import actions, lime, segment, workflow
+    from churnkit.ml.score import ModelScorer, classify_scored_customers, score_customers
     from churnkit.sources import artifacts
 
     def comparison(s, d):
@@ -169,10 +198,15 @@ def _ml_queries() -> dict[str, Query]:
         return segment.assign_value_segment(cleaned(s, d), workflow.segmentation_model(s, d))
 
     def global_shap(s, d):
+        return _global_shap(s, d, workflow.explainer_model(s, d))
+
+    def lime_drivers(s, d):
         model = workflow.explainer_model(s, d)
-        test = _test_rows(s, d)
-        contrib = shap_contributions(s, model, test, keep=[K.ID_COLUMN])
-        return drivers.global_importance(contrib, source_columns(model))
+        return lime.lime_long(lime.lime_top_drivers(cleaned(s, d), ModelScorer(model), workflow.lime_pool(s, d)))
+
+    def ranking_comparison(s, d):
+        return lime.ranking_comparison(global_shap(s, d), _global_shap(s, d, _fit_diagnostic(s, d)[0]),
+                                       "production_model", "diagnostic_model")
 
     return {
         "split_assignment": lambda s, d: workflow.split_table(s, d).select(
@@ -199,6 +233,10 @@ def _ml_queries() -> dict[str, Query]:
         "shap_global_importance": global_shap,
         "shap_top_drivers": lambda s, d: drivers.drivers_long(
             actions.explain(s, workflow.explainer_model(s, d), cleaned(s, d))),
+        "lime_top_drivers": lime_drivers,
+        "explanations": _explanations,
+        "explanation_agreement": lambda s, d: lime.method_agreement(_explanations(s, d)),
+        "global_ranking_comparison": ranking_comparison,
         "recommendations": lambda s, d: actions.recommend_for_customers(
             s, cleaned(s, d), workflow.calibrated_scorer(s, d), workflow.explainer_model(s, d)),
     }
