@@ -168,12 +168,17 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def iqr_outliers(df: DataFrame, column: str, k: float = K.IQR_MULTIPLIER) -> DataFrame:
-    """Rows outside the Tukey fence of ``column``.  The two fence values are
-    scalar subqueries over one aggregate, so the filter is a plain predicate."""
-    q = df.agg(F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    lo = q.select(F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).scalar()
-    hi = q.select(F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).scalar()
-    return df.where((F.col(column) < lo) | (F.col(column) > hi))
+    """Rows outside the Tukey fence of ``column``.  The fences come from the
+    bounded-memory exact quartiles, so the filter is a plain predicate with two
+    literals (pushed to the scan where the column is stored)."""
+    from churnkit.operators.quantiles import exact_quantile_values
+
+    q = exact_quantile_values(df, column, [0.25, 0.75])
+    if q is None:
+        return df.limit(0)
+    q1, q3 = q
+    lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+    return df.where((F.col(column) < F.lit(lo)) | (F.col(column) > F.lit(hi)))
 
 
 def new_customers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -184,3 +189,12 @@ def new_customers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def all_of(*conds: Column) -> Column:
     return reduce(lambda a, b: a & b, conds)
+
+
+def hash_sample(df: DataFrame, n: int, seed: int = K.RANDOM_STATE, key: str = K.ID_COLUMN) -> DataFrame:
+    """A deterministic sample of ``n`` rows: the ``n`` smallest md5(seed:key)
+    digests.  It does not depend on partitioning or row order; the plan is a
+    per-partition top-n plus a merge of n rows per partition (no shuffle of the
+    table), and md5 of the same text is the same in any engine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.withColumn("_d", digest).orderBy("_d", key).limit(n).drop("_d")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
+from churnkit.operators.quantiles import exact_quantiles
 
 
 def _long(df: DataFrame, columns: list[str], value_type: str | None = None, keep: list[str] = ()) -> DataFrame:
@@ -50,19 +51,17 @@ def _whole():
     return Window.partitionBy()
 
 
-def _quartiles(c: Column, accuracy: int | None) -> Column:
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    if accuracy:
-        return F.percentile_approx(c, probs, accuracy)
-    return F.percentile(c, probs)
+def _approx_quartiles(c: Column, accuracy: int) -> Column:
+    return F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
 
 
 def summarize_outliers(df: DataFrame, columns: list[str] | None = None, k: float = K.IQR_MULTIPLIER,
                        accuracy: int | None = None) -> DataFrame:
     """Per column q1, q3, iqr, fences, n_outliers, pct_outliers (2dp; 0.0 when empty).
 
-    Exact linear-interpolated quartiles by default; ``accuracy`` switches to
-    ``percentile_approx`` (bounded memory per group) for very wide columns.
+    Exact linear-interpolated quartiles by default (found by bounded-memory
+    selection, ``operators.quantiles``); ``accuracy`` switches to one
+    ``percentile_approx`` pass when approximate fences are enough.
     Pass 1 computes the fences per column (a handful of rows); pass 2 is one
     conditional count joined to those fences on the column name.
     """
@@ -72,8 +71,11 @@ def summarize_outliers(df: DataFrame, columns: list[str] | None = None, k: float
             [], "column string, q1 double, q3 double, iqr double, lower_bound double, "
                 "upper_bound double, n_outliers bigint, pct_outliers double")
     long = _long(df, columns, "double")
-    fences = long.groupBy("column").agg(_quartiles(F.col("value"), accuracy).alias("q")).select(
-        "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    if accuracy:
+        q = long.groupBy("column").agg(_approx_quartiles(F.col("value"), accuracy).alias("q"))
+    else:
+        q = exact_quantiles(long, ["column"], "value", [0.25, 0.75])
+    fences = q.select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     fences = fences.select("column", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr")).select(
         "*", (F.col("q1") - k * F.col("iqr")).alias("lower_bound"),
         (F.col("q3") + k * F.col("iqr")).alias("upper_bound"))
@@ -100,10 +102,13 @@ def distribution_stats(df: DataFrame, columns: list[str] | None = None, digits:
     columns = K.NUMERIC_COLUMNS if columns is None else columns
     long = _long(df, columns, "double")
     g = long.groupBy("column").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"),
+        F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.skewness("value").alias("g1"),
         F.kurtosis("value").alias("g2"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.count("value").cast("double").alias("n"))
+    # medians: one row per column, a bounded broadcast
+    med = exact_quantiles(long, ["column"], "value", [0.5]).select("column", F.col("q")[0].alias("median"))
+    g = g.join(F.broadcast(med), "column", "left")
     n = F.col("n")
     skew = F.when(n >= 3, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
@@ -166,8 +171,7 @@ def boxplot_stats(df: DataFrame, columns: list[str] | None = None, k: float = K.
     last point inside the fence, outlier count."""
     columns = K.NUMERIC_COLUMNS if columns is None else columns
     long = _long(df, columns, "double", keep=[K.TARGET_COLUMN])
-    q = long.groupBy("column", K.TARGET_COLUMN).agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(long, ["column", K.TARGET_COLUMN], "value", [0.25, 0.5, 0.75])
     q = q.select("column", K.TARGET_COLUMN, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - k * (F.col("q3") - F.col("q1"))).withColumn(

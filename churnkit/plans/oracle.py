@@ -303,6 +303,9 @@ def _rule_catalog() -> dict[str, str]:
         "f AS (SELECT quantile_cont(TotalCharges, 0.25) - 1.5 * (quantile_cont(TotalCharges, 0.75) - "
         "quantile_cont(TotalCharges, 0.25)) AS lo, quantile_cont(TotalCharges, 0.75) + 1.5 * "
         "(quantile_cont(TotalCharges, 0.75) - quantile_cont(TotalCharges, 0.25)) AS hi FROM clean)")
+    q["customer_sample"] = with_clean(
+        f"SELECT {', '.join(c for c in K.RAW_COLUMNS if c != K.TARGET_COLUMN)} FROM raw_subscribers "
+        "ORDER BY md5(concat('42:', customerID)), customerID LIMIT 5")
     q["head_customers"] = with_clean(
         "SELECT customerID, tenure, Contract, MonthlyCharges, Churn FROM clean ORDER BY customerID LIMIT 10")
     q["rule_scored_tiers"] = with_clean(

@@ -94,6 +94,7 @@ def _rule_queries() -> dict[str, Query]:
             K.ID_COLUMN, "TotalCharges"),
         "head_customers": lambda s, d: cleaned(s, d).orderBy(K.ID_COLUMN).limit(10).select(
             K.ID_COLUMN, "tenure", "Contract", "MonthlyCharges", K.TARGET_COLUMN),
+        "customer_sample": lambda s, d: clean.hash_sample(raw(s, d), 5).drop(K.TARGET_COLUMN),
         "rule_scored_tiers": lambda s, d: rule_scored(s, d).select(
             K.ID_COLUMN, "churn_probability", "churn_probability_pct", "risk_tier"),
         "rule_tier_summary": lambda s, d: tiers.risk_tier_summary(rule_scored(s, d)),
@@ -197,6 +198,12 @@ def _ml_queries() -> dict[str, Query]:
     def segmented(s, d):
         return segment.assign_value_segment(cleaned(s, d), workflow.segmentation_model(s, d))
 
+    def calibration_metrics_file(s, d):
+        """The calibration report written as JSON beside the calibrated model, read back."""
+        path = workflow.run_dir(s, d, "calibration_metrics")
+        artifacts.save_calibration_metrics(metrics.calibration_report(_calibration_frame(s, d)), path)
+        return artifacts.load_calibration_metrics(s, path)
+
     def global_shap(s, d):
         return _global_shap(s, d, workflow.explainer_model(s, d))
 
@@ -223,6 +230,10 @@ def _ml_queries() -> dict[str, Query]:
         "model_tier_summary": lambda s, d: tiers.risk_tier_summary(classified(s, d)),
         "model_observed_rate_by_tier": lambda s, d: tiers.observed_rate_by_tier(classified(s, d), cleaned(s, d)),
         "calibration_report": lambda s, d: metrics.calibration_report(_calibration_frame(s, d)),
+        "calibration_metrics_file": calibration_metrics_file,
+        "sample_actions": lambda s, d: actions.recommend_for_customers(
+            s, clean.prepare_scoring_input(clean.hash_sample(raw(s, d), 5)), workflow.calibrated_scorer(s, d),
+            workflow.explainer_model(s, d)).select(K.ID_COLUMN, "risk_tier", "priority", "category", "action"),
         "model_reliability_curve": lambda s, d: metrics.reliability_curve(
             _calibration_frame(s, d), p="p_raw").withColumn("model", F.lit("raw")).unionByName(
             metrics.reliability_curve(_calibration_frame(s, d), p="p_cal").withColumn("model", F.lit("calibrated"))),

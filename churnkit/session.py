@@ -22,6 +22,33 @@ LOCAL_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``churnkit`` importable on the executors' Python workers: the
+    ``mapInPandas`` kernels pickle references to its functions.  The package is
+    zipped once per application on the driver and distributed by Spark itself
+    (``addPyFile``), so executors added later receive it as well."""
+    import zipfile
+
+    import churnkit
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(churnkit.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="churnkit-pyfiles-"), "churnkit.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "churnkit") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in LOCAL_CONF.items():
@@ -30,6 +57,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

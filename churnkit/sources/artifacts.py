@@ -114,3 +114,16 @@ def log_run(spark: SparkSession, path: str, run_name: str, params: dict, metrics
     spark.createDataFrame(row, "run_id string, run_name string, ts timestamp, params map<string,string>, "
                                "metrics map<string,double>, tags map<string,string>").write.mode("append").parquet(path)
     return run_id
+
+
+def save_calibration_metrics(report: DataFrame, path: str) -> None:
+    """The one-row raw-vs-calibrated report as a JSON file next to the
+    calibrated model."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_calibration_metrics(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no calibration metrics at {path}; run the calibration job first")
+    return spark.read.schema("brier_raw double, brier_calibrated double, auc_raw double, auc_calibrated double, "
+                             "ece_raw double, ece_calibrated double").json(path)
