@@ -98,10 +98,25 @@ def expected_calibration_error(df: DataFrame, n_bins: int = K.ECE_BINS, y: str =
     return tot.select(F.bround(F.coalesce(F.col("w") / F.col("n"), F.lit(0.0)), digits).alias("ece"))
 
 
-def _grid_slot(p: Column, grid: list[float]) -> Column:
-    """Number of grid thresholds t with t <= p (so ``p >= t`` agrees bit for bit)."""
+def _grid_slot(p: Column, grid: list[float], strict: bool = False) -> Column:
+    """Number of grid values t with t <= p (t < p when ``strict``), so comparisons
+    agree bit for bit with the grid's own doubles.
+
+    For an evenly spaced grid an arithmetic guess is corrected by comparing p with
+    the neighbouring grid values themselves (the guess is off by at most one), so
+    the expression stays inside whole-stage codegen; any other grid falls back to
+    counting with a lambda."""
+    n = len(grid)
     arr = F.array(*[F.lit(t) for t in grid])
-    return F.size(F.filter(arr, lambda t: t <= p))
+    below = (lambda t, v: t < v) if strict else (lambda t, v: t <= v)
+    step = (grid[-1] - grid[0]) / (n - 1) if n > 1 else 0.0
+    even = n > 1 and step > 0 and all(abs(t - (grid[0] + i * step)) < step / 4 for i, t in enumerate(grid))
+    if not even:
+        return F.size(F.filter(arr, lambda t: below(t, p)))
+    k = F.least(F.greatest(F.floor((p - F.lit(grid[0])) / F.lit(step)) + 1, F.lit(0)), F.lit(n)).cast("int")
+    too_high = (k >= 1) & ~below(F.element_at(arr, F.greatest(k, F.lit(1))), p)
+    too_low = (k < n) & below(F.element_at(arr, F.least(k + 1, F.lit(n))), p)
+    return k - too_high.cast("int") + too_low.cast("int")
 
 
 def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = METRIC_DIGITS,
@@ -109,20 +124,23 @@ def threshold_curve(df: DataFrame, y: str = "y", p: str = "p", digits: int = MET
     """M9 support: F1 at each of the 91 grid thresholds, from ONE scan.
 
     Rows are bucketed to their grid slot (<= 92 groups); tp/fp at threshold i are
-    reverse running sums over those few groups."""
+    reverse running sums over those few groups, and P is their total (a window
+    over the same <= 92 rows, not a second scan)."""
     grid = [float(t) for t in grid] if grid is not None else threshold_grid()
     slots = df.groupBy(_grid_slot(F.col(p), grid).alias("slot")).agg(
         F.sum(F.col(y)).cast("double").alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(y))).cast("double").alias("neg"))
     spark = df.sparkSession
     g = spark.createDataFrame([(i + 1, t) for i, t in enumerate(grid)], "slot int, threshold double")
-    # threshold index i (1-based) counts rows whose slot >= i
-    full = g.join(F.broadcast(slots), "slot", "left").select("slot", "threshold", F.coalesce("pos", F.lit(0.0)).alias("pos"),
-                                                F.coalesce("neg", F.lit(0.0)).alias("neg"))
-    P = slots.agg(F.coalesce(F.sum("pos"), F.lit(0.0))).scalar()
+    # every grid slot present (zero rows for empty ones), slot 0 (p below the grid) kept for P
+    zeros = g.select("slot", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
+    counts = slots.unionByName(zeros).groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     w = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = full.select("slot", "threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    denom = 2 * F.col("tp") + F.col("fp") + (P - F.col("tp"))
+    c = counts.select("slot", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
+                      F.sum("pos").over(Window.partitionBy()).alias("P"))
+    # g has len(grid) rows: a bounded broadcast; slot 0 has no threshold and drops out
+    c = c.join(F.broadcast(g), "slot")
+    denom = 2 * F.col("tp") + F.col("fp") + (F.col("P") - F.col("tp"))
     return c.select("slot", "threshold",
                     F.bround(F.when(denom > 0, 2 * F.col("tp") / denom).otherwise(0.0), digits).alias("f1"))
 
@@ -142,8 +160,7 @@ def reliability_curve(df: DataFrame, n_bins: int = K.ECE_BINS, y: str = "y", p:
     omitted.  Bin = number of interior edges strictly below p (the searchsorted rule
     of a reliability diagram, deliberately different from the ECE floor rule)."""
     edges = [float(e) for e in np.linspace(0.0, 1.0, n_bins + 1)[1:-1]]
-    arr = F.array(*[F.lit(e) for e in edges])
-    b = F.size(F.filter(arr, lambda e: e < F.col(p)))
+    b = _grid_slot(F.col(p), edges, strict=True)
     return df.groupBy(b.alias("bin")).agg(
         F.bround(F.avg(p), digits).alias("mean_predicted"),
         F.bround(F.avg(F.col(y).cast("double")), digits).alias("fraction_positive"),

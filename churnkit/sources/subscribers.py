@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnkit.constants import RAW_COLUMNS
+from churnkit.plans.parallelism import spread
 
 RAW_SCHEMA = T.StructType(
     [T.StructField("customerID", T.StringType())]
@@ -50,6 +51,9 @@ def raw_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey"), F.col("o_totalprice").alias("p"),
         F.col("o_orderpriority").alias("pr"), F.col("o_orderdate"))
+    # a table stored as one or two splits would leave every downstream stage single-task;
+    # cluster-sized input already has enough partitions and passes through untouched
+    orders = spread(orders)
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg"))
     # Both sides are large at scale: equi-join on the customer key and let
