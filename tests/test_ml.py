@@ -112,3 +112,41 @@ def test_stream_refuses_without_model(spark, tmp_path):
 
     with pytest.raises(FileNotFoundError, match="train"):
         scoring_stream.require_models(spark, str(tmp_path / "nothing"))
+
+
+def test_train_and_test_are_disjoint_and_cover_all_rows(spark, split):
+    """Anti joins both ways are empty; together the two sides are the table."""
+    test, train = split.where("is_test"), split.where("NOT is_test")
+    assert test.join(train, K.ID_COLUMN, "left_semi").count() == 0
+    assert train.join(test, K.ID_COLUMN, "left_semi").count() == 0
+    assert test.count() + train.count() == cleaned(spark, SF).count()
+
+
+def test_hash_sample_is_deterministic_and_partition_independent(spark):
+    """The md5-ordered sample does not depend on partitioning, equals the n
+    smallest digests, and drops the label like the original."""
+    import hashlib
+
+    from churnkit.operators.clean import hash_sample
+
+    df = raw(spark, SF)
+    a = [r.customerID for r in hash_sample(df, 5).collect()]
+    b = [r.customerID for r in hash_sample(df.repartition(7), 5).collect()]
+    ids = [r.customerID for r in df.select(K.ID_COLUMN).collect()]
+    ref = sorted(ids, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:5]
+    assert a == b == ref
+
+
+def test_calibration_metrics_round_trip(spark, tmp_path):
+    """The one-row report is written as JSON and read back with its schema."""
+    from churnkit.sources import artifacts
+
+    report = spark.createDataFrame([(0.15, 0.14, 0.84, 0.83, 0.08, 0.03)],
+                                   "brier_raw double, brier_calibrated double, auc_raw double, "
+                                   "auc_calibrated double, ece_raw double, ece_calibrated double")
+    path = str(tmp_path / "calibration_metrics")
+    artifacts.save_calibration_metrics(report, path)
+    back = artifacts.load_calibration_metrics(spark, path).collect()
+    assert [tuple(r) for r in back] == [(0.15, 0.14, 0.84, 0.83, 0.08, 0.03)]
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_calibration_metrics(spark, str(tmp_path / "missing"))
