@@ -11,6 +11,8 @@ def spread(df: DataFrame, per_slot: int = 2) -> DataFrame:
     cluster-sized input) passes through untouched; only a small input read as a
     handful of splits is round-robin repartitioned, so the extra shuffle happens
     exactly when the rows are few."""
+    if df.isStreaming:  # micro-batches are spread inside foreachBatch, not on the stream
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots * per_slot)
