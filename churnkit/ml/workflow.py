@@ -21,7 +21,23 @@ from churnkit.ml.train import FAST_PROFILE, compare_models, model_pipeline, sele
 from churnkit.session import work_dir
 from churnkit.sources import artifacts
 
-CACHE_VERSION = "v1"
+def _code_version() -> str:
+    """Digest of the code that shapes persisted artifacts, so a changed split,
+    cleaning, feature or training step never reuses models trained before it."""
+    import hashlib
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    files = sorted([*root.glob("ml/*.py"), root / "constants.py", root / "sources" / "subscribers.py",
+                    root / "operators" / "clean.py", root / "operators" / "metrics.py"])
+    digest = hashlib.sha1()
+    for f in files:
+        digest.update(f.name.encode())
+        digest.update(f.read_bytes())
+    return "v" + digest.hexdigest()[:12]
+
+
+CACHE_VERSION = _code_version()
 EXPLAINABLE = ("XGBoost", "LightGBM", "LogisticRegression")
 # Loaded models, keyed by artifact path: each model is read from storage once per process.
 _LOADED: dict[str, object] = {}
