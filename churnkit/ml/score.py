@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
@@ -23,10 +23,49 @@ class ModelScorer:
     def __init__(self, model: PipelineModel):
         self.model = model
 
-    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+    def transform(self, df: DataFrame, out: str = "p", margin: bool = False) -> DataFrame:
+        """Churn probability (or, with ``margin``, the positive-class raw score)."""
         cols = df.columns
         scored = self.model.transform(df)
-        return scored.select(*cols, vector_to_array(F.col("probability"))[1].alias(out))
+        src = "rawPrediction" if margin else "probability"
+        return scored.select(*cols, vector_to_array(F.col(src))[1].alias(out))
+
+
+def uses_margin(model: PipelineModel) -> bool:
+    """Platt scaling reads a model's decision function when it has one (linear
+    models) and its probability otherwise (tree ensembles)."""
+    return model.stages[-1].__class__.__name__ == "LogisticRegressionModel"
+
+
+class SigmoidCalibrator:
+    """Platt scaling: p' = 1 / (1 + exp(-(a * f + b))) of the base output f."""
+
+    def __init__(self, a: float, b: float, margin: bool):
+        self.a, self.b, self.margin = a, b, margin
+
+    def apply(self, f: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.a) * f + F.lit(self.b))))
+
+
+def fit_sigmoid(held: DataFrame, f: str, label: str = "label") -> tuple[float, float]:
+    """Platt's fit with smoothed targets T+ = (n+ + 1) / (n+ + 2), T- = 1 / (n- + 2):
+    every row becomes two weighted rows (label 1 with weight T, label 0 with 1 - T),
+    so an unregularised one-feature logistic regression minimises exactly that
+    cross-entropy, distributed."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = {r[label]: r["n"] for r in held.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    t_pos = (counts.get(1, 0) + 1.0) / (counts.get(1, 0) + 2.0)
+    t_neg = 1.0 / (counts.get(0, 0) + 2.0)
+    t = F.when(F.col(label) == 1, F.lit(t_pos)).otherwise(F.lit(t_neg))
+    two = held.select(F.col(f).alias("_f"), F.explode(F.array(
+        F.struct(F.lit(1.0).alias("y"), t.alias("w")),
+        F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - t).alias("w")))).alias("_t")).select("_f", "_t.y", "_t.w")
+    vec = VectorAssembler(inputCols=["_f"], outputCol="_fv").transform(two)
+    lr = LogisticRegression(featuresCol="_fv", labelCol="y", weightCol="w", regParam=0.0, standardization=False,
+                            maxIter=200, tol=1e-12).fit(vec)
+    return float(lr.coefficients[0]), float(lr.intercept)
 
 
 class CalibratedScorer:
@@ -39,22 +78,35 @@ class CalibratedScorer:
         cols = df.columns
         cur = df
         names = []
-        for i, (base, iso) in enumerate(self.pairs):
-            raw = ModelScorer(base).transform(cur.select(*cols, *names), out=f"_raw{i}")
-            cal = iso.copy({iso.featuresCol: f"_raw{i}", iso.predictionCol: f"_cal{i}"}).transform(raw)
-            cur = cal.drop(f"_raw{i}")
+        for i, (base, cal) in enumerate(self.pairs):
+            margin = isinstance(cal, SigmoidCalibrator) and cal.margin
+            raw = ModelScorer(base).transform(cur.select(*cols, *names), out=f"_raw{i}", margin=margin)
+            if isinstance(cal, SigmoidCalibrator):
+                calibrated = raw.withColumn(f"_cal{i}", cal.apply(F.col(f"_raw{i}")))
+            else:
+                calibrated = cal.copy({cal.featuresCol: f"_raw{i}", cal.predictionCol: f"_cal{i}"}).transform(raw)
+            cur = calibrated.drop(f"_raw{i}")
             names.append(f"_cal{i}")
         avg = sum(F.col(n) for n in names) / F.lit(float(len(names)))
         return cur.select(*cols, avg.alias(out))
 
 
-def fit_calibrated(train: DataFrame, make_pipeline, n_folds: int = K.CV_FOLDS) -> CalibratedScorer:
-    """M15 (isotonic): per fold, base fit on the other folds, isotonic calibrator fit on
-    the held-out fold's base probabilities (increasing, clamped at the ends)."""
+def fit_calibrated(train: DataFrame, make_pipeline, n_folds: int = K.CV_FOLDS,
+                   method: str = "isotonic") -> CalibratedScorer:
+    """Per fold, base fit on the other folds, calibrator fit on the held-out
+    fold's base output: isotonic (increasing, clamped at the ends) on the
+    probability, or sigmoid (Platt) on the decision function / probability."""
     from concurrent.futures import ThreadPoolExecutor
 
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError(f"calibration method must be 'isotonic' or 'sigmoid', got {method!r}")
+
     def one(i: int):
         base = make_pipeline().fit(train.where(F.col("fold") != i))
+        if method == "sigmoid":
+            margin = uses_margin(base)
+            held = ModelScorer(base).transform(train.where(F.col("fold") == i), out="_p", margin=margin)
+            return base, SigmoidCalibrator(*fit_sigmoid(held, "_p"), margin=margin)
         held = ModelScorer(base).transform(train.where(F.col("fold") == i), out="_p")
         iso = IsotonicRegression(featuresCol="_p", labelCol="label", isotonic=True).fit(held)
         return base, iso
@@ -80,5 +132,5 @@ def classify_scored_customers(raw_df: DataFrame, scorer) -> DataFrame:
     return s.withColumn("risk_tier", risk_tier(F.col("churn_probability")))
 
 
-__all__ = ["ModelScorer", "CalibratedScorer", "fit_calibrated", "score_customers", "classify_scored_customers",
+__all__ = ["ModelScorer", "CalibratedScorer", "SigmoidCalibrator", "fit_sigmoid", "uses_margin", "fit_calibrated", "score_customers", "classify_scored_customers",
            "_PIPELINE_OUTPUTS"]

@@ -155,3 +155,16 @@ def lime_pool(spark: SparkSession, sf_dir: str):
         marginals = training_marginals(train)
         _LOADED[key] = build_pool(spark, marginals, ModelScorer(explainer_model(spark, sf_dir)), train.schema)
     return _LOADED[key]
+
+
+def sigmoid_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
+    """M15 alternative: 5-fold sigmoid (Platt) calibration of the production model
+    family, for the isotonic-vs-sigmoid comparison; fitted once per process."""
+    key = run_dir(spark, sf_dir, "calibrated-sigmoid")
+    if key not in _LOADED:
+        best = select_best(comparison(spark, sf_dir))["name"]
+        data = with_label(split_table(spark, sf_dir)).where(~F.col("is_test"))
+        n_fold_train = int(data.count() * (K.CV_FOLDS - 1) / K.CV_FOLDS)
+        _LOADED[key] = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train),
+                                      method="sigmoid")
+    return _LOADED[key]

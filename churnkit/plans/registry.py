@@ -127,6 +127,21 @@ def _calibration_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
 
 
+def _calibration_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15/M16 comparison: Brier, AUC and ECE on the test rows for the raw model and
+    its isotonic and sigmoid 5-fold calibrations (one row per method)."""
+    from churnkit.ml import workflow
+
+    frame = workflow.sigmoid_scorer(spark, sf_dir).transform(_calibration_frame(spark, sf_dir), out="p_sig")
+    out = None
+    for method, col in (("raw", "p_raw"), ("isotonic", "p_cal"), ("sigmoid", "p_sig")):
+        m = metrics.classification_metrics(frame, p=col).select("brier", "auc")
+        e = metrics.expected_calibration_error(frame, p=col).select("ece").scalar()
+        row = m.select(F.lit(method).alias("method"), "brier", "auc", e.alias("ece"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _fit_diagnostic(spark: SparkSession, sf_dir: str):
     """Throwaway boosted-tree driver model weighted n_neg/n_pos (from the
     training rows only); fit once per process."""
@@ -231,6 +246,7 @@ def _ml_queries() -> dict[str, Query]:
         "model_observed_rate_by_tier": lambda s, d: tiers.observed_rate_by_tier(classified(s, d), cleaned(s, d)),
         "calibration_report": lambda s, d: metrics.calibration_report(_calibration_frame(s, d)),
         "calibration_metrics_file": calibration_metrics_file,
+        "calibration_methods": _calibration_methods,
         "sample_actions": lambda s, d: actions.recommend_for_customers(
             s, clean.prepare_scoring_input(clean.hash_sample(raw(s, d), 5)), workflow.calibrated_scorer(s, d),
             workflow.explainer_model(s, d)).select(K.ID_COLUMN, "risk_tier", "priority", "category", "action"),

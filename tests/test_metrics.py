@@ -80,3 +80,30 @@ def test_leakage_guard():
     metrics.check_auc_leakage_guard(0.95)
     with pytest.raises(ValueError):
         metrics.check_auc_leakage_guard(0.9501)
+
+
+def test_platt_fit_matches_newton(spark):
+    """Sigmoid calibration: the two-weighted-rows logistic regression minimises the
+    same smoothed-target cross-entropy as a direct Newton solve."""
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from churnkit.ml.score import SigmoidCalibrator, fit_sigmoid
+
+    rng = np.random.default_rng(5)
+    f = rng.uniform(0, 1, 3000)
+    y = (rng.uniform(0, 1, 3000) < f ** 2).astype(int)
+    a, b = fit_sigmoid(spark.createDataFrame([(float(u), int(v)) for u, v in zip(f, y)], "_p double, label int"),
+                       "_p")
+    n_pos, n_neg = y.sum(), len(y) - y.sum()
+    t = np.where(y == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
+    w = np.zeros(2)
+    x = np.column_stack([f, np.ones_like(f)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (p - t))
+    assert abs(a - w[0]) < 1e-5 and abs(b - w[1]) < 1e-5
+    cal = SigmoidCalibrator(a, b, margin=False)
+    got = spark.createDataFrame([(0.3,)], "f double").select(cal.apply(F.col("f")).alias("p")).first()["p"]
+    assert abs(got - 1 / (1 + np.exp(-(a * 0.3 + b)))) < 1e-12
