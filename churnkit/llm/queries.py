@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.llm import bpe, chat, packing
+from churnkit.llm import ann, bpe, chat, chunking, packing, quality, simhash
 from churnkit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,40 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document, learned from the labels that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every document and its edited text, and compare with that and with the next document."""
+
+    def prepared(doc_id, text):
+        return doc_id, text, chunking.chunk_set(text)
+
+    def pair(this, after):
+        doc_id, text, own = this
+        quarter = len(text) // 4
+        edited = text[:len(text) - quarter] + after[1][:quarter]
+        other = chunking.chunk_set(edited)
+        return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), chunking.as_string(own), chunking.as_string(other),
+                chunking.containment(own, other), chunking.containment(own, after[2]))
+
+    return chunking.with_next(table(spark, sf_dir, "documents"), prepared, pair, "doc_id long, n_chars long, edited_sha256 string, "
+                              "fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link documents whose fingerprints over 3-word shingles differ in at most 3 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one made of control strings, and read them back."""
     own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
@@ -35,6 +70,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op5_packing, op10_chat_format)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_byte_bpe, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format)}
 #: None of these results can be stated in SQL that is fast on whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
