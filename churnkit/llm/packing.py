@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,38 +33,66 @@ from pyspark.sql import functions as F
 from churnkit.llm.common import prepare, stash, texts
 
 WINDOW = 4096
-#: Chunks up to so many characters are remembered, up to so many of them.
-MEMO_CHARS, MEMO_SIZE = 40, 600_000
+#: Chunks up to so many characters are remembered, up to twice so many of them.
+MEMO_CHARS, MEMO_SIZE = 40, 350_000
+MARKS = ".,!&$%#*;:?"
+#: Byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-class Chunks:
-    """A tokenizer that remembers the ids of what stands between blanks."""
+class Chunks(dict):
+    """The ids of what stands between blanks, as little-endian unsigned 32-bit integers.
+
+    Two generations are kept: when the newer one is full it becomes the older one, and what is
+    used again moves back, so frequent chunks stay.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {"": b""}
+        self.model, self.older = self.tokenizer.model, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.ids_of(chunk)
+            if len(chunk) > MEMO_CHARS:
+                return ids
+        if len(self) >= MEMO_SIZE:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+        self[chunk] = ids
+        return ids
+
+    def ids_of(self, chunk: str) -> bytes:
+        """Marks after a letter are tokens of their own, and letters up to U+00FF are one word in lower case, so
+        ``Word,`` has the ids of ``word`` and of the mark, and only such a word goes straight to the merges."""
+        if len(chunk) <= MEMO_CHARS:
+            stem = chunk.rstrip(MARKS)
+            if stem.isalpha() and max(stem) <= "\xff":
+                low = stem.lower()
+                if low != chunk:
+                    return self[low] + (self[chunk[len(stem):]] if len(stem) < len(chunk) else b"")
+                pieces = self.model.tokenize(low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(BYTE_LEVEL))
+                return np.array([p.id for p in pieces], dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.__getitem__, chunks))
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_SIZE:
-            self.memo = {"": b""}
-        memo, long = self.memo, []
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch]
-        missing = [c for c in set().union(*split) if c not in memo]
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-                if len(chunk) > MEMO_CHARS:
-                    long.append(chunk)
-        out = [b"".join([memo[c] for c in chunks]) for chunks in split]
-        for chunk in long:
-            del memo[chunk]
-        return out
+        gc.disable()  # many small acyclic objects: walking over them again and again takes a third of the time
+        try:
+            return [self.encode(t) for t in batch]
+        finally:
+            gc.enable()
 
 
 @lru_cache(maxsize=4)
