@@ -156,21 +156,21 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0
 
     index = stash(arrow_map(distinct, place, "leaf int, v binary, ids array<long>"), "index")
     queries = rows.where(F.col("vec_id") % query_every == 0)
-    asked = queries.select("v").distinct()
+    asked = stash(queries.groupBy("v").agg(F.min("vec_id").alias("q")), "asked")  # equal queries are asked once, under their smallest id
     visits = _calibrate(index, asked, tree, centers, most, recall)
 
     def visit(batch: pa.RecordBatch) -> pa.Table:
-        q = batch.column(0)
-        found = [tree.order(s, visits) for s in (_matrix(q) @ centers.T).tolist()]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return pa.table({"leaf": pa.array(np.concatenate(found), pa.int32()), "v": q.take(pa.array(np.repeat(np.arange(len(found)), count)))})
+        found = [tree.order(s, visits) for s in (_matrix(batch.column(0)) @ centers.T).tolist()]
+        again = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        return pa.table({"leaf": pa.array(np.concatenate(found), pa.int32()), "v": batch.column(0).take(again), "q": batch.column(1).take(again)})
 
     sizes = index.groupBy("leaf").count()
     blocks = sizes.select(F.col("leaf").alias("of"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     none = F.array().cast("array<bigint>")
-    stored = index.join(F.broadcast(blocks), F.col("leaf") == F.col("of")).select("leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "v", "ids")
-    wanted = arrow_map(asked, visit, "leaf int, v binary").join(F.broadcast(blocks), F.col("leaf") == F.col("of"))
-    wanted = wanted.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "v", none.alias("ids"))
+    stored = index.join(F.broadcast(blocks), F.col("leaf") == F.col("of")).select("leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "v", "ids",
+                                                                                           F.lit(0).cast("long").alias("q"))
+    wanted = arrow_map(asked, visit, "leaf int, v binary, q long").join(F.broadcast(blocks), F.col("leaf") == F.col("of"))
+    wanted = wanted.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "v", none.alias("ids"), "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, x, ids, least = None, [], None, None, None
@@ -190,20 +190,21 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0
                     x = np.concatenate([_matrix(h.column(3)) for h in held])
                     ids = [i for h in held for i in h.column(4).to_pylist()]
                     least = np.array([i[0] for i in ids])
-                asked_v = part.column(3).to_pylist()
+                q = part.column(5).to_numpy()
                 scores = _matrix(part.column(3)) @ x.T
                 best = [_best(ids, least, s, most) for s in scores]
                 rows_of = np.repeat(np.arange(len(best)), [len(t) for t in best])
                 flat = np.concatenate(best)
-                yield pa.record_batch([pa.array([asked_v[i] for i in rows_of], pa.binary()), pa.array(scores[rows_of, flat], pa.float64()),
+                yield pa.record_batch([pa.array(q[rows_of], pa.int64()), pa.array(scores[rows_of, flat], pa.float64()),
                                        pa.array(least[flat], pa.int64()), pa.array([ids[i] for i in flat], pa.list_(pa.int64()))],
-                                      names=["v", "score", "least", "ids"])
+                                      names=["q", "score", "least", "ids"])
 
     pairs = stored.union(wanted).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
-    found = pairs.mapInArrow(search, "v binary, score double, least long, ids array<long>")
-    found = _ranked(found, ["v"], most, F.desc("score"), F.col("least")).select("v", "score", F.explode("ids").alias("found"))
-    found = _ranked(found, ["v"], most, F.desc("score"), F.col("found")).select("v", "score", "found")
-    answers = found.groupBy("v").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("found")))).alias("a"))
+    found = pairs.mapInArrow(search, "q long, score double, least long, ids array<long>")
+    found = _ranked(found, ["q"], most, F.desc("score"), F.col("least")).select("q", "score", F.explode("ids").alias("found"))
+    found = _ranked(found, ["q"], most, F.desc("score"), F.col("found")).select("q", "score", "found")
+    answers = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("found")))).alias("a"))
+    answers = asked.join(answers, "q").select("v", "a")
     own = queries.select(F.col("vec_id").alias("query_id"), "v").join(answers, "v")
     a = F.slice(F.filter("a", lambda x: x["found"] != F.col("query_id")), 1, k)
     out = own.select("query_id", F.posexplode(a).alias("rank", "x"))
@@ -212,7 +213,7 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0
 
 def _calibrate(index: DataFrame, asked: DataFrame, tree: Tree, centers: np.ndarray, most: int, recall: float) -> int:
     """Leaves to visit, so that sampled queries have ``recall`` of their true neighbours in them."""
-    some = [r.v for r in asked.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(CALIBRATION).collect()]
+    some = [r.v for r in asked.select("v").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(CALIBRATION).collect()]
     if not some or tree.leaves == 1:
         return 1
     q = np.frombuffer(b"".join(some), "<f8").reshape(len(some), -1)
