@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.llm import ann, bpe, chat, chunking, packing, quality, simhash
+from churnkit.llm import ann, bpe, chat, chunking, packing, pages, quality, simhash
 from churnkit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,6 +76,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_byte_bpe, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format)}
+    op1_byte_bpe, op4_html, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format)}
 #: None of these results can be stated in SQL that is fast on whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
