@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.llm import ann, bpe, chat, chunking, packing, pages, quality, simhash, suffix
+from churnkit.llm import ann, bpe, chat, chunking, packing, pages, quality, simhash, suffix, windows
 from churnkit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents that near-duplicate passages of at least 50 words connect."""
+    return windows.passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extract the main text of every page."""
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -83,6 +88,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_byte_bpe, op2_suffix_dedup, op4_html, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format)}
+    op1_byte_bpe, op2_suffix_dedup, op3_compact_windows, op4_html, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format)}
 #: None of these results can be stated in SQL that is fast on whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
