@@ -22,6 +22,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,11 +184,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """``(doc_id, label)``: one label for each document that is not held out."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
+            .where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")))
+
+
 def classify(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``documents``, learned from the rows of
     ``labels`` that are not held out."""
     x = stash(features(documents), "features")
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
-             .where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label")))
-    model = fit(x.join(known, "doc_id"))
+    model = fit(x.join(known_labels(labels, label), "doc_id"))
     return score(x, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of ``documents`` that :func:`classify` predicts to have label 1, as they are.  Texts are described again
+    where they are filtered, which costs less than moving them."""
+    x = stash(features(documents), "features")
+    model = fit(x.join(known_labels(labels, label), "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        described = np.array([describe(t) for t in text], dtype=np.float64).reshape(-1, len(FEATURES))
+        return pd.Series(model.score(described) >= 0.5)
+
+    return documents.where(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))
