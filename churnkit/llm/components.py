@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import stash
+from churnkit.llm.common import discard, stash
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -35,6 +35,7 @@ def components(links: DataFrame) -> DataFrame:
                                                                                   F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("l"))
         after = stash(tied.select("l.a", "l.b").where("a <> b").distinct(), "links")
         new = _mark(after)
+        discard(links)
         links, same, mark = after, new == mark, new
         if same:
             break

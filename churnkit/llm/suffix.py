@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import arrow_map, prepare, stash
+from churnkit.llm.common import arrow_map, discard, prepare, stash
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 #: Slots of a bitmap (16 MB), phrases an anchor may have in a block, bytes of a block.
-SLOTS, CROWDED, BLOCK_BYTES = 1 << 27, 4096, 1 << 20
+SLOTS, CROWDED, BLOCK_BYTES = 1 << 27, 4096, 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OCC = "anchor long, k1 long, k2 long, doc_id long, h long, start long, strings int"
 
@@ -169,7 +169,7 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while reach < 4 and base ** (reach + 1) < 2**62 and (reach + 1) * k < 2 * n:
             key = key * base + np.append(rank[reach * k:], np.zeros(min(n, reach * k), np.int64))[:n]
             reach += 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.cumsum(np.r_[1, key[order][1:] != key[order][:-1]])
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -185,7 +185,8 @@ def expand(bwt: np.ndarray, length: int) -> np.ndarray:
     Level by level, the interval of a symbol before a string is found from that string's interval by backward extension;
     rows whose border was found (their common prefix with the row before is shorter) are not looked at again.
     """
-    forward = np.argsort(bwt, kind="stable").astype(np.int32)  # row of a suffix -> row of what follows its first symbol
+    symbols = bwt.astype(np.uint16) if bwt.max() < 1 << 16 else bwt  # a radix sort serves short symbols
+    forward = np.argsort(symbols, kind="stable").astype(np.int32)  # row of a suffix -> row of what follows its first symbol
     first = bwt[forward]
     border = np.r_[True, first[1:] != first[:-1]]
     active = np.flatnonzero(~border).astype(np.int32)
@@ -281,15 +282,17 @@ def repeated_spans(df: DataFrame, length: int = LENGTH) -> DataFrame:
 
     # phrases that share an anchor with others, by block
     total = shared.agg(F.sum("variants")).first()[0] or 0
-    late = spark.createDataFrame([], "k1 long, k2 long, late array<struct<offset:int,strings:int>>")
+    late, made = spark.createDataFrame([], "k1 long, k2 long, late array<struct<offset:int,strings:int>>"), [used, firsts, variants]
     if total:
         several = max(1, total * (length + length // 2) // BLOCK_BYTES)
         bytes_of = _phrase_texts(rows, _bitmap(spark, shared), length).groupBy("k1", "k2").agg(F.first("phrase").alias("phrase"))
         chosen = firsts.join(shared, "anchor").select("anchor", "k1", "k2", "p.doc_id", "p.start").join(bytes_of, ["k1", "k2"])
         late = stash(_blocks(chosen.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(several))), length), "late")
+        made.append(late)
 
     # later uses of a phrase are repeated as a whole, its first use where another phrase came before
     answers = stash(firsts.join(late, ["k1", "k2"], "left").where("uses > 1 OR late IS NOT NULL").select("k1", "k2", F.col("p").alias("first"), "late"), "answers")
+    made.append(answers)
     reached = used.join(answers, ["k1", "k2"])
     whole = F.array(F.struct(F.lit(0).alias("offset"), F.col("strings").alias("strings")))
     runs = F.when(place > F.col("first"), whole).otherwise(F.col("late"))
@@ -298,10 +301,14 @@ def repeated_spans(df: DataFrame, length: int = LENGTH) -> DataFrame:
     if not crowded.isEmpty():
         singles = _occurrences(rows, _bitmap(spark, crowded), length, single=True).join(crowded.select("anchor"), "anchor")
         singles = stash(singles, "strings")
+        made.append(singles)
         first = stash(singles.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")).where("uses > 1").drop("uses"), "first-strings")
+        made.append(first)
         again = singles.join(first, ["k1", "k2"]).where(place > F.col("first"))
         spans = spans.union(again.select("doc_id", "h", "start", (F.col("start") + length).alias("end")))
-    return spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    out = stash(spans.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    discard(*made)
+    return out
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
