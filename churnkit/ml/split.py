@@ -43,6 +43,13 @@ def split_assign(df: DataFrame, test_size: float = K.TEST_SIZE, seed: int = K.RA
     decided = d.where(~boundary).withColumn("is_test", F.col("_below") + F.col("_c") <= F.col("_k"))
     wb = Window.partitionBy(label, "_bk").orderBy("_h", K.ID_COLUMN)
     edge = d.where(boundary).withColumn("is_test", F.col("_below") + F.row_number().over(wb) <= F.col("_k"))
-    out = decided.unionByName(edge)
-    fold = F.when(~F.col("is_test"), F.pmod(key_uniform(seed, "fold"), F.lit(n_folds)).cast("int"))
-    return out.withColumn("fold", fold).drop("_h", "_bk", "_c", "_below", "_k")
+    out = decided.unionByName(edge).drop("_h", "_bk", "_c", "_below", "_k")
+    # folds deal out each class's training rows in turn by their rank in a second hash order: the rank is the rows in
+    # buckets below plus the place in the own bucket, so no task ranks a whole class
+    out = out.withColumn("_h", key_uniform(seed, "fold")).withColumn("_bk", F.shiftright("_h", 63 - _BUCKET_BITS).cast("int"))
+    hist = out.where(~F.col("is_test")).groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    hist = hist.select(label, "_bk", F.coalesce(F.sum("_c").over(wc), F.lit(0)).alias("_below"))
+    out = out.join(F.broadcast(hist), [label, "_bk"], "left")
+    place = F.row_number().over(Window.partitionBy(label, "_bk", "is_test").orderBy("_h", K.ID_COLUMN))
+    fold = F.when(~F.col("is_test"), F.pmod(F.col("_below") + place - 1, F.lit(n_folds)).cast("int"))
+    return out.withColumn("fold", fold).drop("_h", "_bk", "_below")
