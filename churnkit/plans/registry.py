@@ -235,7 +235,7 @@ def _ml_queries() -> dict[str, Query]:
             K.ID_COLUMN, K.TARGET_COLUMN, "is_test", "fold"),
         "model_comparison": comparison,
         "best_model": lambda s, d: comparison(s, d).orderBy(F.desc("cv_auc_mean"), "name").limit(1).select(
-            "name", "cv_auc_mean", "test_auc", (F.col("cv_auc_mean") >= K.TARGET_AUC).alias("meets_target")),
+            "name", "cv_auc_mean", "test_auc", (F.col("test_auc") >= K.TARGET_AUC).alias("meets_target")),
         "leaderboard_display": lambda s, d: artifacts.format_leaderboard(comparison(s, d)),
         "leaderboard_chart": lambda s, d: artifacts.leaderboard_chart_data(comparison(s, d)),
         "model_runs": model_runs,
@@ -280,7 +280,7 @@ def _stream_run(spark: SparkSession, sf_dir: str, recommend_mode: bool = False)
 
     landing = workflow.run_dir(spark, sf_dir, "landing")
     if not artifacts.path_exists(spark, f"{landing}/_SUCCESS"):
-        raw(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(landing)
+        raw(spark, sf_dir).drop(K.TARGET_COLUMN).repartition(4).write.mode("overwrite").parquet(landing)
     scorer = workflow.calibrated_scorer(spark, sf_dir)
     scoring_stream.require_models(spark, workflow.run_dir(spark, sf_dir, "calibrated"))
     run = workflow.run_dir(spark, sf_dir, "stream", uuid.uuid4().hex)
