@@ -72,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return _parent_of_checkpoint(current, spark)
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="churnkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured) if _is_modifiable(spark) else None
     sc.setCheckpointDir(configured)
