@@ -92,17 +92,19 @@ class CalibratedScorer:
 
 
 def fit_calibrated(train: DataFrame, make_pipeline, n_folds: int = K.CV_FOLDS,
-                   method: str = "isotonic") -> CalibratedScorer:
+                   method: str = "isotonic", prepare=lambda rows: rows) -> CalibratedScorer:
     """Per fold, base fit on the other folds, calibrator fit on the held-out
     fold's base output: isotonic (increasing, clamped at the ends) on the
-    probability, or sigmoid (Platt) on the decision function / probability."""
+    probability, or sigmoid (Platt) on the decision function / probability.
+    ``prepare`` adds what the base fit needs (class weights) to its training rows;
+    the calibrators see the held-out rows as they are."""
     from concurrent.futures import ThreadPoolExecutor
 
     if method not in ("isotonic", "sigmoid"):
         raise ValueError(f"calibration method must be 'isotonic' or 'sigmoid', got {method!r}")
 
     def one(i: int):
-        base = make_pipeline().fit(train.where(F.col("fold") != i))
+        base = make_pipeline().fit(prepare(train.where(F.col("fold") != i)))
         if method == "sigmoid":
             margin = uses_margin(base)
             held = ModelScorer(base).transform(train.where(F.col("fold") == i), out="_p", margin=margin)

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from churnkit import constants as K
 from churnkit.ml import segment as seg
 from churnkit.ml.score import CalibratedScorer, ModelScorer, fit_calibrated
+from churnkit.ml.shap import with_background
 from churnkit.ml.split import split_assign
-from churnkit.ml.train import FAST_PROFILE, compare_models, model_pipeline, select_best, with_label
+from churnkit.ml.train import FAST_PROFILE, balanced, compare_models, model_pipeline, select_best, with_label
 from churnkit.session import work_dir
 from churnkit.sources import artifacts
 
@@ -102,7 +103,8 @@ def explainer_model(spark: SparkSession, sf_dir: str):
         board = comparison(spark, sf_dir)
         names = [r["name"] for r in board.collect()]
         name = next(n for n in names if n in EXPLAINABLE)
-        _LOADED[key] = artifacts.load_trained_model(spark, run_dir(spark, sf_dir, "candidates", name))
+        model = artifacts.load_trained_model(spark, run_dir(spark, sf_dir, "candidates", name))
+        _LOADED[key] = with_background(model, split_table(spark, sf_dir).where(~F.col("is_test")))
     return _LOADED[key]
 
 
@@ -120,7 +122,7 @@ def calibrated_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
         best = select_best(board)["name"]
         data = with_label(split_table(spark, sf_dir)).where(~F.col("is_test"))
         n_fold_train = int(data.count() * (K.CV_FOLDS - 1) / K.CV_FOLDS)
-        scorer = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train))
+        scorer = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train, weight_col="w"), prepare=balanced)
         for i, (base, iso) in enumerate(scorer.pairs):
             base.write().overwrite().save(f"{path}/fold{i}/base")
             iso.write().overwrite().save(f"{path}/fold{i}/isotonic")
@@ -165,6 +167,6 @@ def sigmoid_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
         best = select_best(comparison(spark, sf_dir))["name"]
         data = with_label(split_table(spark, sf_dir)).where(~F.col("is_test"))
         n_fold_train = int(data.count() * (K.CV_FOLDS - 1) / K.CV_FOLDS)
-        _LOADED[key] = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train),
-                                      method="sigmoid")
+        _LOADED[key] = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train, weight_col="w"),
+                                      method="sigmoid", prepare=balanced)
     return _LOADED[key]

@@ -109,6 +109,30 @@ def test_stream_scores_valid_and_quarantines_invalid(spark, gbt, tmp_path):
     assert [b.customerID for b in bad] == ["C-1"] and bad[0].errors == ["tenure: must be a finite number in [0, 1200]"]
 
 
+def test_a_batch_that_fails_and_runs_again_leaves_no_row_twice(spark, gbt, tmp_path):
+    from churnkit.ml.score import ModelScorer
+    from churnkit.streaming import scoring_stream
+
+    class Failing(ModelScorer):
+        def transform(self, *args, **kwargs):
+            raise RuntimeError("lost")
+
+    src = raw(spark, SF).drop("Churn").orderBy(K.ID_COLUMN).limit(40)
+    src = src.withColumn("tenure", F.when(F.col(K.ID_COLUMN) == src.first()[K.ID_COLUMN], F.lit(5000)).otherwise(F.col("tenure")))
+    src.write.parquet(str(tmp_path / "land"))
+
+    def run(scorer):
+        stream = scoring_stream.read_subscriber_stream(spark, str(tmp_path / "land"))
+        scoring_stream.start_scoring_stream(spark, stream, scorer, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "ck")).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run(Failing(gbt))
+    run(ModelScorer(gbt))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 39 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    with pytest.raises(ValueError, match="label"):
+        scoring_stream.start_scoring_stream(spark, raw(spark, SF), ModelScorer(gbt), "a", "b", "c")
+
+
 def test_stream_refuses_without_model(spark, tmp_path):
     from churnkit.streaming import scoring_stream
 
@@ -152,3 +176,45 @@ def test_calibration_metrics_round_trip(spark, tmp_path):
     assert [tuple(r) for r in back] == [(0.15, 0.14, 0.84, 0.83, 0.08, 0.03)]
     with pytest.raises(FileNotFoundError):
         artifacts.load_calibration_metrics(spark, str(tmp_path / "missing"))
+
+
+def test_folds_are_stratified(split):
+    n = {(r.Churn, r.fold): r["count"] for r in split.where("NOT is_test").groupBy("Churn", "fold").count().collect()}
+    for label in (0, 1):
+        sizes = [n[label, f] for f in range(K.CV_FOLDS)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+def test_linear_contributions_do_not_depend_on_the_rows_explained(spark, split):
+    from churnkit.ml.shap import shap_contributions, with_background
+    from churnkit.ml.train import REFERENCE_PROFILE, balanced, model_pipeline, with_label
+
+    train = with_label(split.where("NOT is_test"))
+    model = model_pipeline("LogisticRegression", REFERENCE_PROFILE["LogisticRegression"], train.count(), weight_col="w").fit(balanced(train))
+    with pytest.raises(ValueError, match="training means"):
+        shap_contributions(spark, model, split.limit(5))
+    model = with_background(model, train)
+    some = split.orderBy(K.ID_COLUMN).limit(5)
+    phi = {r[K.ID_COLUMN]: r for r in shap_contributions(spark, model, split, keep=[K.ID_COLUMN]).collect()}
+    for r in shap_contributions(spark, model, some, keep=[K.ID_COLUMN]).collect():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(tuple(r)[1:], tuple(phi[r[K.ID_COLUMN]])[1:]))
+
+
+def test_class_weights_raise_recall(split):
+    from churnkit.ml.train import REFERENCE_PROFILE, balanced, model_pipeline, with_label
+
+    train, test = with_label(split.where("NOT is_test")), with_label(split.where("is_test"))
+    params = REFERENCE_PROFILE["LogisticRegression"]
+    found = []
+    for weight in (None, "w"):
+        m = model_pipeline("LogisticRegression", params, train.count(), weight_col=weight).fit(balanced(train))
+        found.append(m.transform(test).where("label = 1 AND prediction = 1").count())
+    assert found[1] > found[0]
+
+
+def test_a_copied_label_is_refused(split):
+    from churnkit.ml.train import evaluate_candidate
+
+    leaked = split.withColumn("MonthlyCharges", split.MonthlyCharges * 0 + split.Churn)
+    with pytest.raises(ValueError):
+        evaluate_candidate("LogisticRegression", leaked, {"C": 10.0, "maxIter": 50})
