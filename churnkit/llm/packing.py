@@ -34,7 +34,7 @@ from churnkit.llm.common import prepare, stash, texts
 
 WINDOW = 4096
 #: Chunks up to so many characters are remembered, up to twice so many of them.
-MEMO_CHARS, MEMO_SIZE = 40, 350_000
+MEMO_CHARS, MEMO_SIZE = 40, 200_000
 MARKS = ".,!&$%#*;:?"
 #: Byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -117,6 +117,7 @@ def tokenize(df: DataFrame, path: str, end_id: int) -> DataFrame:
             base = before.pop()
             yield pa.record_batch([pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), batch.column(0),
                                    pa.array(ids, pa.binary())], names=["part", "base", "doc_id", "ids"])
+        own.older = {}  # workers outlive their tasks: keep one generation only
 
     return texts(df).mapInArrow(run, "part int, base long, doc_id long, ids binary")
 
