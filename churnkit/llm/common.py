@@ -49,14 +49,16 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, which returns one table or batch, or several by and by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = rows(batch) if batch.num_rows else None
             if isinstance(out, pa.Table):
                 yield from out.to_batches()
+            elif isinstance(out, Iterator):
+                yield from out
             elif out is not None:
                 yield out
 
