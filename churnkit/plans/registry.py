@@ -124,7 +124,19 @@ def _calibration_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     test = _test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN))
     raw_p = workflow.raw_scorer(spark, sf_dir).transform(test, out="p_raw")
-    return workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
+    scored = workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
+    return _scored_once(spark, sf_dir, scored, ["y", "p_raw", "p_cal"])
+
+
+def _scored_once(spark: SparkSession, sf_dir: str, scored: DataFrame, columns: list[str]) -> DataFrame:
+    """Scores written to a table of their own, so that metrics with several passes run the models once."""
+    import uuid
+
+    from churnkit.ml import workflow
+
+    path = workflow.run_dir(spark, sf_dir, "scores", uuid.uuid4().hex)
+    scored.select(*columns).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _calibration_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +144,11 @@ def _calibration_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     its isotonic and sigmoid 5-fold calibrations (one row per method)."""
     from churnkit.ml import workflow
 
-    frame = workflow.sigmoid_scorer(spark, sf_dir).transform(_calibration_frame(spark, sf_dir), out="p_sig")
+    test = _test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN))
+    frame = workflow.raw_scorer(spark, sf_dir).transform(test, out="p_raw")
+    frame = workflow.calibrated_scorer(spark, sf_dir).transform(frame, out="p_cal")
+    frame = workflow.sigmoid_scorer(spark, sf_dir).transform(frame, out="p_sig")
+    frame = _scored_once(spark, sf_dir, frame, ["y", "p_raw", "p_cal", "p_sig"])
     out = None
     for method, col in (("raw", "p_raw"), ("isotonic", "p_cal"), ("sigmoid", "p_sig")):
         m = metrics.classification_metrics(frame, p=col).select("brier", "auc")
@@ -219,6 +235,11 @@ def _ml_queries() -> dict[str, Query]:
         artifacts.save_calibration_metrics(metrics.calibration_report(_calibration_frame(s, d)), path)
         return artifacts.load_calibration_metrics(s, path)
 
+    def reliability(s, d):
+        frame = _calibration_frame(s, d)
+        return metrics.reliability_curve(frame, p="p_raw").withColumn("model", F.lit("raw")).unionByName(
+            metrics.reliability_curve(frame, p="p_cal").withColumn("model", F.lit("calibrated")))
+
     def global_shap(s, d):
         return _global_shap(s, d, workflow.explainer_model(s, d))
 
@@ -250,9 +271,7 @@ def _ml_queries() -> dict[str, Query]:
         "sample_actions": lambda s, d: actions.recommend_for_customers(
             s, clean.prepare_scoring_input(clean.hash_sample(raw(s, d), 5)), workflow.calibrated_scorer(s, d),
             workflow.explainer_model(s, d)).select(K.ID_COLUMN, "risk_tier", "priority", "category", "action"),
-        "model_reliability_curve": lambda s, d: metrics.reliability_curve(
-            _calibration_frame(s, d), p="p_raw").withColumn("model", F.lit("raw")).unionByName(
-            metrics.reliability_curve(_calibration_frame(s, d), p="p_cal").withColumn("model", F.lit("calibrated"))),
+        "model_reliability_curve": reliability,
         "value_segments": lambda s, d: segmented(s, d).select(K.ID_COLUMN, "ValueSegment"),
         "segment_summary": lambda s, d: segment.segment_summary(segmented(s, d)),
         "segment_profile": lambda s, d: segment.segment_profile(segment.segment_summary(segmented(s, d))),

@@ -1,19 +1,28 @@
-"""Aggregate operators on the reference's hand-computed mini frames."""
+"""Aggregate operators on generated rows against slow counts in Python, and on edge cases."""
 
 import math
+import random
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import base_row, frame
 
+from churnkit import constants as K
 from churnkit.operators import cohorts, eda, kpi, tiers
 
 
-def test_iqr_fence_mini_frame(spark):
-    df = spark.createDataFrame([(float(v),) for v in [10, 12, 14, 16, 18, 20, 100]], "value double")
-    row = eda.summarize_outliers(df, ["value"]).first()
-    assert (row.q1, row.q3, row.iqr, row.lower_bound, row.upper_bound) == (13.0, 19.0, 6.0, 4.0, 28.0)
-    assert row.n_outliers == 1 and row.pct_outliers == 14.29
+def test_iqr_fence_against_numpy(spark):
+    r = random.Random(11)
+    values = [round(r.gauss(40, 6), 3) for _ in range(241)] + [400.0, -300.0, 90.5]
+    row = eda.summarize_outliers(spark.createDataFrame([(v,) for v in values], "value double"), ["value"]).first()
+    low, high = np.quantile(values, [0.25, 0.75])
+    fences = low - 1.5 * (high - low), high + 1.5 * (high - low)
+    outside = sum(not fences[0] <= v <= fences[1] for v in values)
+    assert (row.q1, row.q3, row.lower_bound, row.upper_bound) == pytest.approx((low, high, *fences), abs=1e-6)
+    assert outside >= 3 and row.n_outliers == outside
+    assert row.pct_outliers == pytest.approx(100 * outside / len(values), abs=0.006)
 
 
 def test_outliers_empty_column_list(spark):
@@ -33,14 +42,21 @@ def test_moments_are_bias_adjusted(spark):
     assert row.median == pytest.approx(s.median())
 
 
-def test_cohort_rates(spark):
-    df = frame(spark, [base_row(customerID=f"T-{i}", tenure=t, Churn=c)
-                       for i, (t, c) in enumerate([(0, 1), (6, 0), (15, 1)])])
-    rows = {r.cohort: r for r in cohorts.cohort_summary(df).collect()}
-    assert list(rows) == ["0-12", "12-24", "24-48", "48-72"]
-    assert (rows["0-12"].customers, rows["0-12"].churn_rate, rows["0-12"].retention_rate) == (2, 50.0, 50.0)
-    assert (rows["12-24"].customers, rows["12-24"].churn_rate, rows["12-24"].retention_rate) == (1, 100.0, 0.0)
-    assert rows["24-48"].customers == 0 and rows["24-48"].churn_rate is None
+def test_cohort_rates_against_a_count(spark):
+    r = random.Random(12)
+    rows = [(r.choice([*range(20), 30, 41]), int(r.random() < 0.4)) for _ in range(160)]
+    got = {x.cohort: x for x in cohorts.cohort_summary(
+        frame(spark, [base_row(customerID=f"T-{i}", tenure=t, Churn=c) for i, (t, c) in enumerate(rows)])).collect()}
+    edges = [tuple(map(int, name.split("-"))) for name in K.TENURE_COHORT_LABELS]
+    for name, (low, high) in zip(K.TENURE_COHORT_LABELS, edges):
+        labels = [c for t, c in rows if low < t <= high or t == low == 0]
+        assert got[name].customers == len(labels)
+        if labels:
+            share = 100 * sum(labels) / len(labels)
+            assert (got[name].churn_rate, got[name].retention_rate) == pytest.approx((share, 100 - share), abs=0.006)
+        else:
+            assert got[name].churn_rate is None and got[name].retention_rate is None
+    assert any(not x.customers for x in got.values())
 
 
 def test_retention_curve_shape(spark):
@@ -69,11 +85,13 @@ def test_kpi_zero_revenue_has_undefined_lost_share(spark):
     assert row.total_mrr == 0.0 and row.lost_mrr_pct is None
 
 
-def test_tier_summary(spark):
-    ps = [0.1, 0.1, 0.4, 0.6, 0.6, 0.6, 0.9, 0.9, 0.9, 0.9]
-    df = spark.createDataFrame([(p,) for p in ps], "churn_probability double")
-    out = [(r.risk_tier, r["count"], r.pct) for r in tiers.risk_tier_summary(tiers.assign_risk_tiers(df)).collect()]
-    assert out == [("Critical", 4, 40.0), ("High", 3, 30.0), ("Medium", 1, 10.0), ("Low", 2, 20.0)]
+def test_tier_summary_counts_every_row(spark):
+    r = random.Random(13)
+    df = tiers.assign_risk_tiers(spark.createDataFrame([(r.random() ** 2,) for _ in range(333)], "churn_probability double"))
+    count = Counter(x.risk_tier for x in df.collect())
+    got = tiers.risk_tier_summary(df).collect()
+    assert {x.risk_tier: x["count"] for x in got} == count and sum(count.values()) == 333
+    assert [x.pct for x in got] == pytest.approx([100 * count[x.risk_tier] / 333 for x in got], abs=0.06)
 
 
 def test_tier_summary_empty(spark):
@@ -95,8 +113,6 @@ def test_chi_square_pvalue_matches_closed_forms(spark):
 
 
 def test_class_density_integrates_to_one(spark):
-    import random
-
     rnd = random.Random(3)
     rows = [(float(rnd.gauss(50, 10)), i % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "MonthlyCharges double, Churn int")
