@@ -25,7 +25,7 @@ def main() -> None:
     from churnkit import constants as K
     from churnkit.ml import actions, lime, workflow
     from churnkit.ml.score import ModelScorer, classify_scored_customers
-    from churnkit.ml.train import FAST_PROFILE, model_pipeline, with_label
+    from churnkit.ml.train import REFERENCE_PROFILE, model_pipeline, with_label
     from churnkit.plans.registry import all_queries, cleaned, raw
     from churnkit.session import local_session
 
@@ -54,7 +54,7 @@ def main() -> None:
     train = data.where(~F.col("is_test"))
     t0 = time.time()
     n_train = train.count()
-    model = model_pipeline("XGBoost", FAST_PROFILE["XGBoost"], n_train).fit(train)
+    model = model_pipeline("XGBoost", REFERENCE_PROFILE["XGBoost"], n_train).fit(train)
     times["train_gbt"] = round(time.time() - t0, 3)
 
     base = cleaned(spark, sf_dir).cache()

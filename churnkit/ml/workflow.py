@@ -1,13 +1,15 @@
 """Train -> select -> persist -> calibrate -> segment, once per dataset.
 
 Artifacts live under the shared checkpoint folder (``spark.checkpoint.dir``), keyed
-by dataset and code version; every later query loads them instead of refitting.
+by dataset, code version and model sizes; every later query loads them instead of refitting.
 The keyed split is written as a table once, so training and calibration read the
 same rows (and lineage is cut there).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,13 @@ from churnkit.ml import segment as seg
 from churnkit.ml.score import CalibratedScorer, ModelScorer, fit_calibrated
 from churnkit.ml.shap import with_background
 from churnkit.ml.split import split_assign
-from churnkit.ml.train import FAST_PROFILE, balanced, compare_models, model_pipeline, select_best, with_label
+from churnkit.ml.train import REFERENCE_PROFILE, balanced, compare_models, model_pipeline, select_best, with_label
 from churnkit.session import work_dir
 from churnkit.sources import artifacts
 
 def _code_version() -> str:
     """Digest of the code that shapes persisted artifacts, so a changed split,
     cleaning, feature or training step never reuses models trained before it."""
-    import hashlib
     import pathlib
 
     root = pathlib.Path(__file__).resolve().parent.parent
@@ -50,9 +51,14 @@ def _load_once(path: str, loader):
     return _LOADED[path]
 
 
-def run_dir(spark: SparkSession, sf_dir: str, *parts: str) -> str:
+def _profile_key(profile: dict | None) -> str:
+    return hashlib.sha1(json.dumps(profile or REFERENCE_PROFILE, sort_keys=True).encode()).hexdigest()[:8]
+
+
+def run_dir(spark: SparkSession, sf_dir: str, *parts: str, profile: dict | None = None) -> str:
+    """Folder of a dataset's artifacts; models of other sizes than the reference's have one of their own."""
     slug = re.sub(r"[^A-Za-z0-9]+", "_", sf_dir.strip("/"))
-    return work_dir(spark, "runs", f"{CACHE_VERSION}_{slug}", *parts)
+    return work_dir(spark, "runs", f"{CACHE_VERSION}_{_profile_key(profile)}_{slug}", *parts)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,17 +78,17 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparison(spark: SparkSession, sf_dir: str, profile: dict | None = None) -> DataFrame:
     """Compare candidates, persist every candidate model, mark the best as
     production, write the comparison CSV and one run-log row per candidate."""
-    path = run_dir(spark, sf_dir, "comparison")
+    profile = profile or REFERENCE_PROFILE
+    path = run_dir(spark, sf_dir, "comparison", profile=profile)
     if not artifacts.path_exists(spark, f"{path}/_SUCCESS"):
-        profile = profile or FAST_PROFILE
         table, models = compare_models(split_table(spark, sf_dir), profile)
         rows = {r["name"]: r.asDict() for r in table.collect()}
         best = select_best(table)
         for name, model in models.items():
-            artifacts.save_model_artifact(spark, model, run_dir(spark, sf_dir, "candidates", name), name, rows[name])
-            artifacts.log_run(spark, run_dir(spark, sf_dir, "model_runs"), name, profile[name], rows[name],
+            artifacts.save_model_artifact(spark, model, run_dir(spark, sf_dir, "candidates", name, profile=profile), name, rows[name])
+            artifacts.log_run(spark, run_dir(spark, sf_dir, "model_runs", profile=profile), name, profile[name], rows[name],
                               {"best_model": str(name == best["name"])})
-        artifacts.save_model_artifact(spark, models[best["name"]], run_dir(spark, sf_dir, "production"),
+        artifacts.save_model_artifact(spark, models[best["name"]], run_dir(spark, sf_dir, "production", profile=profile),
                                       best["name"], rows[best["name"]])
         artifacts.save_comparison(table, path)
     return artifacts.load_leaderboard(spark, path)
@@ -122,7 +128,7 @@ def calibrated_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
         best = select_best(board)["name"]
         data = with_label(split_table(spark, sf_dir)).where(~F.col("is_test"))
         n_fold_train = int(data.count() * (K.CV_FOLDS - 1) / K.CV_FOLDS)
-        scorer = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train, weight_col="w"), prepare=balanced)
+        scorer = fit_calibrated(data, lambda: model_pipeline(best, REFERENCE_PROFILE[best], n_fold_train, weight_col="w"), prepare=balanced)
         for i, (base, iso) in enumerate(scorer.pairs):
             base.write().overwrite().save(f"{path}/fold{i}/base")
             iso.write().overwrite().save(f"{path}/fold{i}/isotonic")
@@ -167,6 +173,6 @@ def sigmoid_scorer(spark: SparkSession, sf_dir: str) -> CalibratedScorer:
         best = select_best(comparison(spark, sf_dir))["name"]
         data = with_label(split_table(spark, sf_dir)).where(~F.col("is_test"))
         n_fold_train = int(data.count() * (K.CV_FOLDS - 1) / K.CV_FOLDS)
-        _LOADED[key] = fit_calibrated(data, lambda: model_pipeline(best, FAST_PROFILE[best], n_fold_train, weight_col="w"),
+        _LOADED[key] = fit_calibrated(data, lambda: model_pipeline(best, REFERENCE_PROFILE[best], n_fold_train, weight_col="w"),
                                       method="sigmoid", prepare=balanced)
     return _LOADED[key]

@@ -162,7 +162,7 @@ def _fit_diagnostic(spark: SparkSession, sf_dir: str):
     """Throwaway boosted-tree driver model weighted n_neg/n_pos (from the
     training rows only); fit once per process."""
     from churnkit.ml import workflow
-    from churnkit.ml.train import model_pipeline, with_label
+    from churnkit.ml.train import DIAGNOSTIC_PARAMS, model_pipeline, with_label
 
     key = workflow.run_dir(spark, sf_dir, "diagnostic")
     if key not in workflow._LOADED:
@@ -171,8 +171,7 @@ def _fit_diagnostic(spark: SparkSession, sf_dir: str):
         counts = {r[K.TARGET_COLUMN]: r["count"] for r in train.groupBy(K.TARGET_COLUMN).count().collect()}
         w = counts.get(0, 0) / max(counts.get(1, 0), 1)
         train = train.withColumn("w", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
-        params = {"maxIter": 40, "maxDepth": 4, "stepSize": 0.1}
-        workflow._LOADED[key] = (model_pipeline("Diagnostic", params, 0, weight_col="w").fit(train), w)
+        workflow._LOADED[key] = (model_pipeline("Diagnostic", DIAGNOSTIC_PARAMS, 0, weight_col="w").fit(train), w)
     return workflow._LOADED[key]
 
 

@@ -218,3 +218,26 @@ def test_a_copied_label_is_refused(split):
     leaked = split.withColumn("MonthlyCharges", split.MonthlyCharges * 0 + split.Churn)
     with pytest.raises(ValueError):
         evaluate_candidate("LogisticRegression", leaked, {"C": 10.0, "maxIter": 50})
+
+
+def test_queries_train_models_of_the_reference_sizes(spark, monkeypatch):
+    from churnkit.ml import train, workflow
+
+    assert not hasattr(train, "FAST_PROFILE")
+    forest, boosted = train.REFERENCE_PROFILE["RandomForest"], train.REFERENCE_PROFILE["XGBoost"]
+    assert (forest["numTrees"], forest["maxDepth"], boosted["maxIter"], train.DIAGNOSTIC_PARAMS["maxIter"]) == (300, 30, 200, 200)
+    asked = []
+
+    def compare(data, profile):
+        asked.append(profile)
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(workflow, "compare_models", compare)
+    monkeypatch.setattr(workflow, "CACHE_VERSION", "test-sizes")
+    monkeypatch.setattr(workflow, "split_table", lambda s, d: None)
+    small = {"LogisticRegression": {"C": 10.0, "maxIter": 5}}
+    for profile in (None, small):
+        with pytest.raises(RuntimeError, match="seen"):
+            workflow.comparison(spark, SF, profile)
+    assert asked == [train.REFERENCE_PROFILE, small]
+    assert workflow.run_dir(spark, SF, "comparison", profile=small) != workflow.run_dir(spark, SF, "comparison")
