@@ -137,11 +137,15 @@ def extra_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in allowed]
 
 
-def validate(df: DataFrame) -> DataFrame:
+def validate(df: DataFrame, label_seen: str | None = None) -> DataFrame:
     """C11: add ``errors`` (array<string>) and ``is_valid``; an extra column such as a
-    Churn label invalidates every row (leakage guard)."""
-    extras = extra_columns(df)
+    Churn label invalidates every row (leakage guard).  ``label_seen`` names a flag
+    of the rows whose source held a label: it invalidates those."""
+    extras = [c for c in extra_columns(df) if c != label_seen]
     errs = validation_errors(df)
+    if label_seen:
+        errs = F.concat(errs, F.when(F.col(label_seen), F.array(F.lit(f"{K.TARGET_COLUMN}: extra field not permitted")))
+                        .otherwise(F.array().cast("array<string>")))
     if extras:
         errs = F.concat(errs, F.array(*[F.lit(f"{c}: extra field not permitted") for c in extras]))
     return df.withColumn("errors", errs).withColumn("is_valid", F.size("errors") == 0)

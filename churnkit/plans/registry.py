@@ -88,7 +88,7 @@ def rule_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rule_queries() -> dict[str, Query]:
     feats = list(drivers.RULE_CONTRIBUTIONS)
     return {
-        "validated_subscribers": lambda s, d: clean.validate(clean.prepare_scoring_input(raw(s, d))).select(
+        "validated_subscribers": lambda s, d: clean.validate(raw(s, d).drop(K.TARGET_COLUMN)).select(
             K.ID_COLUMN, "is_valid", F.array_join("errors", ";").alias("errors")),
         "charge_outliers": lambda s, d: clean.iqr_outliers(cleaned(s, d), "TotalCharges").select(
             K.ID_COLUMN, "TotalCharges"),

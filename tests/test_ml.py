@@ -241,3 +241,30 @@ def test_queries_train_models_of_the_reference_sizes(spark, monkeypatch):
             workflow.comparison(spark, SF, profile)
     assert asked == [train.REFERENCE_PROFILE, small]
     assert workflow.run_dir(spark, SF, "comparison", profile=small) != workflow.run_dir(spark, SF, "comparison")
+
+
+def test_validated_subscribers_reports_raw_values_that_cleaning_would_mend(spark, monkeypatch):
+    from churnkit.plans import registry
+
+    rows = raw(spark, SF)
+    ids = [r[0] for r in rows.select(K.ID_COLUMN).orderBy(K.ID_COLUMN).limit(2).collect()]
+    broken = rows.withColumn("TotalCharges", F.when(F.col(K.ID_COLUMN) == ids[0], "abc").otherwise(F.col("TotalCharges")))
+    broken = broken.withColumn("SeniorCitizen", F.when(F.col(K.ID_COLUMN) == ids[1], 7).otherwise(F.col("SeniorCitizen")))
+    monkeypatch.setattr(registry, "raw", lambda s, d: broken)
+    got = {r[K.ID_COLUMN]: r.errors for r in registry.all_queries()["validated_subscribers"](spark, SF).where("NOT is_valid").collect()}
+    assert got == {ids[0]: "TotalCharges: must be a finite number in [0, 1e+07]", ids[1]: "SeniorCitizen: not in allowed values"}
+
+
+def test_stream_refuses_rows_whose_file_holds_a_label(spark, gbt, tmp_path):
+    from churnkit.ml.score import ModelScorer
+    from churnkit.streaming import scoring_stream
+
+    src = raw(spark, SF).orderBy(K.ID_COLUMN).limit(40).cache()
+    first = src.first()[K.ID_COLUMN]
+    src.where(F.col(K.ID_COLUMN) == first).write.parquet(str(tmp_path / "land"))
+    src.where(F.col(K.ID_COLUMN) != first).drop(K.TARGET_COLUMN).write.mode("append").parquet(str(tmp_path / "land"))
+    stream = scoring_stream.read_subscriber_stream(spark, str(tmp_path / "land"))
+    scoring_stream.start_scoring_stream(spark, stream, ModelScorer(gbt), str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 39
+    bad = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert [(b[K.ID_COLUMN], b.errors) for b in bad] == [(first, ["Churn: extra field not permitted"])]
