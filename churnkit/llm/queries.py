@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.llm import ann, bpe, chat, chunking, packing, pages, quality, repair, simhash, suffix, windows
+from churnkit.llm import align, ann, bpe, chat, chunking, packing, pages, quality, repair, simhash, suffix, windows
 from churnkit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of every document by two tokenizers, and count how often their ids are linked."""
+    return align.alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damage all conversations and repair them with the cheapest edits."""
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
@@ -94,6 +99,6 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_suffix_dedup, op3_compact_windows, op4_html, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format,
-    op12_conversation_repair)}
+    op11_token_alignment, op12_conversation_repair)}
 #: None of these results can be stated in SQL that is fast on whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
