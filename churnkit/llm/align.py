@@ -24,11 +24,13 @@ along; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from churnkit.llm.common import arrow_map, prepare, stash, texts
 from churnkit.llm.packing import BYTE_LEVEL
 
 #: Pieces up to so many characters are remembered, up to twice so many of them; so many bytes of new pieces are aligned at once.
-MEMO_CHARS, MEMO_SIZE, BLOCK_BYTES = 48, 120_000, 1 << 20
+MEMO_CHARS, MEMO_SIZE, BLOCK_BYTES = 48, 100_000, 1 << 20
 BLANK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=\S)").split
 _WIDTH = 40  # bits of a count within a packed sum of counts
@@ -124,6 +126,27 @@ def align_tokens(a_lengths: np.ndarray, b_lengths: np.ndarray) -> Alignment:
     return Alignment(overlap, a_group, b_group, closing.times(others.transposed()))
 
 
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All entries, and the row of each."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(size.sum())), np.repeat(np.arange(len(rows)), size)
+
+
+class TokenBytes:
+    """The bytes of each token of a vocabulary."""
+
+    def __init__(self, entries: list[bytes]) -> None:
+        self.entries = entries
+        self.length = np.array([len(x) for x in entries], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.all = np.frombuffer(b"".join(entries), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        return self.all[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[ids] - (ends - size), size)]
+
+
 class Codec:
     """Both tokenizers, their tokens' bytes and the numbered id pairs that can end together."""
 
@@ -138,13 +161,16 @@ class Codec:
         self.a.encode_special_tokens = True  # control strings in a text are ordinary text
         self.b = SentencePieceProcessor(model_file=b_path)
         level = {chr(c): b for b, c in BYTE_LEVEL.items()} | {chr(b): b for b in range(256) if b not in BYTE_LEVEL}
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(level[c] for c in token) if all(c in level for c in token) else token.encode("utf-8")
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
+        vocabulary = self.a.get_vocab()
+        entries = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            entries[i] = bytes(level[c] for c in token) if all(c in level for c in token) else token.encode("utf-8")
+        self.a_bytes = TokenBytes(entries)
+        self.b_bytes = TokenBytes([self._piece(i) for i in range(self.b.get_piece_size())])
         self.pair_codes = self._pairs()
+        ids = [str(i) for i in range(max(len(self.a_bytes.entries), len(self.b_bytes.entries)))]
+        marks = [x + m for own, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for x in ids[:len(own.entries)] for m in (",", last)]
+        self.marked, self.marked_length = np.array(marks, dtype=object), np.array([len(x) for x in marks], np.int64)
         self.cuts = self._may_cut(json.loads(self.a.to_str()))
         self.known: dict[str, tuple[int, str | None, bytes]] = {}
         self.older: dict[str, tuple[int, str | None, bytes]] = {}
@@ -158,12 +184,12 @@ class Codec:
         of_a: dict[bytes, list[int]] = {}
         of_b: dict[bytes, list[int]] = {}
         for own, table in ((self.a_bytes, of_a), (self.b_bytes, of_b)):
-            for i, x in enumerate(own):
+            for i, x in enumerate(own.entries):
                 if x:
                     table.setdefault(x, []).append(i)
-        found = {(i << 32) | j for i, x in enumerate(self.a_bytes) for k in range(len(x)) for j in of_b.get(x[k:], ())}
-        found |= {(i << 32) | j for j, x in enumerate(self.b_bytes) for k in range(len(x)) for i in of_a.get(x[k:], ())}
-        return np.array(sorted(found), np.int64)
+        ends = chain(((i << 32) | j for i, x in enumerate(self.a_bytes.entries) for k in range(len(x)) for j in of_b.get(x[k:], ())),
+                     ((i << 32) | j for j, x in enumerate(self.b_bytes.entries) for k in range(len(x)) for i in of_a.get(x[k:], ())))
+        return np.unique(np.fromiter(ends, np.int64))
 
     def _may_cut(self, a: dict) -> bool:
         """Whether no token can cross a single space between two other characters: the first tokenizer splits there by its pattern,
@@ -181,16 +207,21 @@ class Codec:
         """Ids by both tokenizers of a blank and each piece; none where the joined bytes of one are not the piece's."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1)
-        for k, p in enumerate(pieces):
-            raw = b" " + p.encode("utf-8")
-            if not p or b"".join([self.a_bytes[i] for i in a[k]]) != raw or b"".join([self.b_bytes[i] for i in b[k]]) != raw:
-                a[k], b[k] = [], []
+        raw = [b" " + p.encode("utf-8") for p in pieces]
+        odd = {k for k, p in enumerate(pieces) if not p}
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        given = np.frombuffer(b"".join(raw), np.uint8)
+        for ids, own in ((a, self.a_bytes), (b, self.b_bytes)):
+            flat, of = _flat(ids)
+            if not np.array_equal(np.bincount(of, own.length[flat], minlength=len(pieces)).astype(np.int64), size) or not np.array_equal(own.joined(flat), given):
+                odd.update(k for k, x in enumerate(raw) if own.joined(np.array(ids[k], np.int64)).tobytes() != x)
+        for k in odd:
+            a[k], b[k] = [], []
         return a, b
 
     def aligned(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, Alignment]:
-        flat_a = np.array([i for ids in a for i in ids], np.int64)
-        flat_b = np.array([i for ids in b for i in ids], np.int64)
-        return flat_a, flat_b, align_tokens(self.a_length[flat_a], self.b_length[flat_b])
+        flat_a, flat_b = _flat(a)[0], _flat(b)[0]
+        return flat_a, flat_b, align_tokens(self.a_bytes.length[flat_a], self.b_bytes.length[flat_b])
 
     def study(self, pieces: list[str]) -> Iterator[tuple[str, tuple[int, str | None, bytes]]]:
         """For each piece, what is kept of it: packed counts of tokens and groups, its groups as text (none if a tokenizer does not
@@ -198,22 +229,23 @@ class Codec:
         a, b = self.encode(pieces)
         flat_a, flat_b, found = self.aligned(a, b)
         link_a, link_b = found.closing.row_numbers(), found.closing.columns
-        numbers = np.searchsorted(self.pair_codes, (flat_a[link_a] << 32) | flat_b[link_b]).astype("<i4")
-        a_text, b_text = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = len(numbers)
-        a_from = np.r_[0, np.flatnonzero(np.diff(found.a_group)) + 1, len(flat_a)].tolist()
-        b_from = np.r_[0, np.flatnonzero(np.diff(found.b_group)) + 1, len(flat_b)].tolist()
-        said = [f"{','.join(a_text[a_from[g]:a_from[g + 1]])}|{','.join(b_text[b_from[g]:b_from[g + 1]])}" for g in range(groups)]
-        raw, g, at_a = numbers.tobytes(), 0, 0
-        group_of = found.a_group.tolist()
-        for p, own_a, own_b in zip(pieces, a, b, strict=True):
-            if not own_a:
+        raw = np.searchsorted(self.pair_codes, (flat_a[link_a] << 32) | flat_b[link_b]).astype("<i4").tobytes()
+        n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        # all tokens, by group, those of A before those of B, each with the mark that follows it
+        group, last = np.concatenate([found.a_group, found.b_group]), np.zeros(len(flat_a) + len(flat_b), np.int64)
+        last[link_a], last[len(flat_a) + link_b] = 1, 1
+        order = np.argsort(2 * group + np.repeat((0, 1), (len(flat_a), len(flat_b))), kind="stable")
+        number = (np.concatenate([flat_a, len(self.a_bytes.entries) + flat_b]) * 2 + last)[order]
+        said = "".join(self.marked[number].tolist())
+        stop = np.r_[0, np.cumsum(self.marked_length[number])][np.cumsum(n_a + n_b)].tolist()
+        groups = np.r_[found.a_group + 1, 0][np.cumsum(n_a) - 1].tolist() if len(flat_a) else [0] * len(pieces)
+        g = at = 0
+        for p, x, y, end, until in zip(pieces, n_a.tolist(), n_b.tolist(), groups, stop, strict=True):
+            if not x:
                 yield p, (0, None, b"")
                 continue
-            at_a += len(own_a)
-            end = group_of[at_a - 1] + 1
-            yield p, (len(own_a) | len(own_b) << _WIDTH | (end - g) << 2 * _WIDTH, ";".join(said[g:end]), raw[4 * g:4 * end])
-            g = end
+            yield p, (x | y << _WIDTH | (end - g) << 2 * _WIDTH, said[at:until - 1], raw[4 * g:4 * end])
+            g, at = end, until
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, str | None, bytes]]:
         """What is kept of ``pieces``: remembered, moved back from the older half of the memo, or found now."""
@@ -235,22 +267,33 @@ class Codec:
 
     def results(self, batch: list[str]) -> list[tuple[int, int, int, str, bytes]]:
         """``(n_a, n_b, n_groups, groups, links)`` of each text."""
-        split = [_CUT(t) if self.cuts else [t] for t in batch]
-        new = {p for parts in split for p in parts if p not in self.known}
-        now = self.learn(new) if new else {}
-        known, out = self.known, []
-        mask = (1 << _WIDTH) - 1
+        gc.disable()  # many small acyclic objects
+        try:
+            return self._results(batch)
+        finally:
+            gc.enable()
+
+    def _results(self, batch: list[str]) -> list[tuple[int, int, int, str, bytes]]:
+        known, new = self.known, set()
+        split = [t.split(" ") if self.cuts else [t] for t in batch]
+        for k, parts in enumerate(split):
+            own = set(parts).difference(known)
+            if self.cuts and any(p != p.strip() or not p for p in own):
+                split[k] = _CUT(batch[k])  # a space beside other white space is no place to cut
+                own = set(split[k]).difference(known)
+            new |= own
+        known.update(self.learn(new))
+        out, mask = [], (1 << _WIDTH) - 1
         for parts in split:
-            own = [known.get(p) or now[p] for p in parts]
-            groups = [o[1] for o in own]
+            packed, groups, links = zip(*map(known.__getitem__, parts), strict=True)
             if None in groups:
                 out.append((0, 0, 0, "", b""))
                 continue
-            packed = sum([o[0] for o in own])
-            out.append((packed & mask, packed >> _WIDTH & mask, packed >> 2 * _WIDTH, ";".join(groups), b"".join([o[2] for o in own])))
-        for p, kept in now.items():
-            if len(p) <= MEMO_CHARS:
-                known[p] = kept
+            n = sum(packed)
+            out.append((n & mask, n >> _WIDTH & mask, n >> 2 * _WIDTH, ";".join(groups), b"".join(links)))
+        for p in new:
+            if len(p) > MEMO_CHARS or p != p.strip() or not p:
+                del known[p]
         if len(known) > MEMO_SIZE:
             self.older = dict(list(known.items())[-MEMO_SIZE:])
             known.clear()

@@ -17,7 +17,7 @@ from tests.llm.helpers import docs, words
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["", None, " ", "  ", "a", "Hello, world!", "two  spaces\tand\n\nlines ", "né à ﬁ １２ ①", "日本語のテキスト", "<|endoftext|> <s> </s> <unk> <0x0A>", "a▁b",
          "😀 👩‍👩‍👧 é", "x" * 300, " lead", "trail ", "!!!!!!!! ....... 12345678901234", "zero\x00byte", " nbsp  em", "it's we'll I'd 's", "x\r\ny \r z",
-         "ok " * 2000, "same text here", "same text here", "\x1c a \x85 b"]
+         "ok " * 2000, "same text here", "same text here", "\x1c a \x85 b", "\nfirst line", "a \nfirst line\n b", "x \t y"]
 
 
 def sparse(m):
@@ -63,9 +63,9 @@ def expected(rows):
         full = (" " + (text or "")).encode()
         a = own.a.encode(" " + (text or ""), add_special_tokens=False).ids
         b = own.b.encode(text or "")
-        if not text or b"".join(own.a_bytes[i] for i in a) != full or b"".join(own.b_bytes[i] for i in b) != full:
+        if not text or b"".join(own.a_bytes.entries[i] for i in a) != full or b"".join(own.b_bytes.entries[i] for i in b) != full:
             a, b = [], []
-        ends = [{int(e): k for k, e in enumerate(np.cumsum([len(t[i]) for i in ids]))} for ids, t in ((a, own.a_bytes), (b, own.b_bytes))]
+        ends = [{int(e): k for k, e in enumerate(np.cumsum([len(t[i]) for i in ids]))} for ids, t in ((a, own.a_bytes.entries), (b, own.b_bytes.entries))]
         cuts = sorted(ends[0].keys() & ends[1].keys())
         groups, links, i, j = [], [], 0, 0
         for c in cuts:
