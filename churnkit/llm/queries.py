@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnkit.llm import align, ann, bpe, chat, chunking, packing, pages, quality, repair, simhash, suffix, windows
+from churnkit.llm import align, ann, bpe, chat, chunking, packing, pages, quality, repair, simhash, suffix, toxicity, windows
 from churnkit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,8 +97,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity, learned from the labels that are not held out."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_byte_bpe, op2_suffix_dedup, op3_compact_windows, op4_html, op5_packing, op6_quality, op7_fingerprints, op8_simhash, op9_ann, op10_chat_format,
-    op11_token_alignment, op12_conversation_repair)}
+    op11_token_alignment, op12_conversation_repair, op13_toxicity)}
 #: None of these results can be stated in SQL that is fast on whole tables; tests/llm holds them against brute force.
 SQL: dict[str, str] = {}
