@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -49,7 +50,7 @@ SENTENCE_WORDS = 16
 #: Landmarks: telling words, usual words, and those of the most usual ``OTHERS`` that are nearest to the telling ones.
 TELLING, USUAL, NEAR, OTHERS = 240, 64, 96, 20_000
 #: Training documents, and their characters, of each class at most; words up to so many characters are remembered, so many of them.
-SAMPLE_DOCS, SAMPLE_CHARS, MEMO_CHARS, MEMO_SIZE = 5000, 10_000_000, 48, 400_000
+SAMPLE_DOCS, SAMPLE_CHARS, MEMO_CHARS, MEMO_SIZE = 4000, 6_000_000, 48, 400_000
 #: Characters of texts that are scored at once.
 BLOCK_CHARS = 2 << 20
 #: Rounds of choosing sentences, sentences of a document that is not toxic added in each, and the weight of the loss.
@@ -153,7 +154,7 @@ class Landmarks:
             np.add.at(w, (row, np.concatenate([x for _, x, _ in parts])[full]), np.concatenate([np.full(len(k), v) for k, _, v in parts])[full])
             self.keys[order], self.weights[order] = names, w / own.norm
 
-    def kernel(self, words: list[str], block: int = 2000) -> np.ndarray:
+    def kernel(self, words: list[str], block: int = 200) -> np.ndarray:
         """Kernels of words with the landmarks."""
         out = np.zeros((len(words), len(self.words)))
         row = {}
@@ -184,23 +185,30 @@ class Landmarks:
         return out
 
 
-def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: float, steps: int = 30) -> tuple[np.ndarray, float]:
+def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: float, steps: int = 30, block: int = 4096) -> tuple[np.ndarray, float]:
     """Least |w|^2 / 2 + loss * sum of weight * max(0, 1 - y (x w + b))^2, by Newton steps on the rows inside the margin."""
     n, m = x.shape
-    x1 = np.c_[x, np.ones(n)]
     ridge = np.r_[np.ones(m), 1e-6]
     w = np.zeros(m + 1)
 
+    def slack(w: np.ndarray) -> np.ndarray:
+        return 1 - y * (np.concatenate([x[k:k + block].astype(np.float64) @ w[:-1] for k in range(0, n, block)]) + w[-1])
+
     def cost(w: np.ndarray) -> float:
-        return float(ridge @ (w * w)) / 2 + loss * float(weight @ np.maximum(0, 1 - y * (x1 @ w)) ** 2)
+        return float(ridge @ (w * w)) / 2 + loss * float(weight @ np.maximum(0, slack(w)) ** 2)
 
     now = cost(w)
     for _ in range(steps):
-        slack = 1 - y * (x1 @ w)
-        on = slack > 0
-        own = x1[on] * (2 * loss * weight[on])[:, None]
-        gradient = ridge * w - own.T @ (y[on] * slack[on])
-        step = np.linalg.solve(np.diag(ridge) + own.T @ x1[on], gradient)
+        left = slack(w)
+        gradient, curve = ridge * w, np.diag(ridge)
+        on = np.flatnonzero(left > 0)
+        for k in range(0, len(on), block):
+            rows = on[k:k + block]
+            own = np.c_[x[rows], np.ones(len(rows))].astype(np.float64)
+            share = own * (2 * loss * weight[rows])[:, None]
+            gradient = gradient - share.T @ (y[rows] * left[rows])
+            curve = curve + share.T @ own
+        step = np.linalg.solve(curve, gradient)
         size = 1.0
         while size > 1e-4 and cost(w - size * step) > now:
             size /= 2
@@ -291,20 +299,51 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
         used[np.flatnonzero(used)[np.argmin(w[:-1])]] = False
 
 
-def telling_words(bags: list[list[set[str]]], y: np.ndarray) -> tuple[dict[str, float], Counter]:
-    """How far each word's share of toxic documents lies above that of the others, in standard errors; and how many of the others have it."""
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        seen[int(label)].update(w for w in set().union(*bag) if 1 < len(w) <= MEMO_CHARS)
-    n = np.bincount(y.astype(int), minlength=2)
-    out = {}
-    for w, k in seen[1].items():
-        p, q = (k + 0.5) / (n[1] + 1), (seen[0][w] + 0.5) / (n[0] + 1)
-        out[w] = (p - q) / math.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0])
-    return out, seen[0]
+@dataclass
+class Bags:
+    """Documents as bags of sentences: ``word`` numbers in ``names``, where each sentence begins, and the document of each sentence."""
 
+    names: list[str]
+    word: np.ndarray
+    begin: np.ndarray
+    doc: np.ndarray
+    docs: int
 
-def fit(bags: list[list[set[str]]], y: np.ndarray, share: float) -> Machine | float:
+    @classmethod
+    def of(cls, bags: Iterable[list[set[str]]]) -> Bags:
+        place: dict[str, int] = {}
+        word, begin, doc, n = array("i"), array("q", [0]), array("i"), 0
+        for bag in bags:
+            for s in bag:
+                word.extend([place.setdefault(w, len(place)) for w in sorted(s)])
+                begin.append(len(word))
+                doc.append(n)
+            n += 1
+        return cls(list(place), np.array(word, np.int64), np.array(begin, np.int64), np.array(doc, np.int64), n)
+
+    @property
+    def sentence(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.doc)), np.diff(self.begin))
+
+    def summed(self, each: np.ndarray) -> np.ndarray:
+        """The sum over each sentence's words of ``each`` name's value."""
+        return np.bincount(self.sentence, each[self.word], minlength=len(self.doc))
+
+
+def telling_words(bags: Bags, y: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each word's share of toxic documents lies above that of the others, in standard errors (0 for single letters and very long
+    words); and how many of the others have it.  Only documents in ``seen`` count."""
+    pair = np.unique(bags.doc[bags.sentence] * len(bags.names) + bags.word)
+    doc, word = pair // max(len(bags.names), 1), pair % max(len(bags.names), 1)
+    have = [np.bincount(word[seen[doc] & (y[doc] == c)], minlength=len(bags.names)) for c in (0, 1)]
+    n = [int((seen & (y == c)).sum()) for c in (0, 1)]
+    p, q = (have[1] + 0.5) / (n[1] + 1), (have[0] + 0.5) / (n[0] + 1)
+    lift = (p - q) / np.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0])
+    plain = np.array([1 < len(w) <= MEMO_CHARS for w in bags.names], bool)
+    return np.where(plain & (have[1] > 0), lift, 0.0), np.where(plain, have[0], 0)
+
+
+def fit(documents: Iterable[list[set[str]]], y: np.ndarray, share: float) -> Machine | float:
     """The machine of documents, given as bags of sentences, with labels 0 and 1; ``share``, that of class 1 among all known labels, if one
     class is missing.  Every fourth document is kept from the machine and fits the logistic, in which the classes weigh
     midway between equally and as in all labels (their odds are the square root of those).
@@ -314,15 +353,15 @@ def fit(bags: list[list[set[str]]], y: np.ndarray, share: float) -> Machine | fl
     """
     if not len(y) or y.min() == y.max():
         return share
+    bags = Bags.of(documents)
     apart = np.zeros(len(y), bool)
     for c in (0, 1):
         apart[np.flatnonzero(y == c)[3::4]] = True
-    all_bags, all_y = bags, y
-    bags, y = [b for b, off in zip(bags, apart, strict=True) if not off], y[~apart]
-    lift, usual = telling_words(bags, y)
-    telling = [w for w, z in sorted(lift.items(), key=lambda x: (-x[1], x[0]))[:TELLING] if z > 2]
-    skip = set(telling)
-    plain = [w for w, _ in sorted(usual.items(), key=lambda x: (-x[1], x[0])) if w not in skip]
+    lift, usual = telling_words(bags, y, ~apart)
+    order = sorted(np.flatnonzero(lift > 2).tolist(), key=lambda k: (-lift[k], bags.names[k]))[:TELLING]
+    telling = [bags.names[k] for k in order]
+    skip = set(order)
+    plain = [bags.names[k] for k in sorted(np.flatnonzero(usual).tolist(), key=lambda k: (-usual[k], bags.names[k]))[:OTHERS + TELLING] if k not in skip]
     chosen = telling + plain[:USUAL]
     if telling:
         others = plain[USUAL:OTHERS]
@@ -334,60 +373,61 @@ def fit(bags: list[list[set[str]]], y: np.ndarray, share: float) -> Machine | fl
     kept = values > 1e-6 * values.max(initial=1e-9)
     white = vectors[:, kept] / np.sqrt(values[kept])
 
-    place: dict[str, int] = {}
-    doc, sentence, word = [], [], []
-    for k, bag in enumerate(bags):
-        for s in bag:
-            word += [place.setdefault(w, len(place)) for w in sorted(s)]
-            sentence += [len(doc)] * len(s)
-            doc.append(k)
-    doc, sentence, word = np.array(doc, np.int64), np.array(sentence, np.int64), np.array(word, np.int64)
-    names, sentences_from = list(place), np.searchsorted(sentence, np.arange(len(doc) + 1))
-    told = np.zeros(len(doc))
-    np.maximum.at(told, sentence, np.array([lift.get(w, 0.0) for w in names])[word] if len(names) else 0.0)
-
     def machine(alpha: np.ndarray, bias: float) -> Machine:
         return Machine(marks.numbers, marks.keys, {o: (v @ alpha).astype(np.float32) for o, v in marks.weights.items()}, bias, np.zeros(2), 0.0, 0.0)
 
     def ranked(m: Machine) -> np.ndarray:
-        each = np.concatenate([m.word_scores(names[k:k + 20_000]) for k in range(0, len(names), 20_000)] or [np.zeros(0)])
-        return np.bincount(sentence, each[word], minlength=len(doc)) + m.bias
+        each = np.concatenate([m.word_scores(bags.names[k:k + 20_000]) for k in range(0, len(bags.names), 20_000)] or [np.zeros(0)])
+        return bags.summed(each) + m.bias
+
+    def features(rows: list[int]) -> np.ndarray:
+        """Whitened kernels of sentences with the landmarks."""
+        out = np.zeros((len(rows), white.shape[1]), np.float32)
+        for low in range(0, len(rows), 1024):
+            some = rows[low:low + 1024]
+            words = [bags.word[bags.begin[r]:bags.begin[r + 1]] for r in some]
+            names, where = np.unique(np.concatenate(words), return_inverse=True)
+            vector = marks.kernel([bags.names[k] for k in names.tolist()]) @ white
+            first = np.cumsum([0, *map(len, words)])[:-1]
+            out[low:low + len(some)] = np.add.reduceat(vector[where], first, axis=0)
+        return out
 
-    toxic = y[doc] == 1
-    near = np.zeros(len(chosen) or 1)
+    toxic, learned = y[bags.doc] == 1, ~apart[bags.doc]
+    near = np.zeros(len(marks.words))
     near[:len(telling)] = 1 / max(len(telling), 1)
+    told = np.zeros(len(bags.doc))
+    np.maximum.at(told, bags.sentence, lift[bags.word])
     rank = np.where(toxic, told, ranked(machine(near, 0.0)))
-    known: dict[int, np.ndarray] = {}
+    known, x = {}, np.zeros((0, white.shape[1]), np.float32)
     negative: set[int] = set()
+    found = None
     for _ in range(ROUNDS):
-        order = np.lexsort((np.arange(len(doc)), -rank, doc))
-        begin = np.flatnonzero(np.r_[True, doc[order][1:] != doc[order][:-1]])
+        order = np.lexsort((np.arange(len(bags.doc)), -rank, bags.doc))
+        order = order[learned[order]]
+        begin = np.flatnonzero(np.r_[True, bags.doc[order][1:] != bags.doc[order][:-1]]) if len(order) else np.zeros(0, np.int64)
         place_in_doc = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
         positive = order[(place_in_doc == 0) & toxic[order]].tolist()
         negative.update(order[(place_in_doc < HARD) & ~toxic[order]].tolist())
-        rows = positive + sorted(negative)
         if not positive or not negative:
-            break
+            return share
+        rows = positive + sorted(negative)
         new = [r for r in rows if r not in known]
-        own_words = sorted({int(w) for r in new for w in word[sentences_from[r]:sentences_from[r + 1]]})
-        vector = dict(zip(own_words, marks.kernel([names[w] for w in own_words]) @ white, strict=True))
-        for r in new:
-            known[r] = sum((vector[int(w)] for w in word[sentences_from[r]:sentences_from[r + 1]]), np.zeros(white.shape[1]))
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        x = np.concatenate([x, features(new)])
         sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         weight = np.where(sign > 0, 0.5 / len(positive), 0.5 / len(negative))
-        w, b = hinge_machine(np.array([known[r] for r in rows]), sign, weight, LOSS_WEIGHT)
+        w, b = hinge_machine(x[[known[r] for r in rows]], sign, weight, LOSS_WEIGHT)
         found = machine(white @ w, b)
         rank = ranked(found)
-    else:
-        if len(set(all_y[apart].tolist())) < 2:
-            apart[:] = True  # too few documents to keep any from the machine
-        found.lowest = float(rank.min(initial=0.0))
-        kept_y = all_y[apart]
-        odds = math.sqrt(share / (1 - share))
-        weight = np.where(kept_y == 1, odds / kept_y.mean(), 1 / (1 - kept_y.mean())) / (1 + odds)
-        found.slopes, found.offset = logistic(found.described([b for b, off in zip(all_bags, apart, strict=True) if off]), kept_y.astype(float), weight)
-        return found
-    return share
+    if len(set(y[apart].tolist())) < 2:
+        apart[:] = True  # too few documents to keep any from the machine
+    found.lowest = float(rank.min(initial=0.0))
+    edges = np.searchsorted(bags.doc, np.arange(bags.docs + 1))
+    described = np.array([document(rank[edges[k]:edges[k + 1]].tolist() or [found.lowest]) for k in np.flatnonzero(apart)]).reshape(-1, 2)
+    kept_y, odds = y[apart], math.sqrt(share / (1 - share))
+    weight = np.where(kept_y == 1, odds / kept_y.mean(), 1 / (1 - kept_y.mean())) / (1 + odds)
+    found.slopes, found.offset = logistic(described, kept_y.astype(float), weight)
+    return found
 
 
 def held_out(doc_id) -> F.Column:
@@ -429,7 +469,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mach
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     said, y = sample(documents, known) if len(counts) == 2 else ([], np.zeros(0, np.int64))
-    return fit([sentences(t) for t in said], y, share)
+    return fit(map(sentences, said), y, share)
 
 
 def classify(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
