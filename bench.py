@@ -24,8 +24,8 @@ def main() -> None:
 
     from churnkit import constants as K
     from churnkit.ml import actions, lime, workflow
+    from churnkit.ml.blocks import WHOLE
     from churnkit.ml.score import ModelScorer, classify_scored_customers
-    from churnkit.ml.train import REFERENCE_PROFILE, model_pipeline, with_label
     from churnkit.plans.registry import all_queries, cleaned, raw
     from churnkit.session import local_session
 
@@ -50,11 +50,14 @@ def main() -> None:
     t0 = time.time()
     split = workflow.split_table(spark, sf_dir)
     times["split_write"] = round(time.time() - t0, 3)
-    data = with_label(split)
-    train = data.where(~F.col("is_test"))
+    train = split.where(~F.col("is_test"))
+    job = workflow.training(spark, sf_dir)
     t0 = time.time()
-    n_train = train.count()
-    model = model_pipeline("XGBoost", REFERENCE_PROFILE["XGBoost"], n_train).fit(train)
+    job.blocks(oversampled=True)
+    times["oversample"] = round(time.time() - t0, 3)
+    t0 = time.time()
+    job.ensure(["XGBoost"], [WHOLE])
+    model = job.model("XGBoost")
     times["train_gbt"] = round(time.time() - t0, 3)
 
     base = cleaned(spark, sf_dir).cache()

@@ -1,120 +1,121 @@
-"""Batch scoring (M22, M23) and the calibrated ensemble.
+"""Batch scoring (M22, M23) with fitted models and the calibrated ensemble.
 
-``Scorer`` is anything with ``transform(df) -> df`` producing a probability column
-``p``: a plain ``PipelineModel`` (via ``ModelScorer``) or ``CalibratedScorer``.
+A scorer evaluates Arrow batches of raw feature columns in one pass: its models travel as one broadcast, and several
+probabilities of a row (of changed feature values, of each fold) come from the same pass.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
 from churnkit.functions.columns import probability_pct, risk_tier, round_probability
+from churnkit.ml.calibrate import Calibrator
+from churnkit.ml.ensemble import Model, evaluate
+from churnkit.ml.features import Encoder, Rows
 from churnkit.operators.clean import prepare_scoring_input, require_columns
 
-_PIPELINE_OUTPUTS = ("features", "rawPrediction", "probability", "prediction", "num__vec", "num__scaled")
 
+@dataclass(frozen=True)
+class _Plain:
+    """A model's probability, or its log-odds."""
 
-class ModelScorer:
-    def __init__(self, model: PipelineModel):
-        self.model = model
+    model: Model
+    margin: bool
 
-    def transform(self, df: DataFrame, out: str = "p", margin: bool = False) -> DataFrame:
-        """Churn probability (or, with ``margin``, the positive-class raw score)."""
-        cols = df.columns
-        scored = self.model.transform(df)
-        src = "rawPrediction" if margin else "probability"
-        return scored.select(*cols, vector_to_array(F.col(src))[1].alias(out))
+    def __call__(self, rows: Rows) -> np.ndarray:
+        return self.model.margin(rows) if self.margin else self.model.probability(rows)
 
 
-def uses_margin(model: PipelineModel) -> bool:
-    """Platt scaling reads a model's decision function when it has one (linear
-    models) and its probability otherwise (tree ensembles)."""
-    return model.stages[-1].__class__.__name__ == "LogisticRegressionModel"
+@dataclass(frozen=True)
+class _Calibrated:
+    """The mean of each fold's calibrated probability."""
 
+    pairs: tuple[tuple[Model, Calibrator], ...]
 
-class SigmoidCalibrator:
-    """Platt scaling: p' = 1 / (1 + exp(-(a * f + b))) of the base output f."""
+    def __call__(self, rows: Rows) -> np.ndarray:
+        return np.mean([c.apply(m.margin(rows) if c.margin else m.probability(rows)) for m, c in self.pairs], axis=0)
 
-    def __init__(self, a: float, b: float, margin: bool):
-        self.a, self.b, self.margin = a, b, margin
 
-    def apply(self, f: Column) -> Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.a) * f + F.lit(self.b))))
+def _probabilities(sent: tuple, rows: Rows) -> np.ndarray:
+    """A row's probability, and that with each of the given (column, level) changes."""
+    function, changes = sent
+    found = [function(rows)]
+    for column, level in changes:
+        own = rows.level.copy()
+        own[:, column] = level
+        found.append(function(Rows(rows.encoder, rows.num, own)))
+    return np.stack(found, axis=1)
 
 
-def fit_sigmoid(held: DataFrame, f: str, label: str = "label") -> tuple[float, float]:
-    """Platt's fit with smoothed targets T+ = (n+ + 1) / (n+ + 2), T- = 1 / (n- + 2):
-    every row becomes two weighted rows (label 1 with weight T, label 0 with 1 - T),
-    so an unregularised one-feature logistic regression minimises exactly that
-    cross-entropy, distributed."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+class Scorer:
+    """Anything that turns feature rows into a churn probability."""
 
-    counts = {r[label]: r["n"] for r in held.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    t_pos = (counts.get(1, 0) + 1.0) / (counts.get(1, 0) + 2.0)
-    t_neg = 1.0 / (counts.get(0, 0) + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(t_pos)).otherwise(F.lit(t_neg))
-    two = held.select(F.col(f).alias("_f"), F.explode(F.array(
-        F.struct(F.lit(1.0).alias("y"), t.alias("w")),
-        F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - t).alias("w")))).alias("_t")).select("_f", "_t.y", "_t.w")
-    vec = VectorAssembler(inputCols=["_f"], outputCol="_fv").transform(two)
-    lr = LogisticRegression(featuresCol="_fv", labelCol="y", weightCol="w", regParam=0.0, standardization=False,
-                            maxIter=200, tol=1e-12).fit(vec)
-    return float(lr.coefficients[0]), float(lr.intercept)
+    def __init__(self, encoder: Encoder, function) -> None:
+        self.encoder, self.function, self._sent = encoder, function, {}
 
+    def column(self, df: DataFrame, changes: dict[str, str] | None = None, function=None) -> Column:
+        """``array<double>``: the probability of each row, then that with each single change of a column's value."""
+        names = list(self.encoder.levels)
+        steps = []
+        for c, value in (changes or {}).items():
+            own = self.encoder.levels[c]
+            steps.append((names.index(c), own.index(value) if value in own else -1))
+        spark = df.sparkSession
+        key = (spark.sparkContext.applicationId, tuple(steps), id(function))
+        if key not in self._sent:
+            self._sent[key] = spark.sparkContext.broadcast((function or self.function, steps))
+        return evaluate(df, self.encoder, _probabilities, self._sent[key])
+
+    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
+        return df.withColumn(out, self.column(df)[0])
 
-class CalibratedScorer:
-    """Average of per-fold (base model -> isotonic calibrator) probabilities."""
 
-    def __init__(self, pairs: list[tuple[PipelineModel, IsotonicRegressionModel]]):
+class ModelScorer(Scorer):
+    """Churn probability of one model (or, with ``margin``, its log-odds)."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__(model.encoder, _Plain(model, False))
+        self.model = model
+
+    def transform(self, df: DataFrame, out: str = "p", margin: bool = False) -> DataFrame:
+        return df.withColumn(out, self.column(df, function=self._margin() if margin else None)[0])
+
+    def _margin(self) -> _Plain:
+        if not hasattr(self, "_as_margin"):
+            self._as_margin = _Plain(self.model, True)
+        return self._as_margin
+
+
+class CalibratedScorer(Scorer):
+    """Average of per-fold (base model -> calibrator) probabilities."""
+
+    def __init__(self, pairs: list[tuple[Model, Calibrator]]) -> None:
+        super().__init__(pairs[0][0].encoder, _Calibrated(tuple(pairs)))
         self.pairs = pairs
 
-    def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
-        cols = df.columns
-        cur = df
-        names = []
-        for i, (base, cal) in enumerate(self.pairs):
-            margin = isinstance(cal, SigmoidCalibrator) and cal.margin
-            raw = ModelScorer(base).transform(cur.select(*cols, *names), out=f"_raw{i}", margin=margin)
-            if isinstance(cal, SigmoidCalibrator):
-                calibrated = raw.withColumn(f"_cal{i}", cal.apply(F.col(f"_raw{i}")))
-            else:
-                calibrated = cal.copy({cal.featuresCol: f"_raw{i}", cal.predictionCol: f"_cal{i}"}).transform(raw)
-            cur = calibrated.drop(f"_raw{i}")
-            names.append(f"_cal{i}")
-        avg = sum(F.col(n) for n in names) / F.lit(float(len(names)))
-        return cur.select(*cols, avg.alias(out))
-
-
-def fit_calibrated(train: DataFrame, make_pipeline, n_folds: int = K.CV_FOLDS,
-                   method: str = "isotonic", prepare=lambda rows: rows) -> CalibratedScorer:
-    """Per fold, base fit on the other folds, calibrator fit on the held-out
-    fold's base output: isotonic (increasing, clamped at the ends) on the
-    probability, or sigmoid (Platt) on the decision function / probability.
-    ``prepare`` adds what the base fit needs (class weights) to its training rows;
-    the calibrators see the held-out rows as they are."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    if method not in ("isotonic", "sigmoid"):
-        raise ValueError(f"calibration method must be 'isotonic' or 'sigmoid', got {method!r}")
-
-    def one(i: int):
-        base = make_pipeline().fit(prepare(train.where(F.col("fold") != i)))
-        if method == "sigmoid":
-            margin = uses_margin(base)
-            held = ModelScorer(base).transform(train.where(F.col("fold") == i), out="_p", margin=margin)
-            return base, SigmoidCalibrator(*fit_sigmoid(held, "_p"), margin=margin)
-        held = ModelScorer(base).transform(train.where(F.col("fold") == i), out="_p")
-        iso = IsotonicRegression(featuresCol="_p", labelCol="label", isotonic=True).fit(held)
-        return base, iso
-
-    with ThreadPoolExecutor(max_workers=n_folds) as pool:
-        return CalibratedScorer(list(pool.map(one, range(n_folds))))
+
+def _of_fold(sent: dict[str, list[Model]], rows: Rows) -> np.ndarray:
+    """Probabilities of every model of every candidate, side by side."""
+    return np.stack([m.probability(rows) for own in sent.values() for m in own], axis=1)
+
+
+def candidate_scores(df: DataFrame, models: dict[str, list[Model]], keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``name`` and ``p``: one pass scores every row with all models of all candidates.  A row with a ``fold`` takes the
+    model of that number of each candidate, any other row the last one."""
+    sent = df.sparkSession.sparkContext.broadcast(models)
+    encoder = next(iter(models.values()))[-1].encoder
+    scored = df.select(*keep, "fold", evaluate(df, encoder, _of_fold, sent).alias("_all"))
+    items, at = [], 0
+    for name, own in models.items():
+        place = F.lit(at) + (F.coalesce(F.col("fold"), F.lit(len(own) - 1)) if len(own) > 1 else F.lit(0))
+        items.append(F.struct(F.lit(name).alias("name"), F.element_at("_all", (place + 1).cast("int")).alias("p")))
+        at += len(own)
+    return scored.select(*keep, "fold", F.explode(F.array(*items)).alias("_s")).select(*keep, "fold", "_s.name", "_s.p")
 
 
 def score_customers(raw_df: DataFrame, scorer, feature_columns: list[str] | None = None) -> DataFrame:
@@ -134,5 +135,4 @@ def classify_scored_customers(raw_df: DataFrame, scorer) -> DataFrame:
     return s.withColumn("risk_tier", risk_tier(F.col("churn_probability")))
 
 
-__all__ = ["ModelScorer", "CalibratedScorer", "SigmoidCalibrator", "fit_sigmoid", "uses_margin", "fit_calibrated", "score_customers", "classify_scored_customers",
-           "_PIPELINE_OUTPUTS"]
+__all__ = ["Scorer", "ModelScorer", "CalibratedScorer", "candidate_scores", "score_customers", "classify_scored_customers"]

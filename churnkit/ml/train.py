@@ -1,132 +1,180 @@
-"""Candidate models, cross-validated evaluation, comparison and selection
-(M5, M6, M10-M14).
+"""Candidate models, cross-validated evaluation, comparison and selection.
 
-Each candidate is ``Pipeline(preprocessing + classifier)`` fit per fold on the
-training rows only.  The five fold fits give BOTH the CV AUCs and the out-of-fold
-probabilities (one set of fits, not two), and they run concurrently from a driver
-thread pool: every fit is itself a distributed Spark job.
+Every candidate is fitted six times, without each fold and on all training rows.  Fits of one kind are trained together: a
+pass over the blocks serves all of them.  The fold fits give the CV AUCs, the out-of-fold probabilities and, later, the base models
+of the calibrators.  One pass scores all rows with all candidates, and one measures all folds and candidates.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
-from churnkit.ml.features import preprocessing_stages
+from churnkit.ml import blocks as B
+from churnkit.ml import boosting, ensemble, forest, linear, smote
+from churnkit.ml.ensemble import Model
+from churnkit.ml.features import Encoder, fit_encoder
+from churnkit.ml.ledger import Ledger
+from churnkit.ml.score import candidate_scores
 from churnkit.operators import metrics
+from churnkit.sources.artifacts import path_exists
 
-# Hyper-parameters of the original comparison (fixed values), re-expressed for Spark ML.  Its
-# forest has no depth limit; 30 is the deepest tree that Spark ML grows.
+logger = logging.getLogger(__name__)
+
+# Hyper-parameters of the original comparison (fixed values).  ``inverse_ridge`` is its C; the regularisation of
+# the two boosters are the defaults of the libraries that the original names.
 REFERENCE_PROFILE = {
-    "LogisticRegression": {"C": 10.0, "maxIter": 2000},
-    "RandomForest": {"numTrees": 300, "maxDepth": 30},
-    "XGBoost": {"maxIter": 200, "maxDepth": 4, "stepSize": 0.03},
-    "LightGBM": {"maxIter": 200, "maxDepth": 4, "stepSize": 0.03, "subsamplingRate": 0.8},
+    "LogisticRegression": {"kind": "linear", "inverse_ridge": 10.0, "steps": 2000},
+    "RandomForest": {"kind": "forest", "trees": 300},
+    "XGBoost": {"kind": "boosted", "rounds": 200, "depth": 4, "rate": 0.03, "l2": 1.0, "least_hessian": 1.0},
+    "LightGBM": {"kind": "boosted", "rounds": 200, "depth": 4, "rate": 0.03, "l2": 0.0, "least_hessian": 1e-3, "least_rows": 20, "leaves": 31},
 }
-# The original's throwaway driver model.
-DIAGNOSTIC_PARAMS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.1}
-
-
-def make_classifier(name: str, params: dict, n_train: int, weight_col: str | None = None):
-    common = {"featuresCol": "features", "labelCol": "label"}
-    if weight_col:
-        common["weightCol"] = weight_col
-    if name == "LogisticRegression":
-        # sklearn: sum(loss) + ||w||^2 / (2C)  ==  Spark: mean(loss) + regParam/2 ||w||^2
-        return LogisticRegression(maxIter=params["maxIter"], regParam=1.0 / (params["C"] * max(n_train, 1)),
-                                  elasticNetParam=0.0, standardization=False, tol=1e-8, **common)
-    if name == "RandomForest":
-        return RandomForestClassifier(numTrees=params["numTrees"], maxDepth=params["maxDepth"],
-                                      seed=K.RANDOM_STATE, **common)
-    if name in ("XGBoost", "LightGBM", "Diagnostic"):
-        extra = {k: v for k, v in params.items() if k in ("subsamplingRate", "featureSubsetStrategy")}
-        return GBTClassifier(maxIter=params["maxIter"], maxDepth=params["maxDepth"], stepSize=params["stepSize"],
-                             seed=K.RANDOM_STATE, **extra, **common)
-    raise ValueError(f"unknown model {name!r}")
-
-
-def model_pipeline(name: str, params: dict, n_train: int, weight_col: str | None = None) -> Pipeline:
-    return Pipeline(stages=preprocessing_stages() + [make_classifier(name, params, n_train, weight_col)])
-
-
-def probability(df: DataFrame) -> DataFrame:
-    """Positive-class probability as plain column ``p``."""
-    return df.withColumn("p", vector_to_array(F.col("probability"))[1])
-
-
-def with_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("label", F.col(K.TARGET_COLUMN).cast("double")).withColumn(
-        "y", F.col(K.TARGET_COLUMN).cast("int"))
-
-
-def balanced(train: DataFrame, weight_col: str = "w") -> DataFrame:
-    """Class weights from these training rows alone: both classes weigh the same in sum."""
-    n = {int(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
-    ratio = n.get(0, 0) / max(n.get(1, 0), 1) or 1.0
-    return train.withColumn(weight_col, F.when(F.col("label") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
-
-
-def _auc(pred: DataFrame) -> float:
-    return float(metrics.classification_metrics(pred, digits=12).first()["auc"])
-
-
-@dataclass
-class CandidateResult:
-    name: str
-    row: dict
-    model: PipelineModel
-
-
-def evaluate_candidate(name: str, data: DataFrame, params: dict, n_folds: int = K.CV_FOLDS,
-                       threads: int = 5) -> CandidateResult:
-    """M6: CV AUC mean / population std, OOF-tuned threshold, refit on all training
-    rows, test metrics at 0.5 and at the tuned threshold, leakage guard on both AUCs."""
-    data = with_label(data)
-    train = data.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
-    test = data.where(F.col("is_test"))
-    n_train = train.count()
-    n_fold_train = int(n_train * (n_folds - 1) / n_folds)
-
-    def fit_fold(i: int) -> DataFrame:
-        m = model_pipeline(name, params, n_fold_train, weight_col="w").fit(balanced(train.where(F.col("fold") != i)))
-        return probability(m.transform(train.where(F.col("fold") == i))).select(K.ID_COLUMN, "y", "p", "fold")
-
-    with ThreadPoolExecutor(max_workers=threads + 1) as pool:
-        full_future = pool.submit(lambda: model_pipeline(name, params, n_train, weight_col="w").fit(balanced(train)))
-        oof_parts = list(pool.map(fit_fold, range(n_folds)))
-        oof = oof_parts[0]
-        for part in oof_parts[1:]:
-            oof = oof.unionByName(part)
-        oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
-        fold_aucs = list(pool.map(lambda i: _auc(oof.where(F.col("fold") == i)), range(n_folds)))
-        best = metrics.tune_decision_threshold(oof, digits=12).first()
-        model = full_future.result()
-    mean = sum(fold_aucs) / len(fold_aucs)
-    metrics.check_auc_leakage_guard(mean)
-    std = math.sqrt(sum((a - mean) ** 2 for a in fold_aucs) / len(fold_aucs))
-    tuned = float(best["tuned_threshold"])
-    pred = probability(model.transform(test)).select("y", "p").persist(StorageLevel.MEMORY_AND_DISK)
-    m05 = metrics.classification_metrics(pred, threshold=K.DEFAULT_THRESHOLD, digits=12).first()
-    mt = metrics.classification_metrics(pred, threshold=tuned, digits=12).first()
-    metrics.check_auc_leakage_guard(m05["auc"])
-    row = {
-        "name": name, "cv_auc_mean": mean, "cv_auc_std": std, "test_auc": m05["auc"],
-        "test_pr_auc": m05["pr_auc"], "test_precision": m05["precision"], "test_recall": m05["recall"],
-        "test_f1": m05["f1"], "test_brier": m05["brier"], "tuned_threshold": tuned,
-        "test_f1_at_tuned_threshold": mt["f1"], "meets_target_auc": bool(m05["auc"] >= K.TARGET_AUC),
-    }
-    for d in (pred, oof, train):
-        d.unpersist()
-    return CandidateResult(name, row, model)
+# The original's throwaway driver model (M10), weighted n_neg / n_pos instead of over-sampled.
+DIAGNOSTIC = "Diagnostic"
+DIAGNOSTIC_PARAMS = {"kind": "boosted", "rounds": 200, "depth": 4, "rate": 0.1, "l2": 1.0, "least_hessian": 1.0}
+FITS = list(range(K.CV_FOLDS + 1))
+
+
+def boosted_sizes(params: dict, positive_weight: float = 1.0) -> boosting.Boosted:
+    return boosting.Boosted(**{k: v for k, v in params.items() if k != "kind"}, positive_weight=positive_weight)
+
+
+class Training:
+    """Fits candidates on a split table; everything it writes lies under ``folder``.  ``oversample`` adds rows of the rarer class inside
+    each fit's training rows (M4)."""
+
+    def __init__(self, spark: SparkSession, split: DataFrame, folder: str, profile: dict | None = None, oversample: bool = True, seed: int = K.RANDOM_STATE) -> None:
+        self.spark, self.split, self.folder, self.seed, self.oversample = spark, split, folder, seed, oversample
+        self.profile = profile or REFERENCE_PROFILE
+        self.ledger = Ledger(spark, folder)
+        self.train = split.where(~F.col("is_test"))
+
+    def encoder(self) -> Encoder:
+        known = self.ledger.noted("encoder")
+        if known is None:
+            self.ledger.note("encoder", {"encoder": fit_encoder(self.train).to_json()})
+            known = self.ledger.noted("encoder")
+        return Encoder.from_json(known["encoder"])
+
+    def blocks(self, oversampled: bool) -> DataFrame:
+        """Training rows as blocks, written once; with the made rows of every fit if asked for."""
+        given = self._written("blocks", lambda: B.pack(self.train, self.encoder()))
+        if not oversampled:
+            return given
+        made = self._written("made", lambda: smote.oversampled(given, self.encoder(), FITS, f"{self.folder}/neighbours", self.seed))
+        return given.unionByName(made)
+
+    def _written(self, name: str, make) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(B.BLOCKS).parquet(path)
+
+    def params(self, name: str) -> dict:
+        return DIAGNOSTIC_PARAMS if name == DIAGNOSTIC else self.profile[name]
+
+    def positive_weight(self) -> float:
+        """n_neg / n_pos of the training rows."""
+        n = {r[K.TARGET_COLUMN]: r["count"] for r in self.train.groupBy(K.TARGET_COLUMN).count().collect()}
+        return n.get(0, 0) / max(n.get(1, 0), 1) or 1.0
+
+    def ensure(self, names: list[str], fits: list[int] = FITS) -> None:
+        """Train and commit the fits that are missing, those of a kind together."""
+        todo = self.ledger.missing([(n, f) for n in names for f in fits])
+        if not todo:
+            return
+        encoder = self.encoder()
+        for weighted in (False, True):
+            own = [(n, f) for n, f in todo if (n == DIAGNOSTIC) == weighted]
+            if not own:
+                continue
+            table = self.blocks(self.oversample and not weighted)
+            weight = self.positive_weight() if weighted or not self.oversample else 1.0
+            jobs = [boosting.Job(n, f, boosted_sizes(self.params(n), weight)) for n, f in own if self.params(n)["kind"] == "boosted"]
+            # boosting is a long row of short jobs; the other kinds fill the slots it leaves
+            work = [lambda jobs=jobs, table=table: self._boosted(jobs, table, encoder)] if jobs else []
+            for name in dict.fromkeys(n for n, _ in own):
+                its = [f for n, f in own if n == name]
+                kind = self.params(name)["kind"]
+                if kind in ("linear", "forest"):
+                    step = self._linear if kind == "linear" else self._forest
+                    work.append(lambda step=step, name=name, its=its, table=table, weight=weight: step(name, its, table, encoder, weight))
+            with ThreadPoolExecutor(max_workers=max(len(work), 1)) as pool:
+                for done in [pool.submit(w) for w in work]:
+                    done.result()
+
+    def _boosted(self, jobs: list[boosting.Job], table: DataFrame, encoder: Encoder) -> None:
+        folder = f"{self.folder}/boosting/{boosting.jobs_key(jobs)}"
+        for job, m in zip(jobs, boosting.Booster(self.spark, table, encoder, jobs, folder, self.seed).train(), strict=True):
+            self.commit(job.name, job.fit, m)
+
+    def _linear(self, name: str, fits: list[int], table: DataFrame, encoder: Encoder, weight: float) -> None:
+        p = self.params(name)
+        for f, m in zip(fits, linear.train(table, encoder, fits, p["inverse_ridge"], p["steps"], weight), strict=True):
+            self.commit(name, f, m)
+
+    def _forest(self, name: str, fits: list[int], table: DataFrame, encoder: Encoder, weight: float) -> None:
+        path = f"{self.folder}/forest/{name}-{'-'.join(map(str, fits))}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            forest.train(table, encoder, fits, self.params(name)["trees"], self.seed, weight).write.mode("overwrite").parquet(path)
+        for f in fits:  # trees go from table to table; the driver does not see them
+            own = self.spark.read.parquet(path).where(F.col("fit") == f).drop("fit")
+            own.write.mode("overwrite").parquet(f"{self.ledger.path(name, f)}/trees")
+            ensemble.describe(self.spark, encoder, self.ledger.path(name, f), boosted=False, base=0.0)
+            self.ledger.event(name, "fitted", self.params(name), {}, {"fit": str(f)})
+
+    def commit(self, name: str, fit: int, model: Model) -> None:
+        self.ledger.commit(name, fit, model, self.params(name))
+
+    def model(self, name: str, fit: int = B.WHOLE) -> Model:
+        return self.ledger.load(name, fit)
+
+    def scores(self, names: list[str]) -> DataFrame:
+        """``(customerID, y, fold, name, p)`` for every row of the split: training rows by the model that has not seen their fold, test rows
+        by that of all training rows.  Written once for a set of candidates."""
+        path = f"{self.folder}/scores/{'-'.join(sorted(names))}"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            self.ensure(names)
+            models = {n: [self.model(n, f) for f in FITS] for n in names}
+            rows = self.split.withColumn("y", F.col(K.TARGET_COLUMN).cast("int"))
+            candidate_scores(rows, models, [K.ID_COLUMN, "y"]).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def evaluate(self, names: list[str]) -> list[dict]:
+        """M6 for all candidates: CV AUC mean / population std, out-of-fold tuned threshold, test metrics at 0.5 and at the tuned
+        threshold, leakage guard on both AUCs."""
+        scored = self.scores(names)
+        by = ["name", "part"]
+        parts = scored.withColumn("part", F.coalesce(F.col("fold").cast("string"), F.lit("test")))
+
+        def at_tuned() -> tuple[dict, dict]:
+            tuned = {r["name"]: r["tuned_threshold"] for r in metrics.tune_decision_threshold(scored.where("fold IS NOT NULL"), digits=12, by=["name"]).collect()}
+            at = F.lit(None).cast("double")
+            for n, t in tuned.items():
+                at = F.when(F.col("name") == n, F.lit(float(t))).otherwise(at)
+            return tuned, {r["name"]: r["f1"] for r in metrics.classification_metrics(scored.where("fold IS NULL"), threshold=at, digits=12, by=["name"]).collect()}
+
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            measured = pool.submit(lambda: {(r["name"], r["part"]): r for r in metrics.classification_metrics(parts, digits=12, by=by).collect()})
+            tuned, f1 = at_tuned()
+            found = measured.result()
+        out = []
+        for n in names:
+            aucs = [found[n, str(f)]["auc"] for f in range(K.CV_FOLDS)]
+            mean = sum(aucs) / len(aucs)
+            test = found[n, "test"]
+            metrics.check_auc_leakage_guard(mean)
+            metrics.check_auc_leakage_guard(test["auc"])
+            out.append({"name": n, "cv_auc_mean": mean, "cv_auc_std": math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)),
+                        "test_auc": test["auc"], "test_pr_auc": test["pr_auc"], "test_precision": test["precision"], "test_recall": test["recall"],
+                        "test_f1": test["f1"], "test_brier": test["brier"], "tuned_threshold": float(tuned[n]), "test_f1_at_tuned_threshold": f1[n],
+                        "meets_target_auc": bool(test["auc"] >= K.TARGET_AUC)})
+        return out
 
 
 COMPARISON_SCHEMA = ("name string, cv_auc_mean double, cv_auc_std double, test_auc double, test_pr_auc double, "
@@ -134,25 +182,19 @@ COMPARISON_SCHEMA = ("name string, cv_auc_mean double, cv_auc_std double, test_a
                      "tuned_threshold double, test_f1_at_tuned_threshold double, meets_target_auc boolean")
 
 
-def compare_models(data: DataFrame, profile: dict | None = None, names: list[str] | None = None,
-                   ) -> tuple[DataFrame, dict[str, PipelineModel]]:
+def compare_models(training: Training, names: list[str] | None = None) -> DataFrame:
     """Evaluate every candidate; the table is sorted by cv_auc_mean (never by
     test AUC), ties broken by name."""
-    profile = profile or REFERENCE_PROFILE
-    names = names or list(profile)
-    # candidates are independent: evaluate them concurrently (each fit is a Spark job)
-    with ThreadPoolExecutor(max_workers=len(names)) as pool:
-        results = list(pool.map(lambda n: evaluate_candidate(n, data, profile[n]), names))
-    spark = data.sparkSession
-    table = spark.createDataFrame([tuple(r.row[c] for c in K.LEADERBOARD_COLUMNS) for r in results],
-                                  COMPARISON_SCHEMA)
-    return table.orderBy(F.desc("cv_auc_mean"), "name"), {r.name: r.model for r in results}
+    rows = training.evaluate(names or list(training.profile))
+    table = training.spark.createDataFrame([tuple(r[c] for c in K.LEADERBOARD_COLUMNS) for r in rows], COMPARISON_SCHEMA)
+    return table.orderBy(F.desc("cv_auc_mean"), "name")
 
 
 def select_best(comparison: DataFrame) -> dict:
-    """Best row by cv_auc_mean (first on ties); error when empty; the
-    caller is warned (returned flag) when it misses the target AUC."""
+    """Best row by cv_auc_mean (first on ties); error when empty; a warning when it misses the target AUC."""
     best = comparison.orderBy(F.desc("cv_auc_mean"), "name").first()
     if best is None:
         raise ValueError("no candidate models to select from")
+    if not best["test_auc"] >= K.TARGET_AUC:
+        logger.warning("%s is the best candidate, but its test AUC of %.4f misses the target of %.2f", best["name"], best["test_auc"], K.TARGET_AUC)
     return best.asDict()

@@ -119,71 +119,25 @@ def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.split_table(spark, sf_dir).where(F.col("is_test"))
 
 
-def _calibration_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from churnkit.ml import workflow
-
-    test = _test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN))
-    raw_p = workflow.raw_scorer(spark, sf_dir).transform(test, out="p_raw")
-    scored = workflow.calibrated_scorer(spark, sf_dir).transform(raw_p, out="p_cal")
-    return _scored_once(spark, sf_dir, scored, ["y", "p_raw", "p_cal"])
-
-
-def _scored_once(spark: SparkSession, sf_dir: str, scored: DataFrame, columns: list[str]) -> DataFrame:
-    """Scores written to a table of their own, so that metrics with several passes run the models once."""
-    import uuid
-
-    from churnkit.ml import workflow
-
-    path = workflow.run_dir(spark, sf_dir, "scores", uuid.uuid4().hex)
-    scored.select(*columns).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _calibration_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M15/M16 comparison: Brier, AUC and ECE on the test rows for the raw model and
     its isotonic and sigmoid 5-fold calibrations (one row per method)."""
     from churnkit.ml import workflow
 
-    test = _test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN))
-    frame = workflow.raw_scorer(spark, sf_dir).transform(test, out="p_raw")
-    frame = workflow.calibrated_scorer(spark, sf_dir).transform(frame, out="p_cal")
-    frame = workflow.sigmoid_scorer(spark, sf_dir).transform(frame, out="p_sig")
-    frame = _scored_once(spark, sf_dir, frame, ["y", "p_raw", "p_cal", "p_sig"])
-    out = None
-    for method, col in (("raw", "p_raw"), ("isotonic", "p_cal"), ("sigmoid", "p_sig")):
-        m = metrics.classification_metrics(frame, p=col).select("brier", "auc")
-        e = metrics.expected_calibration_error(frame, p=col).select("ece").scalar()
-        row = m.select(F.lit(method).alias("method"), "brier", "auc", e.alias("ece"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _fit_diagnostic(spark: SparkSession, sf_dir: str):
-    """Throwaway boosted-tree driver model weighted n_neg/n_pos (from the
-    training rows only); fit once per process."""
-    from churnkit.ml import workflow
-    from churnkit.ml.train import DIAGNOSTIC_PARAMS, model_pipeline, with_label
-
-    key = workflow.run_dir(spark, sf_dir, "diagnostic")
-    if key not in workflow._LOADED:
-        data = with_label(workflow.split_table(spark, sf_dir))
-        train = data.where(~F.col("is_test"))
-        counts = {r[K.TARGET_COLUMN]: r["count"] for r in train.groupBy(K.TARGET_COLUMN).count().collect()}
-        w = counts.get(0, 0) / max(counts.get(1, 0), 1)
-        train = train.withColumn("w", F.when(F.col("label") == 1, F.lit(w)).otherwise(F.lit(1.0)))
-        workflow._LOADED[key] = (model_pipeline("Diagnostic", DIAGNOSTIC_PARAMS, 0, weight_col="w").fit(train), w)
-    return workflow._LOADED[key]
+    return metrics.method_metrics(workflow.method_scores(spark, sf_dir), {"raw": "p_raw", "isotonic": "p_cal", "sigmoid": "p_sig"})
 
 
 def _diagnostic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC + PR-AUC of the diagnostic model on the test rows, leakage guard."""
+    from churnkit.ml import workflow
     from churnkit.ml.score import ModelScorer
 
-    model, w = _fit_diagnostic(spark, sf_dir)
+    model, w = workflow.diagnostic_model(spark, sf_dir)
     pred = ModelScorer(model).transform(_test_rows(spark, sf_dir).withColumn("y", F.col(K.TARGET_COLUMN)))
     m = metrics.classification_metrics(pred, digits=4)
-    metrics.check_auc_leakage_guard(float(m.first()["auc"]))
-    return m.select(F.lit("Diagnostic").alias("model"), "auc", "pr_auc", F.lit(w).alias("positive_weight"))
+    row = m.first()
+    metrics.check_auc_leakage_guard(float(row["auc"]))
+    return spark.createDataFrame([("Diagnostic", row["auc"], row["pr_auc"], w)], "model string, auc double, pr_auc double, positive_weight double")
 
 
 def _global_shap(spark: SparkSession, sf_dir: str, model) -> DataFrame:
@@ -196,31 +150,28 @@ def _global_shap(spark: SparkSession, sf_dir: str, model) -> DataFrame:
 
 def _explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHAP and LIME top drivers side by side for every customer (one row-local
-    pass each, no join)."""
+    pass each, no join), and the model they explain."""
     from churnkit.ml import actions, lime, workflow
-    from churnkit.ml.score import ModelScorer
 
-    model = workflow.explainer_model(spark, sf_dir)
-    shap = actions.explain(spark, model, cleaned(spark, sf_dir))
-    both = lime.lime_top_drivers(shap, ModelScorer(model), workflow.lime_pool(spark, sf_dir),
+    shap = actions.explain(spark, workflow.production_model(spark, sf_dir), cleaned(spark, sf_dir))
+    both = lime.lime_top_drivers(shap, workflow.raw_scorer(spark, sf_dir), workflow.lime_pool(spark, sf_dir),
                                  keep=[K.ID_COLUMN, "shap_top_drivers"])
-    return both
+    return both.withColumn("explained_model", F.lit(workflow.best_name(spark, sf_dir)))
 
 
 def _ml_queries() -> dict[str, Query]:
     from churnkit.ml import actions, lime, segment, workflow
-    from churnkit.ml.score import ModelScorer, classify_scored_customers, score_customers
+    from churnkit.ml.score import classify_scored_customers, score_customers
     from churnkit.sources import artifacts
 
     def comparison(s, d):
         return workflow.comparison(s, d)
 
     def model_runs(s, d):
-        """The run log written by the comparison (one row per candidate run)."""
+        """The latest event of each candidate's run."""
         comparison(s, d)
-        runs = s.read.parquet(workflow.run_dir(s, d, "model_runs"))
-        return runs.select("run_name", F.col("metrics")["cv_auc_mean"].alias("cv_auc_mean"),
-                           F.col("tags")["best_model"].alias("best_model")).dropDuplicates(["run_name"])
+        runs = workflow.training(s, d).ledger.runs().where(F.col("event").isin("compared", "selected"))
+        return runs.select("run_name", F.col("metrics")["cv_auc_mean"].alias("cv_auc_mean"), F.col("tags")["best_model"].alias("best_model"))
 
     def classified(s, d):
         return classify_scored_customers(raw(s, d), workflow.calibrated_scorer(s, d))
@@ -228,26 +179,18 @@ def _ml_queries() -> dict[str, Query]:
     def segmented(s, d):
         return segment.assign_value_segment(cleaned(s, d), workflow.segmentation_model(s, d))
 
-    def calibration_metrics_file(s, d):
-        """The calibration report written as JSON beside the calibrated model, read back."""
-        path = workflow.run_dir(s, d, "calibration_metrics")
-        artifacts.save_calibration_metrics(metrics.calibration_report(_calibration_frame(s, d)), path)
-        return artifacts.load_calibration_metrics(s, path)
-
     def reliability(s, d):
-        frame = _calibration_frame(s, d)
-        return metrics.reliability_curve(frame, p="p_raw").withColumn("model", F.lit("raw")).unionByName(
-            metrics.reliability_curve(frame, p="p_cal").withColumn("model", F.lit("calibrated")))
+        long = metrics.long_scores(workflow.method_scores(s, d), {"raw": "p_raw", "calibrated": "p_cal"})
+        return metrics.reliability_curve(long, by=["method"]).withColumnRenamed("method", "model")
 
     def global_shap(s, d):
-        return _global_shap(s, d, workflow.explainer_model(s, d))
+        return _global_shap(s, d, workflow.production_model(s, d)).withColumn("explained_model", F.lit(workflow.best_name(s, d)))
 
     def lime_drivers(s, d):
-        model = workflow.explainer_model(s, d)
-        return lime.lime_long(lime.lime_top_drivers(cleaned(s, d), ModelScorer(model), workflow.lime_pool(s, d)))
+        return lime.lime_long(lime.lime_top_drivers(cleaned(s, d), workflow.raw_scorer(s, d), workflow.lime_pool(s, d)))
 
     def ranking_comparison(s, d):
-        return lime.ranking_comparison(global_shap(s, d), _global_shap(s, d, _fit_diagnostic(s, d)[0]),
+        return lime.ranking_comparison(global_shap(s, d), _global_shap(s, d, workflow.diagnostic_model(s, d)[0]),
                                        "production_model", "diagnostic_model")
 
     return {
@@ -264,12 +207,12 @@ def _ml_queries() -> dict[str, Query]:
         "classified_customers": classified,
         "model_tier_summary": lambda s, d: tiers.risk_tier_summary(classified(s, d)),
         "model_observed_rate_by_tier": lambda s, d: tiers.observed_rate_by_tier(classified(s, d), cleaned(s, d)),
-        "calibration_report": lambda s, d: metrics.calibration_report(_calibration_frame(s, d)),
-        "calibration_metrics_file": calibration_metrics_file,
+        "calibration_report": lambda s, d: metrics.calibration_report(workflow.method_scores(s, d)),
+        "calibration_metrics_file": workflow.calibration_report,
         "calibration_methods": _calibration_methods,
         "sample_actions": lambda s, d: actions.recommend_for_customers(
             s, clean.prepare_scoring_input(clean.hash_sample(raw(s, d), 5)), workflow.calibrated_scorer(s, d),
-            workflow.explainer_model(s, d)).select(K.ID_COLUMN, "risk_tier", "priority", "category", "action"),
+            workflow.production_model(s, d)).select(K.ID_COLUMN, "risk_tier", "priority", "category", "action"),
         "model_reliability_curve": reliability,
         "value_segments": lambda s, d: segmented(s, d).select(K.ID_COLUMN, "ValueSegment"),
         "segment_summary": lambda s, d: segment.segment_summary(segmented(s, d)),
@@ -277,13 +220,13 @@ def _ml_queries() -> dict[str, Query]:
         "silhouette": lambda s, d: segment.silhouette_diagnostic(cleaned(s, d)),
         "shap_global_importance": global_shap,
         "shap_top_drivers": lambda s, d: drivers.drivers_long(
-            actions.explain(s, workflow.explainer_model(s, d), cleaned(s, d))),
+            actions.explain(s, workflow.production_model(s, d), cleaned(s, d))),
         "lime_top_drivers": lime_drivers,
         "explanations": _explanations,
         "explanation_agreement": lambda s, d: lime.method_agreement(_explanations(s, d)),
         "global_ranking_comparison": ranking_comparison,
         "recommendations": lambda s, d: actions.recommend_for_customers(
-            s, cleaned(s, d), workflow.calibrated_scorer(s, d), workflow.explainer_model(s, d)),
+            s, cleaned(s, d), workflow.calibrated_scorer(s, d), workflow.production_model(s, d)),
     }
 
 
@@ -293,19 +236,16 @@ def _stream_run(spark: SparkSession, sf_dir: str, recommend_mode: bool = False)
     import uuid
 
     from churnkit.ml import workflow
-    from churnkit.sources import artifacts
     from churnkit.streaming import scoring_stream
 
-    landing = workflow.run_dir(spark, sf_dir, "landing")
-    if not artifacts.path_exists(spark, f"{landing}/_SUCCESS"):
-        raw(spark, sf_dir).drop(K.TARGET_COLUMN).repartition(4).write.mode("overwrite").parquet(landing)
+    landing = workflow.landed(spark, sf_dir)
     scorer = workflow.calibrated_scorer(spark, sf_dir)
-    scoring_stream.require_models(spark, workflow.run_dir(spark, sf_dir, "calibrated"))
+    scoring_stream.require_models(spark, workflow.run_dir(spark, sf_dir, "training", "calibrated-isotonic.json"))
     run = workflow.run_dir(spark, sf_dir, "stream", uuid.uuid4().hex)
     stream = scoring_stream.read_subscriber_stream(spark, landing, max_files_per_trigger=2)
     q = scoring_stream.start_scoring_stream(
         spark, stream, scorer, f"{run}/scored", f"{run}/quarantine", f"{run}/_checkpoint",
-        recommend_with=workflow.explainer_model(spark, sf_dir) if recommend_mode else None)
+        recommend_with=workflow.production_model(spark, sf_dir) if recommend_mode else None)
     q.awaitTermination()
     return f"{run}/scored", f"{run}/quarantine"
 

@@ -7,10 +7,14 @@ code works on a laptop and on a cluster with object storage.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import json
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,105 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def save_model_artifact(spark: SparkSession, model: PipelineModel, path: str, model_name: str,
-                        metrics: dict, extra: dict | None = None) -> None:
-    """Model directory + one-row JSON sidecar (name, UTC time, numeric
-    metrics, feature columns, target column, extras such as the calibration method)."""
-    model.write().overwrite().save(f"{path}/model")
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file, whole or not at all: under another name first, then renamed."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    part, final = fs_path(f"{path}.{uuid.uuid4().hex}.tmp"), fs_path(path)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if fs.exists(final):
+        fs.delete(final, False)
+    fs.rename(part, final)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Seconds between signs of life of a lease's holder, and without one after which another may take it.
+LEASE_BEAT, LEASE_STALE = 5.0, 60.0
+_LEASES: dict[str, tuple[threading.RLock, list[int]]] = {}
+_LEASES_LOCK = threading.Lock()
+
+
+@contextmanager
+def lease(spark: SparkSession, path: str) -> Iterator[None]:
+    """Only one process at a time is within a lease of a path, so work that several need is done once.  Its holder touches the file every few
+    seconds; a holder that was killed is succeeded after ``LEASE_STALE`` seconds by the waiting process's own clock.  A process may enter again
+    while it is within."""
+    with _LEASES_LOCK:
+        lock, depth = _LEASES.setdefault(path, (threading.RLock(), [0]))
+    with lock:
+        depth[0] += 1
+        try:
+            if depth[0] > 1:
+                yield
+                return
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            seen, since = None, time.monotonic()
+            while not fs.createNewFile(target):
+                now = fs.getFileStatus(target).getModificationTime() if fs.exists(target) else None
+                if now != seen:
+                    seen, since = now, time.monotonic()
+                elif time.monotonic() - since > LEASE_STALE:
+                    fs.delete(target, False)
+                time.sleep(0.5)
+            over = threading.Event()
+
+            def beat() -> None:
+                while not over.wait(LEASE_BEAT):
+                    fs.setTimes(target, int(time.time() * 1000), -1)
+
+            alive = threading.Thread(target=beat, daemon=True)
+            alive.start()
+            try:
+                yield
+            finally:
+                over.set()
+                alive.join()
+                fs.delete(target, False)
+        finally:
+            depth[0] -= 1
+
+
+def file_stamp(spark: SparkSession, *paths: str) -> str:
+    """Names, lengths and times of the files below paths, as a digest."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        p = fs_path(p)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Digest of a frame's schema and rows that does not depend on their order: the number of rows, and sum and exclusive or of the rows' hashes."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
+    return hashlib.sha1(f"{[(f.name, f.dataType.simpleString()) for f in df.schema]} {r['n']} {r['s']} {r['x']}".encode()).hexdigest()[:12]
+
+
+def save_sidecar(spark: SparkSession, path: str, model_name: str, metrics: dict, extra: dict | None = None) -> None:
+    """One-row JSON sidecar of a model (name, UTC time, numeric metrics, feature columns, target column, and ``extra``)."""
     meta = {
         "model_name": model_name,
         "trained_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
@@ -38,30 +136,22 @@ def save_model_artifact(spark: SparkSession, model: PipelineModel, path: str, mo
         "target_column": K.TARGET_COLUMN,
         **(extra or {}),
     }
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata")
+    write_bytes(spark, f"{path}/metadata.json", json.dumps(meta, indent=1).encode())
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict:
-    if not path_exists(spark, f"{path}/metadata"):
+    if not path_exists(spark, f"{path}/metadata.json"):
         raise FileNotFoundError(f"no model metadata at {path}; train a model first")
-    return json.loads(spark.read.text(f"{path}/metadata").first()["value"])
+    return json.loads(read_bytes(spark, f"{path}/metadata.json"))
 
 
-def load_trained_model(spark: SparkSession, path: str) -> PipelineModel:
-    """Load a saved model; actionable error when it has not been trained yet."""
-    if not path_exists(spark, f"{path}/model"):
-        raise FileNotFoundError(f"no trained model at {path}; run the training job first")
-    return PipelineModel.load(f"{path}/model")
-
-
-def check_feature_fingerprint(spark: SparkSession, path: str, df: DataFrame) -> list[str]:
-    """Schema fingerprint: the saved feature list must be present in ``df``."""
-    meta = load_metadata(spark, path)
+def check_fresh(meta: dict, df: DataFrame, data_fingerprint: str) -> None:
+    """Refuse a model whose feature columns ``df`` does not have, or that was made from other data."""
     missing = [c for c in meta["feature_columns"] if c not in df.columns]
     if missing:
-        raise ValueError(f"input is missing required feature columns: {missing}")
-    return meta["feature_columns"]
+        raise ValueError(f"the model {meta['model_name']} was trained with columns that are gone: {missing}; train it again")
+    if meta.get("data_fingerprint") not in (None, data_fingerprint):
+        raise ValueError(f"the model {meta['model_name']} was trained on other data; train it again")
 
 
 def save_comparison(table: DataFrame, path: str) -> None:
@@ -103,17 +193,8 @@ def leaderboard_chart_data(df: DataFrame) -> DataFrame:
     return df.selectExpr("name AS model", f"stack({len(K.CHART_METRICS)}, {stack}) AS (metric, value)")
 
 
-def log_run(spark: SparkSession, path: str, run_name: str, params: dict, metrics: dict,
-            tags: dict | None = None) -> str:
-    """Append one row to the ``model_runs`` table; only int/float (never bool)
-    values become metrics."""
-    run_id = uuid.uuid4().hex
-    numeric = {k: float(v) for k, v in metrics.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
-    row = [(run_id, run_name, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-            {k: str(v) for k, v in params.items()}, numeric, {k: str(v) for k, v in (tags or {}).items()})]
-    spark.createDataFrame(row, "run_id string, run_name string, ts timestamp, params map<string,string>, "
-                               "metrics map<string,double>, tags map<string,string>").write.mode("append").parquet(path)
-    return run_id
+CALIBRATION_METRICS = ("base_model_name string, calibration_method string, brier_raw double, brier_calibrated double, auc_raw double, auc_calibrated double, "
+                       "ece_raw double, ece_calibrated double")
 
 
 def save_calibration_metrics(report: DataFrame, path: str) -> None:
@@ -125,5 +206,4 @@ def save_calibration_metrics(report: DataFrame, path: str) -> None:
 def load_calibration_metrics(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no calibration metrics at {path}; run the calibration job first")
-    return spark.read.schema("brier_raw double, brier_calibrated double, auc_raw double, auc_calibrated double, "
-                             "ece_raw double, ece_calibrated double").json(path)
+    return spark.read.schema(CALIBRATION_METRICS).json(path)

@@ -82,28 +82,38 @@ def test_leakage_guard():
         metrics.check_auc_leakage_guard(0.9501)
 
 
-def test_platt_fit_matches_newton(spark):
-    """Sigmoid calibration: the two-weighted-rows logistic regression minimises the
-    same smoothed-target cross-entropy as a direct Newton solve."""
-    import numpy as np
+def test_groups_are_measured_as_if_alone(spark):
+    import random
 
-    from pyspark.sql import functions as F
-
-    from churnkit.ml.score import SigmoidCalibrator, fit_sigmoid
-
-    rng = np.random.default_rng(5)
-    f = rng.uniform(0, 1, 3000)
-    y = (rng.uniform(0, 1, 3000) < f ** 2).astype(int)
-    a, b = fit_sigmoid(spark.createDataFrame([(float(u), int(v)) for u, v in zip(f, y)], "_p double, label int"),
-                       "_p")
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    t = np.where(y == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
-    w = np.zeros(2)
-    x = np.column_stack([f, np.ones_like(f)])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]), x.T @ (p - t))
-    assert abs(a - w[0]) < 1e-5 and abs(b - w[1]) < 1e-5
-    cal = SigmoidCalibrator(a, b, margin=False)
-    got = spark.createDataFrame([(0.3,)], "f double").select(cal.apply(F.col("f")).alias("p")).first()["p"]
-    assert abs(got - 1 / (1 + np.exp(-(a * 0.3 + b)))) < 1e-12
+    rnd = random.Random(11)
+    rows = [(g, rnd.randint(0, 1), rnd.choice([round(rnd.random(), 2), rnd.random(), 0.0, 1.0])) for g in ("a", "b", None) for _ in range(150)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    found = {r.g: r for r in metrics.classification_metrics(df, by=["g"]).collect()}
+    ece = {r.g: r.ece for r in metrics.expected_calibration_error(df, by=["g"]).collect()}
+    tuned = {r.g: r for r in metrics.tune_decision_threshold(df, by=["g"]).collect()}
+    for g in ("a", "b", None):
+        own = _frame(spark, *zip(*[(y, p) for h, y, p in rows if h == g]))
+        alone = metrics.classification_metrics(own).first()
+        assert tuple(found[g])[1:] == tuple(alone) and ece[g] == metrics.expected_calibration_error(own).first().ece
+        assert tuple(tuned[g])[1:] == tuple(metrics.tune_decision_threshold(own).first())
+        ys, ps = zip(*[(y, p) for h, y, p in rows if h == g])
+        auc, ap, brier = _brute(ys, ps)
+        assert (alone.auc, alone.pr_auc, alone.brier) == pytest.approx((auc, ap, brier), abs=1e-6)
+
+
+def test_metrics_read_their_input_once(spark, tmp_path):
+    from tests.helpers import executed
+
+    _frame(spark, [0, 1, 0, 1], [.1, .9, .2, .6]).write.parquet(str(tmp_path / "scores"))
+    plan = executed(metrics.classification_metrics(spark.read.parquet(str(tmp_path / "scores"))))
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
+def test_methods_are_compared_from_one_table(spark):
+    df = spark.createDataFrame([(1, .9, .8), (0, .2, .1), (1, .4, .6), (0, .6, .3)], "y int, p_raw double, p_cal double")
+    found = {r.method: r for r in metrics.method_metrics(df, {"raw": "p_raw", "calibrated": "p_cal"}).collect()}
+    report = metrics.calibration_report(df).first()
+    for method, c in (("raw", "p_raw"), ("calibrated", "p_cal")):
+        alone = metrics.classification_metrics(df, p=c).first()
+        assert (found[method].brier, found[method].auc) == (alone.brier, alone.auc) == (report[f"brier_{method}"], report[f"auc_{method}"])
+        assert found[method].ece == metrics.expected_calibration_error(df, p=c).first().ece == report[f"ece_{method}"]

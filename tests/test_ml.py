@@ -1,13 +1,19 @@
 """Model-path invariants: exact stratified split, SHAP additivity, unseen levels,
 scoring contract, streaming sinks."""
 
+import itertools
+import math
+
+import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
+from churnkit.ml import blocks as B
+from churnkit.ml import boosting, forest, linear
+from churnkit.ml.ensemble import Trees, joined_trees
+from churnkit.ml.features import fit_encoder
 from churnkit.ml.split import split_assign
-from churnkit.ml.train import model_pipeline, with_label
 from churnkit.plans.registry import cleaned, raw
 
 SF = "/root/testdata/sf0.001"
@@ -35,22 +41,121 @@ def test_split_is_partition_independent(spark, split):
 
 
 @pytest.fixture(scope="module")
-def gbt(spark, split):
-    d = with_label(split)
-    return model_pipeline("XGBoost", {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2}, 1000).fit(
-        d.where(~F.col("is_test")))
+def blocks(spark, split, tmp_path_factory):
+    train = split.where("NOT is_test")
+    encoder, path = fit_encoder(train), str(tmp_path_factory.mktemp("blocks") / "blocks")
+    B.pack(train, encoder).write.parquet(path)
+    return spark.read.parquet(path), encoder, path
+
+
+def boosted(spark, blocks, **sizes):
+    table, encoder, path = blocks
+    job = boosting.Job("x", B.WHOLE, boosting.Boosted(**sizes))
+    return boosting.Booster(spark, table, encoder, [job], f"{path}-{boosting.jobs_key([job])}", 1).train()[0]
+
+
+@pytest.fixture(scope="module")
+def gbt(spark, blocks):
+    return boosted(spark, blocks, rounds=8, depth=3, rate=0.2)
+
+
+@pytest.fixture(scope="module")
+def lr(blocks):
+    return linear.train(blocks[0], blocks[1], [B.WHOLE], 10.0, 100)[0]
 
 
-def test_tree_shap_is_additive(spark, split, gbt):
+@pytest.fixture(scope="module")
+def deep(blocks):
+    """A forest of two trees grown to pure leaves."""
+    table, encoder, _ = blocks
+    rows = forest.train(table, encoder, [B.WHOLE], 2, 1).drop("fit").collect()
+    return joined_trees(encoder, False, 0.0, [tuple(r) for r in rows])
+
+
+def depth(trees):
+    levels = {r: 0 for r in trees.roots.tolist()}
+    for node, f in enumerate(trees.feature.tolist()):
+        if f >= 0:
+            levels[int(trees.left[node])] = levels[int(trees.left[node]) + 1] = levels[node] + 1
+    return max(levels.values())
+
+
+def additive(spark, model, rows, out, names=None):
     from churnkit.ml.shap import shap_contributions
 
-    c = shap_contributions(spark, gbt, split)
+    c = shap_contributions(spark, model, rows)
     phis = [x for x in c.columns if x.startswith("phi_")]
     assert {p[4:] for p in phis} == set(K.FEATURE_COLUMNS)
-    tot = c.select("customerID", (sum(F.col(x) for x in phis) + F.col("shap_base")).alias("s"))
-    margin = gbt.transform(split).select("customerID", (2 * vector_to_array("rawPrediction")[1]).alias("m"))
-    err = tot.join(margin, "customerID").select(F.max(F.abs(F.col("s") - F.col("m")))).first()[0]
-    assert err < 1e-9
+    total = {r[0]: r[1] for r in c.select(K.ID_COLUMN, (sum(F.col(x) for x in phis) + F.col("shap_base")).alias("s")).collect()}
+    assert all(abs(total[r[K.ID_COLUMN]] - r["m"]) < 1e-9 for r in out.collect()) and len(total) == rows.count()
+
+
+def test_tree_shap_is_additive(spark, split, gbt, lr):
+    from churnkit.ml.score import ModelScorer
+
+    for model in (gbt, lr):
+        additive(spark, model, split, ModelScorer(model).transform(split, out="m", margin=True))
+
+
+def test_deep_forests_are_explained(spark, split, deep):
+    from churnkit.ml.score import ModelScorer
+
+    assert depth(deep) > 12
+    some = split.orderBy(K.ID_COLUMN).limit(60)
+    additive(spark, deep, some, ModelScorer(deep).transform(some, out="m"))
+
+
+def expectation(t, root, codes, known):
+    """What a tree says on average where only the features in ``known`` are known."""
+    f = int(t.feature[root])
+    if f < 0:
+        return float(t.value[root])
+    a = int(t.left[root])
+    if f in known:
+        return expectation(t, a + int(codes[f] > t.cut[root]), codes, known)
+    return sum(expectation(t, c, codes, known) * float(t.cover[c]) for c in (a, a + 1)) / float(t.cover[root])
+
+
+def made_tree(encoder, rng, features, levels=6):
+    """A full tree of random tests on a few features."""
+    n = 2 ** (levels + 1) - 1
+    feature, cut, left, cover = np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n, np.int32), np.zeros(n)
+    cover[0] = 1000.0
+    for k in range(2**levels - 1):
+        feature[k], cut[k], left[k] = rng.choice(features), rng.integers(0, 5), 2 * k + 1
+        share = rng.uniform(0.1, 0.9)
+        cover[2 * k + 1], cover[2 * k + 2] = cover[k] * share, cover[k] * (1 - share)
+    return Trees(encoder, True, 0.3, np.zeros(1, np.int32), feature, cut, left, rng.normal(size=n), cover)
+
+
+def test_values_equal_brute_force_on_trees_of_six_levels(blocks, monkeypatch):
+    from churnkit.ml import shap
+
+    rng, encoder = np.random.default_rng(3), blocks[1]
+    features = [0, 1, 2, 5, 9, 14, 20]
+    tree = made_tree(encoder, rng, features)
+    codes = rng.integers(0, 6, (4, encoder.width)).astype(np.uint8)
+    for table in (0, 4, 7):
+        monkeypatch.setattr(shap, "TABLE_FEATURES", table)
+        found = shap.PathTables(tree).values(codes, np.arange(encoder.width), encoder.width)
+        for i in range(len(codes)):
+            for f in features:
+                others, want = [g for g in features if g != f], 0.0
+                for n in range(len(features)):
+                    w = math.factorial(n) * math.factorial(len(features) - n - 1) / math.factorial(len(features))
+                    for some in itertools.combinations(others, n):
+                        want += w * (expectation(tree, 0, codes[i], {*some, f}) - expectation(tree, 0, codes[i], set(some)))
+                assert found[i, f] == pytest.approx(want, abs=1e-9)
+
+
+def test_trees_walk_as_their_nodes_say(blocks):
+    tree = made_tree(blocks[1], np.random.default_rng(4), [0, 3, 7])
+    codes = np.random.default_rng(5).integers(0, 6, (50, blocks[1].width)).astype(np.uint8)
+    for row, leaf in zip(codes, tree.leaves(codes)[:, 0].tolist()):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = int(tree.left[node]) + int(row[tree.feature[node]] > tree.cut[node])
+        assert node == leaf
 
 
 def test_unseen_level_scores_without_error(spark, gbt, split):
@@ -167,13 +272,11 @@ def test_calibration_metrics_round_trip(spark, tmp_path):
     """The one-row report is written as JSON and read back with its schema."""
     from churnkit.sources import artifacts
 
-    report = spark.createDataFrame([(0.15, 0.14, 0.84, 0.83, 0.08, 0.03)],
-                                   "brier_raw double, brier_calibrated double, auc_raw double, "
-                                   "auc_calibrated double, ece_raw double, ece_calibrated double")
+    row = ("XGBoost", "isotonic", 0.15, 0.14, 0.84, 0.83, 0.08, 0.03)
     path = str(tmp_path / "calibration_metrics")
-    artifacts.save_calibration_metrics(report, path)
+    artifacts.save_calibration_metrics(spark.createDataFrame([row], artifacts.CALIBRATION_METRICS), path)
     back = artifacts.load_calibration_metrics(spark, path).collect()
-    assert [tuple(r) for r in back] == [(0.15, 0.14, 0.84, 0.83, 0.08, 0.03)]
+    assert [tuple(r) for r in back] == [row]
     with pytest.raises(FileNotFoundError):
         artifacts.load_calibration_metrics(spark, str(tmp_path / "missing"))
 
@@ -185,64 +288,95 @@ def test_folds_are_stratified(split):
         assert max(sizes) - min(sizes) <= 1
 
 
-def test_linear_contributions_do_not_depend_on_the_rows_explained(spark, split):
-    from churnkit.ml.shap import shap_contributions, with_background
-    from churnkit.ml.train import REFERENCE_PROFILE, balanced, model_pipeline, with_label
+def test_linear_contributions_do_not_depend_on_the_rows_explained(spark, split, lr):
+    from churnkit.ml.shap import shap_contributions
 
-    train = with_label(split.where("NOT is_test"))
-    model = model_pipeline("LogisticRegression", REFERENCE_PROFILE["LogisticRegression"], train.count(), weight_col="w").fit(balanced(train))
-    with pytest.raises(ValueError, match="training means"):
-        shap_contributions(spark, model, split.limit(5))
-    model = with_background(model, train)
     some = split.orderBy(K.ID_COLUMN).limit(5)
-    phi = {r[K.ID_COLUMN]: r for r in shap_contributions(spark, model, split, keep=[K.ID_COLUMN]).collect()}
-    for r in shap_contributions(spark, model, some, keep=[K.ID_COLUMN]).collect():
+    phi = {r[K.ID_COLUMN]: r for r in shap_contributions(spark, lr, split, keep=[K.ID_COLUMN]).collect()}
+    for r in shap_contributions(spark, lr, some, keep=[K.ID_COLUMN]).collect():
         assert all(abs(a - b) < 1e-9 for a, b in zip(tuple(r)[1:], tuple(phi[r[K.ID_COLUMN]])[1:]))
 
 
-def test_class_weights_raise_recall(split):
-    from churnkit.ml.train import REFERENCE_PROFILE, balanced, model_pipeline, with_label
-
-    train, test = with_label(split.where("NOT is_test")), with_label(split.where("is_test"))
-    params = REFERENCE_PROFILE["LogisticRegression"]
-    found = []
-    for weight in (None, "w"):
-        m = model_pipeline("LogisticRegression", params, train.count(), weight_col=weight).fit(balanced(train))
-        found.append(m.transform(test).where("label = 1 AND prediction = 1").count())
-    assert found[1] > found[0]
-
-
-def test_a_copied_label_is_refused(split):
-    from churnkit.ml.train import evaluate_candidate
-
-    leaked = split.withColumn("MonthlyCharges", split.MonthlyCharges * 0 + split.Churn)
-    with pytest.raises(ValueError):
-        evaluate_candidate("LogisticRegression", leaked, {"C": 10.0, "maxIter": 50})
-
-
 def test_queries_train_models_of_the_reference_sizes(spark, monkeypatch):
     from churnkit.ml import train, workflow
 
-    assert not hasattr(train, "FAST_PROFILE")
-    forest, boosted = train.REFERENCE_PROFILE["RandomForest"], train.REFERENCE_PROFILE["XGBoost"]
-    assert (forest["numTrees"], forest["maxDepth"], boosted["maxIter"], train.DIAGNOSTIC_PARAMS["maxIter"]) == (300, 30, 200, 200)
+    forest_, boosted_ = train.REFERENCE_PROFILE["RandomForest"], train.REFERENCE_PROFILE["XGBoost"]
+    assert (forest_["trees"], boosted_["rounds"], boosted_["depth"], train.DIAGNOSTIC_PARAMS["rounds"]) == (300, 200, 4, 200)
     asked = []
 
-    def compare(data, profile):
-        asked.append(profile)
+    def compare(run):
+        asked.append((run.profile, run.oversample))
         raise RuntimeError("seen")
 
     monkeypatch.setattr(workflow, "compare_models", compare)
     monkeypatch.setattr(workflow, "CACHE_VERSION", "test-sizes")
-    monkeypatch.setattr(workflow, "split_table", lambda s, d: None)
-    small = {"LogisticRegression": {"C": 10.0, "maxIter": 5}}
+    small = {"LogisticRegression": {"kind": "linear", "inverse_ridge": 10.0, "steps": 5}}
     for profile in (None, small):
         with pytest.raises(RuntimeError, match="seen"):
             workflow.comparison(spark, SF, profile)
-    assert asked == [train.REFERENCE_PROFILE, small]
+    assert asked == [(train.REFERENCE_PROFILE, True), (small, True)]
     assert workflow.run_dir(spark, SF, "comparison", profile=small) != workflow.run_dir(spark, SF, "comparison")
 
 
+class Halving:
+    """A stand-in scorer: 0.8 for a month-to-month contract, half of it otherwise, less 0.1 with tech support."""
+
+    def column(self, df, changes=None):
+        def p(contract, support):
+            return F.when(contract == "Month-to-month", 0.8).otherwise(0.4) - F.when(support == "Yes", 0.1).otherwise(0.0)
+
+        own = {c: F.col(c) for c in ("Contract", "TechSupport")}
+        out = [p(own["Contract"], own["TechSupport"])]
+        for c, v in (changes or {}).items():
+            now = own | ({c: F.lit(v)} if c in own else {})
+            out.append(p(now["Contract"], now["TechSupport"]))
+        return F.array(*out)
+
+
+def test_impacts_of_known_flips(spark, split, gbt):
+    """A flip from month-to-month halves 0.8, tech support takes off 0.1; nothing is below zero, other actions have no impact."""
+    from churnkit.ml.actions import FLIPS, recommend_for_customers
+
+    out = recommend_for_customers(spark, split, Halving(), gbt).collect()
+    by = {r[K.ID_COLUMN]: r for r in split.collect()}
+    seen = set()
+    for r in out:
+        if r["source"] != "driver" or r["driver_feature"] not in FLIPS:
+            assert r["expected_churn_reduction_pct"] is None and r["counterfactual_basis"] is None
+            continue
+        f = r["driver_feature"]
+        old = by[r[K.ID_COLUMN]]
+        want = {"Contract": 40.0, "TechSupport": 10.0}.get(f, 0.0)
+        assert r["expected_churn_reduction_pct"] == pytest.approx(want if (f != "Contract" or old["Contract"] == "Month-to-month") else 0.0)
+        assert r["counterfactual_basis"] == f"{f}: '{old[f]}' -> '{FLIPS[f]}'"
+        seen.add(f)
+    assert {"Contract", "TechSupport"} <= seen
+
+
+def test_flips_are_scores_of_the_changed_rows(spark, split, gbt, lr):
+    from churnkit.ml.actions import FLIPS
+    from churnkit.ml.calibrate import Isotonic, Sigmoid
+    from churnkit.ml.score import CalibratedScorer, ModelScorer
+
+    calibrated = CalibratedScorer([(gbt, Isotonic(np.array([0.1, 0.9]), np.array([0.0, 1.0]))), (lr, Sigmoid(1.5, -0.2, True))])
+    for scorer in (ModelScorer(gbt), calibrated):
+        rows = split.withColumn("_p", scorer.column(split, FLIPS)).select(K.ID_COLUMN, "_p")
+        got = {r[K.ID_COLUMN]: r["_p"] for r in rows.collect()}
+        for k, (c, v) in enumerate([(None, None), *FLIPS.items()]):
+            changed = split if c is None else split.withColumn(c, F.lit(v))
+            assert all(got[r[K.ID_COLUMN]][k] == pytest.approx(r["p"], abs=1e-12) for r in scorer.transform(changed).collect())
+
+
+def test_recommendations_evaluate_every_row_once(spark, split, gbt, tmp_path):
+    from churnkit.ml.actions import recommend_for_customers
+    from churnkit.ml.score import ModelScorer
+    from tests.helpers import executed
+
+    split.write.parquet(str(tmp_path / "split"))
+    plan = executed(recommend_for_customers(spark, spark.read.parquet(str(tmp_path / "split")), ModelScorer(gbt), gbt))
+    assert plan.count("MapInPandas") == 1 and plan.count("ArrowEvalPython") == 1 and "Union" not in plan and "Join" not in plan
+
+
 def test_validated_subscribers_reports_raw_values_that_cleaning_would_mend(spark, monkeypatch):
     from churnkit.plans import registry
 
