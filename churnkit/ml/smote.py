@@ -167,15 +167,18 @@ def neighbours(rows: DataFrame, encoder: Encoder, scaled: dict[int, Encoder], fo
                 own, copies = [c["row"] for c in candidates], np.array([c["copies"] for c in candidates])
                 there = values(f, own)
                 rank = np.argsort(np.argsort(np.array(own, object), kind="stable"), kind="stable")
+                same = {x: i for i, x in enumerate(own)}
                 for low in range(0, len(queries), 512):
                     some = queries[low:low + 512]
                     d = squared(values(f, some), there)
-                    same = {x: i for i, x in enumerate(own)}
                     left = np.broadcast_to(copies, d.shape).copy()
                     for q, x in enumerate(some):
                         if x in same:
                             left[q, same[x]] -= 1  # a row is no neighbour of its own
-                    q, c = np.nonzero(left > 0)
+                    d[left == 0] = np.inf
+                    # the k nearest, and what ties with the last of them, hold k rows or more
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1:k] if d.shape[1] > k else np.full((len(some), 1), np.inf)
+                    q, c = np.nonzero((d <= last) & (left > 0))
                     at, dist, r, n = _least(q, d[q, c], rank[c], left[q, c], k)
                     back = np.argsort(rank)
                     yield pa.record_batch([pa.array([f] * len(at), pa.int32()), pa.array([some[i] for i in at.tolist()], pa.binary()), pa.array(np.sqrt(dist)),
