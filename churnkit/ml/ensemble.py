@@ -136,11 +136,11 @@ def load(spark: SparkSession, path: str) -> Model:
     encoder = Encoder.from_json(d["encoder"])
     if "weights" in d:
         return Linear(encoder, np.array(d["weights"]), d["intercept"], np.array(d["center"]))
-    if artifacts.path_exists(spark, f"{path}/trees.npz"):
+    if "table" not in d:
         x = np.load(io.BytesIO(artifacts.read_bytes(spark, f"{path}/trees.npz")))
         return Trees(encoder, d["boosted"], d["base"], *(x[c] for c in ("roots", "feature", "cut", "left", "value", "cover")))
-    # a forest: a table with a row a tree
-    trees = spark.read.parquet(f"{path}/trees").toArrow()
+    # a forest: a table with a row for each tree of several fits
+    trees = spark.read.parquet(d["table"]).where(F.col("fit") == d["fit"]).toArrow()
     return joined_trees(encoder, d["boosted"], d["base"], list(zip(*(trees.column(c).to_pylist() for c in ("tree", "feature", "cut", "left", "value", "cover")), strict=True)))
 
 

@@ -121,11 +121,10 @@ class Training:
     def _forest(self, name: str, fits: list[int], table: DataFrame, encoder: Encoder, weight: float) -> None:
         path = f"{self.folder}/forest/{name}-{'-'.join(map(str, fits))}"
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
-            forest.train(table, encoder, fits, self.params(name)["trees"], self.seed, weight).write.mode("overwrite").parquet(path)
-        for f in fits:  # trees go from table to table; the driver does not see them
-            own = self.spark.read.parquet(path).where(F.col("fit") == f).drop("fit")
-            own.write.mode("overwrite").parquet(f"{self.ledger.path(name, f)}/trees")
-            ensemble.describe(self.spark, encoder, self.ledger.path(name, f), boosted=False, base=0.0)
+            trees = forest.train(table, encoder, fits, self.params(name)["trees"], self.seed, weight)
+            trees.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        for f in fits:  # a forest stays in the table its tasks wrote; the driver does not see it
+            ensemble.describe(self.spark, encoder, self.ledger.path(name, f), boosted=False, base=0.0, table=path, fit=f)
             self.ledger.event(name, "fitted", self.params(name), {}, {"fit": str(f)})
 
     def commit(self, name: str, fit: int, model: Model) -> None:

@@ -223,6 +223,7 @@ def test_neighbours_equal_all_pairs(spark, training, tmp_path, monkeypatch, pivo
 
 def test_made_rows_level_the_classes_of_each_fit_and_use_no_other_fold(training):
     encoder = training.encoder()
+    training.blocks(True)
     given, made = local(training.blocks(False), encoder), local(training.spark.read.schema(B.BLOCKS).parquet(f"{training.folder}/made"), encoder)
     for fit in range(K.CV_FOLDS + 1):
         n = sum(np.bincount(b.y[b.used(fit)], minlength=2) for b in given + made)
