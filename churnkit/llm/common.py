@@ -31,6 +31,17 @@ def texts(df: DataFrame) -> DataFrame:
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder once and read it back: it cuts the lineage,
     survives lost executors and lets several readers share one computation."""

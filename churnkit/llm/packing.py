@@ -9,7 +9,8 @@ length.  Every window but the last is full, so the only padding is at the end of
 which is padded to the next power of two.
 
 Text is cut at blanks, tabs and line ends before it is tokenized, which the tokenizer drops anyway, and the ids
-of a chunk are remembered, within a bound, in each worker process.
+of a chunk are remembered, within a bound, in each worker process.  A tokenizer with another normalizer or pattern
+encodes texts as a whole.  Control strings within a text get the ids that the tokenizer itself gives them.
 
 Defined results: a null or empty text has only the end id; repeated rows are packed as often as
 they occur; an empty table gives no pieces; a null ``doc_id`` is carried along; other columns are
@@ -19,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import gc
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +38,9 @@ WINDOW = 4096
 #: Chunks up to so many characters are remembered, up to twice so many of them.
 MEMO_CHARS, MEMO_SIZE = 40, 200_000
 MARKS = ".,!&$%#*;:?"
+#: What a tokenizer file must say for its texts to be cut at white space and words.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -54,8 +59,12 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.model, self.older = self.tokenizer.model, {}
+        own = json.loads(self.tokenizer.to_str())
+        parts = [x.get("type") for x in (own["normalizer"] or {}).get("normalizers", ())], (own["pre_tokenizer"] or {}).get("pretokenizers", ())
+        # chunks and words are cut as this normalizer and pattern allow; with others, texts stay whole
+        self.cuts = parts[0] == NORMALIZERS and [x.get("type") for x in parts[1]] == ["Split", "ByteLevel"] and parts[1][0].get("pattern") == {"Regex": PATTERN} \
+            and not any(set(x["content"]) & set(" \t\n\r") or x["lstrip"] or x["rstrip"] or x["single_word"] for x in own["added_tokens"])
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
@@ -73,7 +82,7 @@ class Chunks(dict):
     def ids_of(self, chunk: str) -> bytes:
         """Marks after a letter are tokens of their own, and letters up to U+00FF are one word in lower case, so
         ``Word,`` has the ids of ``word`` and of the mark, and only such a word goes straight to the merges."""
-        if len(chunk) <= MEMO_CHARS:
+        if self.cuts and len(chunk) <= MEMO_CHARS:
             stem = chunk.rstrip(MARKS)
             if stem.isalpha() and max(stem) <= "\xff":
                 low = stem.lower()
@@ -84,6 +93,8 @@ class Chunks(dict):
         return np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.cuts:
+            return self.ids_of(text)
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import arrow_map, prepare, stash, texts
+from churnkit.llm.common import arrow_map, fresh, prepare, stash, texts
 from churnkit.llm.components import components
 
 SHINGLE, SEED, PART_BITS = 3, 42, 31
@@ -52,14 +52,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for documents ``(doc_id, text)``; ``fp`` holds the 64 bits in a signed long."""
+    """``(doc_id, fp, h)`` for documents ``(doc_id, text)``; ``fp`` holds the 64 bits in a signed long, ``h`` is a hash of the whole text."""
     prepare(df.sparkSession)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+        return pa.record_batch([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"])
 
-    return arrow_map(texts(df), rows, "doc_id long, fp long")
+    return arrow_map(texts(df).withColumn("h", F.xxhash64("text")), rows, "doc_id long, fp long, h long")
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -185,22 +185,32 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, bits: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)``: the smallest ``doc_id`` that links of at most ``bits`` bits lead to, itself included."""
+    """``(doc_id, fp, h, component_id, root)``: the smallest ``doc_id`` that links of at most ``bits`` bits lead to, itself included, and the
+    smallest fingerprint of the component."""
     own = stash(fingerprints(df, shingle), "fingerprints")
     roots = components(links(own.select("fp").distinct(), bits))
     roots = own.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, F.col("fp") == F.col("node"), "left")
     roots = roots.select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(roots.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "h", "component_id", "root")
 
 
 def deduplicate(df: DataFrame, shingle: int = SHINGLE, bits: int = 3) -> DataFrame:
-    """The rows of ``df`` that are the one of their component with the smallest ``doc_id``; of repeated rows with that id one
-    stays, and rows without an id stay."""
-    columns = df.columns
-    found = stash(near_duplicates(df, shingle, bits).groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("rows")), "kept")
-    kept = found.where("doc_id = first").select(F.col("doc_id").alias("kept_id"), "rows")
-    joined = lambda ids: df.join(ids.select("kept_id"), F.col("doc_id").cast("long") == F.col("kept_id")).select(*columns)
-    out = joined(kept.where("rows = 1")).union(df.where(F.col("doc_id").isNull()))
-    repeated = kept.where("rows > 1")
-    return out if repeated.isEmpty() else out.union(joined(repeated).dropDuplicates(["doc_id"]))
+    """One row of ``df`` for each component: that with the smallest ``doc_id`` (null last); of several texts with that id the one of the least
+    hash, of several rows with that text the one whose JSON has the least hash."""
+    found = near_duplicates(df, shingle, bits)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    kept = found.groupBy("root").agg(F.min(place).alias("p")).select("p.doc_id", "p.h")
+    rows = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    kept = stash(kept.join(rows, kept["doc_id"].eqNullSafe(rows["doc_id"]) & (kept["h"] == rows["h"])).select(kept["doc_id"], kept["h"], "rows"), "kept")
+    key, text, times, lot = fresh(df, "kept_id", "kept_h", "kept_rows", "kept_lot")
+    kept = kept.toDF(key, text, times)
+    said = F.xxhash64(F.coalesce(df["text"].cast("string"), F.lit("")))
+    joined = lambda keys: df.join(keys, df["doc_id"].cast("long").eqNullSafe(keys[key]) & (said == keys[text]))
+    out = joined(kept.where(F.col(times) == 1)).select(*[df[c] for c in df.columns])
+    repeated = kept.where(F.col(times) > 1)
+    if repeated.isEmpty():
+        return out
+    whole = F.struct(*[df[c] for c in df.columns])
+    least = joined(repeated).select(key, text, whole.alias(lot)).groupBy(key, text).agg(F.min_by(lot, F.xxhash64(F.to_json(lot))).alias(lot))
+    return out.union(least.select(f"{lot}.*"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnkit.llm.common import arrow_map, discard, prepare, stash
+from churnkit.llm.common import arrow_map, discard, fresh, prepare, stash
 
 LENGTH, GRAM = 100, 32
 #: Slots of a bitmap (16 MB), phrases an anchor may have in a block, bytes of a block.
@@ -217,7 +217,7 @@ def late_strings(texts: list[bytes], place: np.ndarray, length: int) -> tuple[np
     offset = at - (ends[phrase] - size[phrase])
     by = np.lexsort((place[phrase, 1] + offset, place[phrase, 0], interval))
     interval, phrase, offset = interval[by], phrase[by], offset[by]
-    late = np.r_[False, interval[1:] == interval[:-1]]
+    late = np.flatnonzero(interval[1:] == interval[:-1]) + 1
     return phrase[late], offset[late]
 
 
@@ -354,7 +354,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH) -> DataFrame:
 def cut(df: DataFrame, length: int = LENGTH) -> DataFrame:
     """``df`` with the repeated strings cut out of ``text``, and ``n_chars``, if it has that column, counted anew.  A character stays
     if any of its bytes stays; null texts stay null."""
-    found = repeated_spans(df, length).withColumnsRenamed({"doc_id": "__d", "h": "__h", "spans": "__spans"})
+    of, same_text, gone_from = fresh(df, "cut_id", "cut_hash", "cut_spans")
+    found = repeated_spans(df, length).withColumnsRenamed({"doc_id": of, "h": same_text, "spans": gone_from})
 
     @F.pandas_udf("string")
     def kept(text, spans):
@@ -376,9 +377,9 @@ def cut(df: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__d")) & (F.crc32(text.cast("binary")) == F.col("__h"))
-    out = df.join(found, same, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept("text", "__spans")))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col(of)) & (F.crc32(text.cast("binary")) == F.col(same_text))
+    out = df.join(found, same, "left").withColumn("text", F.when(F.col(gone_from).isNull(), F.col("text")).otherwise(kept("text", gone_from)))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone_from).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)
 

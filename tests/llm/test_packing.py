@@ -46,11 +46,18 @@ def check(pieces, expected, window):
 
 
 def test_small_windows(spark):
-    rows = [(1, words(30, 1)), (2, None), (3, ""), (4, words(3000, 2)), (5, "Ünïcode\tA\r\nb c\x1cd <|endoftext|>"), (6, "x" * 5000)]
+    rows = [(1, words(30, 1)), (2, None), (3, ""), (4, words(3000, 2)), (5, "Ünïcode\tA\r\nb c\x1cd <|endoftext|>"), (6, "x" * 5000),
+            (7, "a <|endoftext|> b<|startoftext|>,c <|ENDOFTEXT|>")]
     got = [p.asDict() for p in packing.pack(docs(spark, rows), PATH, window=64).collect()]
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    check(got, {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in rows}, 64)
+    check(got, {i: whole(x) for i, x in rows}, 64)
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.Chunks(path), Tokenizer.from_file(path)
+    assert not own.cuts and packing.Chunks(PATH).cuts
+    for text in ("Two  words, here", "", " lead <|endoftext|>", "né" * 50):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_repeated_rows_are_packed_as_often_as_they_occur(spark):

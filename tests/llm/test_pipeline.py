@@ -56,5 +56,22 @@ def test_odd_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_clashing_columns_long_texts_and_ties(spark):
+    said = " ".join(f"w{k % 977}x{k % 31}" for k in range(20_000))
+    rows = [(1, said), (2, said), (2, "quite another text, kept"), (5, "one text here"), (5, "and a second one"), (5, "one text here"), (None, "no id at all"), (None, "no id at all"),
+            (None, "something else without an id"), (9, "no id at all")]
+    clash = ["kept_id", "kept_h", "kept_rows", "kept_lot", "cut_id", "cut_hash", "cut_spans", "__d", "__spans", "fp", "root", "h", "component_id"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).selectExpr("*", *[f"'x' AS {c}" for c in clash])
+    _, second, third, fourth = (f for _, f in corpus_pipeline.STAGES)
+    once = second(spark, docs, SF)
+    assert once.columns == docs.columns
+    # every different text stays once, with the least id it has
+    assert sorted(map(str, ((r.doc_id, r.text) for r in once.collect()))) == sorted(map(str, {(1, said), (2, rows[2][1]), (5, rows[3][1]), (5, rows[4][1]), (None, rows[8][1]), (9, rows[9][1])}))
+    again = spark.createDataFrame(once.collect(), docs.schema)
+    cut = third(spark, again, SF)
+    assert cut.columns == docs.columns and cut.count() == 6 and all(r.n_chars == len(r.text) and r.cut_spans == "x" for r in cut.collect())
+    assert fourth(spark, cut, SF).agg({"length": "sum"}).first()[0] > 0
+
+
 def test_tokenizer_file_is_a_parameter():
     assert np.all([public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json")])
