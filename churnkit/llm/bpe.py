@@ -8,7 +8,8 @@ their buckets; they are recognised as stale (their pair has another rank by now)
 Each merge costs a constant number of queue operations, whatever the length of the pre-token.
 
 Pre-tokens do not depend on one another, so documents are encoded where they are read, without a
-shuffle.  A bounded memo per worker process keeps the ids of short pre-tokens.
+shuffle.  A bounded memo per worker process keeps the ids of short pre-tokens, in two halves, of which the older one is
+dropped when the newer one is full; what is used again moves over, so frequent pre-tokens stay.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated rows; an empty
 table gives an empty table; a null ``doc_id`` is carried along; other columns are ignored.
@@ -17,6 +18,7 @@ table gives an empty table; a null ``doc_id`` is carried along; other columns ar
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import struct
 from functools import lru_cache
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from churnkit.llm.common import arrow_map, prepare, texts
 
-#: Pre-tokens up to so many characters are remembered, up to so many of them.
-MEMO_CHARS, MEMO_SIZE = 32, 700_000
+#: Pre-tokens up to so many characters are remembered, up to twice so many of them; characters encoded at once.
+MEMO_CHARS, MEMO_SIZE, BLOCK_CHARS = 32, 350_000, 2 << 20
 
 
 BIT = [1 << i for i in range(64)]
@@ -92,6 +94,10 @@ class Codec:
         self.findall = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.pieces))
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.length = np.array([len(x) for x in self.pieces], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.all = np.frombuffer(b"".join(self.pieces), np.uint8)
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -131,22 +137,36 @@ class Codec:
         return [ranks[p] for p in piece if p is not None]
 
     def packed(self, token: str) -> bytes:
-        merged = self.merge(token.encode("utf-8"))
-        ids = struct.pack(f"<{len(merged)}I", *merged)
-        if len(token) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_SIZE:
-                self.memo.clear()
-            self.memo[token] = ids
+        ids = self.older.get(token)
+        if ids is None:
+            merged = self.merge(token.encode("utf-8"))
+            ids = struct.pack(f"<{len(merged)}I", *merged)
+            if len(token) > MEMO_CHARS:
+                return ids
+        if len(self.memo) >= MEMO_SIZE:
+            self.older = dict(self.memo)
+            self.memo.clear()
+        self.memo[token] = ids
         return ids
 
+    def encode_all(self, batch: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers."""
+        known, packed, findall = self.memo.get, self.packed, self.findall
+        gc.disable()  # many small acyclic objects: walking over them again and again takes time
+        try:
+            return [b"".join([known(t) or packed(t) for t in findall(text)]) for text in batch]
+        finally:
+            gc.enable()
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        known, packed = self.memo.get, self.packed
-        return b"".join([known(t) or packed(t) for t in self.findall(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        """One gather from the bytes of all pieces."""
+        own = np.frombuffer(ids, dtype="<u4")
+        size = self.length[own]
+        ends = np.cumsum(size)
+        return self.all[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[own] - (ends - size), size)].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -161,13 +181,24 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def encoded(c: Codec, batch: list[str]) -> list[bytes]:
+    """Ids of texts, some megabytes of them at a time."""
+    out, low, size = [], 0, 0
+    for k, t in enumerate(batch):
+        size += len(t)
+        if size > BLOCK_CHARS or k + 1 == len(batch):
+            out += c.encode_all(batch[low:k + 1])
+            low, size = k + 1, 0
+    return out
+
+
 def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` for documents ``(doc_id, text)``; ids as little-endian unsigned 32-bit integers."""
     prepare(df.sparkSession)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path, pattern)
-        ids = pa.array([c.encode(t) for t in _column(batch, "text").to_pylist()], pa.binary())
+        ids = pa.array(encoded(c, _column(batch, "text").to_pylist()), pa.binary())
         return pa.record_batch([_column(batch, "doc_id"), ids], names=["doc_id", "ids"])
 
     return arrow_map(texts(df), rows, "doc_id long, ids binary")
@@ -191,7 +222,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path, pattern)
-        ids = [c.encode(t) for t in _column(batch, "text").to_pylist()]
+        ids = encoded(c, _column(batch, "text").to_pylist())
         return pa.record_batch([_column(batch, "doc_id"), pa.array(ids, pa.binary()),
                                 pa.array([c.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
