@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,10 @@ class Trees:
     def linear(self) -> bool:
         return False
 
+    def lean(self) -> Trees:
+        """What scoring needs."""
+        return replace(self, cover=np.zeros(0))
+
     def leaves(self, codes: np.ndarray, roots: np.ndarray | None = None) -> np.ndarray:
         """The leaf each row reaches in each tree."""
         node = np.broadcast_to((self.roots if roots is None else roots)[None, :], (len(codes), len(self.roots if roots is None else roots))).astype(np.int32)
@@ -102,6 +106,9 @@ class Linear:
     def linear(self) -> bool:
         return True
 
+    def lean(self) -> Linear:
+        return self
+
     def margin(self, rows: Rows) -> np.ndarray:
         return Rows(self.encoder, rows.num, rows.level).values() @ self.weights + self.intercept
 

@@ -74,12 +74,18 @@ class Scorer:
     def transform(self, df: DataFrame, out: str = "p") -> DataFrame:
         return df.withColumn(out, self.column(df)[0])
 
+    def release(self) -> None:
+        """Drop what was sent; frames that score with it can no longer be run."""
+        for sent in self._sent.values():
+            sent.destroy()
+        self._sent = {}
+
 
 class ModelScorer(Scorer):
     """Churn probability of one model (or, with ``margin``, its log-odds)."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__(model.encoder, _Plain(model, False))
+        super().__init__(model.encoder, _Plain(model.lean(), False))
         self.model = model
 
     def transform(self, df: DataFrame, out: str = "p", margin: bool = False) -> DataFrame:
@@ -87,7 +93,7 @@ class ModelScorer(Scorer):
 
     def _margin(self) -> _Plain:
         if not hasattr(self, "_as_margin"):
-            self._as_margin = _Plain(self.model, True)
+            self._as_margin = _Plain(self.model.lean(), True)
         return self._as_margin
 
 
@@ -95,7 +101,7 @@ class CalibratedScorer(Scorer):
     """Average of per-fold (base model -> calibrator) probabilities."""
 
     def __init__(self, pairs: list[tuple[Model, Calibrator]]) -> None:
-        super().__init__(pairs[0][0].encoder, _Calibrated(tuple(pairs)))
+        super().__init__(pairs[0][0].encoder, _Calibrated(tuple((m.lean(), c) for m, c in pairs)))
         self.pairs = pairs
 
 

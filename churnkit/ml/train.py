@@ -20,7 +20,7 @@ from churnkit.ml import boosting, ensemble, forest, linear, smote
 from churnkit.ml.ensemble import Model
 from churnkit.ml.features import Encoder, fit_encoder
 from churnkit.ml.ledger import Ledger
-from churnkit.ml.score import candidate_scores
+from churnkit.ml.score import ModelScorer, candidate_scores
 from churnkit.operators import metrics
 from churnkit.sources.artifacts import path_exists
 
@@ -135,45 +135,63 @@ class Training:
 
     def scores(self, names: list[str]) -> DataFrame:
         """``(customerID, y, fold, name, p)`` for every row of the split: training rows by the model that has not seen their fold, test rows
-        by that of all training rows.  Written once for a set of candidates."""
-        path = f"{self.folder}/scores/{'-'.join(sorted(names))}"
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
-            self.ensure(names)
-            models = {n: [self.model(n, f) for f in FITS] for n in names}
-            rows = self.split.withColumn("y", F.col(K.TARGET_COLUMN).cast("int"))
-            candidate_scores(rows, models, [K.ID_COLUMN, "y"]).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        by that of all training rows.  One pass serves all small models; forests follow one fit at a time.  Every part is written once."""
+        rows = self.split.withColumn("y", F.col(K.TARGET_COLUMN).cast("int"))
+        small = [n for n in names if self.params(n)["kind"] != "forest"]
+        self.ensure(names)
+        parts = []
+        if small:
+            path = f"{self.folder}/scores/{'-'.join(sorted(small))}"
+            if not path_exists(self.spark, f"{path}/_SUCCESS"):
+                models = {n: [self.model(n, f) for f in FITS] for n in small}
+                candidate_scores(rows, models, [K.ID_COLUMN, "y"]).write.mode("overwrite").parquet(path)
+            parts.append(path)
+        for n in (n for n in names if n not in small):
+            for f in FITS:  # one forest at a time, each over its own rows
+                path = f"{self.folder}/scores/{n}-{f}"
+                if not path_exists(self.spark, f"{path}/_SUCCESS"):
+                    scorer = ModelScorer(self.model(n, f))
+                    own = rows.where(F.col("is_test") if f == B.WHOLE else F.col("fold") == f)
+                    scorer.transform(own).select(K.ID_COLUMN, "y", "fold", F.lit(n).alias("name"), "p").write.mode("overwrite").parquet(path)
+                    scorer.release()
+                parts.append(path)
+        return self.spark.read.parquet(*parts)
 
     def evaluate(self, names: list[str]) -> list[dict]:
         """M6 for all candidates: CV AUC mean / population std, out-of-fold tuned threshold, test metrics at 0.5 and at the tuned
         threshold, leakage guard on both AUCs."""
-        scored = self.scores(names)
-        by = ["name", "part"]
-        parts = scored.withColumn("part", F.coalesce(F.col("fold").cast("string"), F.lit("test")))
-
-        def at_tuned() -> tuple[dict, dict]:
-            tuned = {r["name"]: r["tuned_threshold"] for r in metrics.tune_decision_threshold(scored.where("fold IS NOT NULL"), digits=12, by=["name"]).collect()}
-            at = F.lit(None).cast("double")
-            for n, t in tuned.items():
-                at = F.when(F.col("name") == n, F.lit(float(t))).otherwise(at)
-            return tuned, {r["name"]: r["f1"] for r in metrics.classification_metrics(scored.where("fold IS NULL"), threshold=at, digits=12, by=["name"]).collect()}
-
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            measured = pool.submit(lambda: {(r["name"], r["part"]): r for r in metrics.classification_metrics(parts, digits=12, by=by).collect()})
-            tuned, f1 = at_tuned()
-            found = measured.result()
-        out = []
-        for n in names:
-            aucs = [found[n, str(f)]["auc"] for f in range(K.CV_FOLDS)]
-            mean = sum(aucs) / len(aucs)
-            test = found[n, "test"]
+        return comparison_rows(self.scores(names), names)
+
+
+def comparison_rows(scored: DataFrame, names: list[str], guard: bool = True) -> list[dict]:
+    """The comparison of candidates from their scores ``(name, fold, y, p)``; rows without a fold are test rows."""
+    by = ["name", "part"]
+    parts = scored.withColumn("part", F.coalesce(F.col("fold").cast("string"), F.lit("test")))
+
+    def at_tuned() -> tuple[dict, dict]:
+        tuned = {r["name"]: r["tuned_threshold"] for r in metrics.tune_decision_threshold(scored.where("fold IS NOT NULL"), digits=12, by=["name"]).collect()}
+        at = F.lit(None).cast("double")
+        for n, t in tuned.items():
+            at = F.when(F.col("name") == n, F.lit(float(t))).otherwise(at)
+        return tuned, {r["name"]: r["f1"] for r in metrics.classification_metrics(scored.where("fold IS NULL"), threshold=at, digits=12, by=["name"]).collect()}
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        measured = pool.submit(lambda: {(r["name"], r["part"]): r for r in metrics.classification_metrics(parts, digits=12, by=by).collect()})
+        tuned, f1 = at_tuned()
+        found = measured.result()
+    out = []
+    for n in names:
+        aucs = [found[n, str(f)]["auc"] for f in range(K.CV_FOLDS)]
+        mean = sum(aucs) / len(aucs)
+        test = found[n, "test"]
+        if guard:
             metrics.check_auc_leakage_guard(mean)
             metrics.check_auc_leakage_guard(test["auc"])
-            out.append({"name": n, "cv_auc_mean": mean, "cv_auc_std": math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)),
-                        "test_auc": test["auc"], "test_pr_auc": test["pr_auc"], "test_precision": test["precision"], "test_recall": test["recall"],
-                        "test_f1": test["f1"], "test_brier": test["brier"], "tuned_threshold": float(tuned[n]), "test_f1_at_tuned_threshold": f1[n],
-                        "meets_target_auc": bool(test["auc"] >= K.TARGET_AUC)})
-        return out
+        out.append({"name": n, "cv_auc_mean": mean, "cv_auc_std": math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)),
+                    "test_auc": test["auc"], "test_pr_auc": test["pr_auc"], "test_precision": test["precision"], "test_recall": test["recall"],
+                    "test_f1": test["f1"], "test_brier": test["brier"], "tuned_threshold": float(tuned[n]), "test_f1_at_tuned_threshold": f1[n],
+                    "meets_target_auc": bool(test["auc"] >= K.TARGET_AUC)})
+    return out
 
 
 COMPARISON_SCHEMA = ("name string, cv_auc_mean double, cv_auc_std double, test_auc double, test_pr_auc double, "
@@ -184,8 +202,11 @@ COMPARISON_SCHEMA = ("name string, cv_auc_mean double, cv_auc_std double, test_a
 def compare_models(training: Training, names: list[str] | None = None) -> DataFrame:
     """Evaluate every candidate; the table is sorted by cv_auc_mean (never by
     test AUC), ties broken by name."""
-    rows = training.evaluate(names or list(training.profile))
-    table = training.spark.createDataFrame([tuple(r[c] for c in K.LEADERBOARD_COLUMNS) for r in rows], COMPARISON_SCHEMA)
+    return comparison_table(training.spark, training.evaluate(names or list(training.profile)))
+
+
+def comparison_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    table = spark.createDataFrame([tuple(r[c] for c in K.LEADERBOARD_COLUMNS) for r in rows], COMPARISON_SCHEMA)
     return table.orderBy(F.desc("cv_auc_mean"), "name")
 
 

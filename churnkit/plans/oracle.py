@@ -376,4 +376,99 @@ def _rule_catalog() -> dict[str, str]:
             f"SELECT '{f}' AS col, avg(abs(phi_{f})) AS m FROM contrib" for f in _FEATS)
         + ") ORDER BY round_even(m, 4) DESC, col LIMIT 10",
         scored, contrib)
+    q.update(_downstream_catalog(scored, contrib, long, drivers, rules, base, acts, action_rows))
+    return q
+
+
+def _downstream_catalog(scored: str, contrib: str, long: str, drivers: str, rules: str, base: str, acts: str, action_rows: str) -> dict[str, str]:
+    from churnkit import constants as KK
+    from churnkit.operators.metrics import threshold_grid
+
+    q: dict[str, str] = {}
+    key = "CAST(substr(customerID, 3) AS BIGINT)"
+    # The score with one column at its counterfactual value
+    flips = [(r["feature"], r["counterfactual_value"]) for r in KK.DRIVER_ACTION_RULES if r["counterfactual_value"]]
+    values = "fl AS (" + " UNION ALL ".join(
+        f"SELECT customerID, '{f}' AS f, CAST({f} AS VARCHAR) AS old, '{v}' AS new, round_even({SYNTH_P.replace(f, repr(v))}, 4) AS p_new FROM clean" for f, v in flips) + ")"
+    q["rule_counterfactuals"] = with_clean(
+        "SELECT ar.customerID, ar.priority, ar.action, ar.driver_feature, CASE WHEN fl.f IS NOT NULL THEN round_even(greatest(s.churn_probability - fl.p_new, 0.0) * 100.0, 1) END "
+        "AS expected_churn_reduction_pct, CASE WHEN fl.f IS NOT NULL THEN fl.f || ': \'\'' || fl.old || '\'\' -> \'\'' || fl.new || '\'\'' END AS counterfactual_basis "
+        "FROM ar JOIN scored s ON ar.customerID = s.customerID LEFT JOIN fl ON fl.customerID = ar.customerID AND fl.f = ar.driver_feature".replace("\'", "'"),
+        scored, contrib, long, drivers, rules, base, acts, action_rows, values)
+    # Three rule scores, folds and test rows by key
+    noise = f"({key} * 13) % 280"
+    cand = ("cand AS (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS name, CASE WHEN {key} % 6 < 5 THEN CAST({key} % 6 AS VARCHAR) ELSE 'test' END AS part, y, CAST({p} AS DOUBLE) AS p FROM scored" for n, p in (
+            ("AllSignals", "p"), ("ContractOnly", f"(CASE WHEN Contract = 'Month-to-month' THEN 600 ELSE 200 END + {noise}) / CAST(1000 AS DOUBLE)"),
+            ("TenureOnly", "(80 - least(tenure, 80)) / CAST(100 AS DOUBLE)"))) + ")")
+    g = "g AS (SELECT name, part, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM cand GROUP BY name, part, p)"
+    win = "OVER (PARTITION BY name, part ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    r = f"r AS (SELECT *, sum(pos) {win} AS cum_pos, sum(neg) {win} AS cum_neg FROM g)"
+    grid = values_table("grid", "threshold", [(t,) for t in threshold_grid()])
+    f1 = "CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END"
+    curve = ("curve AS (SELECT g.name, grid.threshold, sum(CASE WHEN g.p >= grid.threshold THEN g.pos ELSE 0.0 END) AS tp, "
+             "sum(CASE WHEN g.p >= grid.threshold THEN g.neg ELSE 0.0 END) AS fp, sum(g.pos) AS P FROM g, grid WHERE g.part <> 'test' GROUP BY g.name, grid.threshold)")
+    tuned = f"tuned AS (SELECT name, threshold FROM (SELECT name, threshold, row_number() OVER (PARTITION BY name ORDER BY {f1} DESC, threshold) AS k FROM curve) WHERE k = 1)"
+    m = ("m AS (SELECT r.name, r.part, sum(pos) AS P, sum(neg) AS N, sum(neg * (cum_pos - pos + pos / 2.0)) AS auc_num, sum(pos * cum_pos / (cum_pos + cum_neg)) AS ap_num, "
+         "sum(CASE WHEN p >= 0.5 THEN pos ELSE 0.0 END) AS tp, sum(CASE WHEN p >= 0.5 THEN neg ELSE 0.0 END) AS fp, "
+         "sum(CASE WHEN p >= t.threshold THEN pos ELSE 0.0 END) AS tpt, sum(CASE WHEN p >= t.threshold THEN neg ELSE 0.0 END) AS fpt, "
+         "sum(pos * power(p - 1.0, 2) + neg * power(p, 2)) AS sq, max(t.threshold) AS threshold FROM r JOIN tuned t ON r.name = t.name GROUP BY r.name, r.part)")
+    f1t = f1.replace("tp", "tpt").replace("fp", "fpt")
+    comparison = (
+        "comparison AS (SELECT t.name, round_even(c.mean, 6) AS cv_auc_mean, round_even(c.std, 6) AS cv_auc_std, round_even(auc_num / (P * N), 6) AS test_auc, "
+        "round_even(ap_num / P, 6) AS test_pr_auc, round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS test_precision, "
+        f"round_even(CASE WHEN P > 0 THEN tp / P ELSE 0.0 END, 6) AS test_recall, round_even({f1}, 6) AS test_f1, round_even(sq / (P + N), 6) AS test_brier, "
+        f"round_even(threshold, 6) AS tuned_threshold, round_even({f1t}, 6) AS test_f1_at_tuned_threshold, auc_num / (P * N) >= {KK.TARGET_AUC} AS meets_target_auc FROM m t "
+        "JOIN (SELECT name, avg(auc_num / (P * N)) AS mean, stddev_pop(auc_num / (P * N)) AS std FROM m WHERE part <> 'test' GROUP BY name) c ON t.name = c.name WHERE t.part = 'test')")
+    ctes = (scored, cand, g, r, grid, curve, tuned, m, comparison)
+    q["rule_comparison"] = with_clean("SELECT * FROM comparison", *ctes)
+    q["rule_best_model"] = with_clean("SELECT name, cv_auc_mean, meets_target_auc AS meets_target FROM comparison ORDER BY cv_auc_mean DESC, name LIMIT 1", *ctes)
+    shown = ", ".join(f'{c} AS "{label}"' if c == "name" else f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END AS \"{label}\"" if c == "meets_target_auc"
+                      else f'round_even({c}, 4) AS "{label}"' for c, label in KK.DISPLAY_COLUMNS.items())
+    q["rule_leaderboard_display"] = with_clean(f"SELECT {shown} FROM comparison", *ctes)
+    q["rule_leaderboard_chart"] = with_clean(" UNION ALL ".join(f"SELECT name AS model, '{c}' AS metric, {c} AS value FROM comparison" for c in KK.CHART_METRICS), *ctes)
+    # M16
+    two = "two AS (SELECT 'rule' AS method, y, p FROM scored UNION ALL SELECT 'shrunk', y, p * 0.5 + 0.25 FROM scored)"
+    by = "g AS (SELECT method, p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) - sum(y) AS DOUBLE) AS neg FROM two GROUP BY method, p)"
+    run = "r AS (SELECT *, sum(pos) OVER (PARTITION BY method ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos FROM g)"
+    bins = ("e AS (SELECT method, sum(c * abs(acc - conf)) / sum(c) AS ece FROM (SELECT method, CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS c, avg(p) AS conf, "
+            "avg(CAST(y AS DOUBLE)) AS acc FROM two GROUP BY 1, 2) GROUP BY method)")
+    q["rule_methods"] = with_clean(
+        "SELECT r.method, round_even(sum(pos * power(p - 1.0, 2) + neg * power(p, 2)) / sum(pos + neg), 6) AS brier, "
+        "round_even(sum(neg * (cum_pos - pos + pos / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc, round_even(max(e.ece), 6) AS ece FROM r JOIN e ON r.method = e.method GROUP BY r.method",
+        scored, two, by, run, bins)
+    # J7
+    def ranked(label: int) -> str:
+        return ("SELECT col, row_number() OVER (ORDER BY round_even(m, 4) DESC, col) AS rank FROM (" + " UNION ALL ".join(
+            f"SELECT '{f}' AS col, avg(abs(CAST({_PHI[f]} AS DOUBLE))) AS m FROM clean WHERE Churn = {label}" for f in _FEATS) + ")")
+
+    q["rule_ranking_comparison"] = with_clean(
+        f"SELECT CAST(a.rank AS INT) AS rank, a.col AS \"left\", b.col AS stayed FROM ({ranked(1)}) a JOIN ({ranked(0)}) b ON a.rank = b.rank")
+    # E8
+    from churnkit.plans.downstream import STRETCH
+
+    def top(weight) -> str:
+        rows = " UNION ALL ".join(f"SELECT customerID, '{f}' AS feature, {i} AS ord, CAST({_PHI[f]} AS DOUBLE) * {weight(f)} AS v FROM clean" for i, f in enumerate(_FEATS))
+        return (f"SELECT customerID, array_to_string(list_sort(list(feature)), ',') AS own FROM (SELECT *, row_number() OVER (PARTITION BY customerID ORDER BY abs(v) DESC, ord) AS k "
+                f"FROM ({rows})) WHERE k <= 2 GROUP BY customerID")
+
+    q["rule_agreement"] = with_clean(
+        f"SELECT a.customerID, a.own AS first_columns, b.own AS second_columns, a.own = b.own AS agree FROM ({top(lambda f: 1.0)}) a JOIN ({top(lambda f: STRETCH[f])}) b "
+        "ON a.customerID = b.customerID")
+    # A10, H7
+    segments = ("seg AS (SELECT d.segment, CAST(coalesce(a.n, 0) AS BIGINT) AS customers, round_even(a.t, 2) AS avg_tenure, round_even(a.m, 2) AS avg_monthly_charges, "
+                "round_even(a.s, 2) AS avg_service_count, round_even(a.c * 100.0, 2) AS churn_rate FROM dim d LEFT JOIN (SELECT CASE WHEN MonthlyCharges < 50 THEN 'Low' "
+                f"WHEN MonthlyCharges < 75 THEN 'Mid' ELSE 'High' END AS segment, count(*) AS n, avg(tenure) AS t, avg(MonthlyCharges) AS m, avg({SERVICE_COUNT}) AS s, avg(Churn) AS c "
+                "FROM clean GROUP BY 1) a ON d.segment = a.segment)")
+    dim = values_table("dim", "segment, ord", [(x, i) for i, x in enumerate(KK.VALUE_SEGMENT_LABELS)])
+    q["rule_segments"] = with_clean("SELECT * FROM seg", dim, segments)
+    q["rule_segment_profile"] = with_clean("SELECT segment, " + ", ".join(
+        f"round_even({c} / max({c}) OVER (), 4) AS {c}" for c in ("avg_tenure", "avg_monthly_charges", "avg_service_count", "churn_rate")) + " FROM seg", dim, segments)
+    # C11
+    number = lambda c, hi: f"{c}: must be a finite number in [0, {hi:g}]"
+    reasons = [(f"{key} % 71 = 0", "SeniorCitizen: not in allowed values"), (f"{key} % 97 = 0", "Contract: not in allowed values"),
+               (f"{key} % 89 = 0 OR {key} % 83 = 0", number("tenure", KK.MAX_TENURE_MONTHS)), (f"{key} % 67 = 0", number("MonthlyCharges", KK.MAX_MONTHLY_CHARGES)),
+               (f"{key} % 79 = 0 OR {key} % 73 = 0", number("TotalCharges", KK.MAX_TOTAL_CHARGES))]
+    errors = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in reasons) + "], lambda x: x IS NOT NULL), ';')"
+    q["validated_broken"] = with_clean(f"SELECT customerID, {errors} = '' AS is_valid, {errors} AS errors FROM clean")
     return q

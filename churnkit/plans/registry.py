@@ -260,6 +260,9 @@ def _stream_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     q = _base_queries()
     q.update(_rule_queries())
+    from churnkit.plans.downstream import QUERIES
+
+    q.update(QUERIES)
     q.update(_ml_queries())
     q.update(_stream_queries())
     return q
