@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
+from churnkit.operators.clean import categorical_columns, feature_projection
 
 NUMERIC = list(K.NUMERIC_COLUMNS)
-CATEGORICAL = [c for c in K.FEATURE_COLUMNS if c not in K.NUMERIC_COLUMNS]
 #: Bins of a numeric slot, and of the slot of a level: none, four parts of (0, 1), all.
 NUMERIC_BINS, LEVEL_BINS = 64, 6
 #: Relative error of the bin edges' ranks.
@@ -129,9 +129,11 @@ class Rows:
 
 
 def fit_encoder(train: DataFrame) -> Encoder:
-    """Levels, bin edges and scaling of training rows, each from one small aggregation."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in CATEGORICAL])).alias("x")
-    levels: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
+    """Levels, bin edges and scaling of training rows, each from one small aggregation.  Features are found from the rows: without label and id
+    (C13), and categorical where they are not one of the numeric columns (C14)."""
+    categorical = categorical_columns(feature_projection(train, [c for c in train.columns if c in K.FEATURE_COLUMNS]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in categorical])).alias("x")
+    levels: dict[str, list[str]] = {c: [] for c in categorical}
     for r in train.select(pairs).select("x.c", "x.v").where("v IS NOT NULL").distinct().collect():
         levels[r["c"]].append(r["v"])
     share = [k / NUMERIC_BINS for k in range(1, NUMERIC_BINS)]

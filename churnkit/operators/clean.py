@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +79,14 @@ def null_audit(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(df.columns)}, {stack}) AS (`column`, n_null)")
 
 
+def frame_audit(df: DataFrame) -> DataFrame:
+    """(column, type, n_rows, n_null) in column order: types and shape beside the nulls, one scan."""
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    items = [F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col("_n").alias("n_rows"), F.col(f.name).alias("n_null"))
+             for k, f in enumerate(df.schema.fields)]
+    return counts.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+
+
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
     """Driver-side schema check naming ALL missing columns at once."""
     missing = [c for c in required if c not in df.columns]
@@ -191,10 +197,6 @@ def new_customers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.where(F.col("tenure") == 0).select(*cols)
 
 
-def all_of(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)
-
-
 def hash_sample(df: DataFrame, n: int, seed: int = K.RANDOM_STATE, key: str = K.ID_COLUMN) -> DataFrame:
     """A deterministic sample of ``n`` rows: the ``n`` smallest md5(seed:key)
     digests.  It does not depend on partitioning or row order; the plan is a

@@ -145,6 +145,16 @@ def group_means(df: DataFrame, digits: int = 6) -> DataFrame:
         *[F.bround(F.avg(c), digits).alias(f"{c}_mean") for c in K.NUMERIC_COLUMNS])
 
 
+def describe_numeric(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Count, mean, sample deviation, least, quartiles and most of each numeric column, long form by column."""
+    columns = columns or list(K.NUMERIC_COLUMNS)
+    long = _long(df, columns, "double")
+    plain = long.groupBy("column").agg(F.count("value").alias("count"), F.bround(F.avg("value"), digits).alias("mean"), F.bround(F.stddev_samp("value"), digits).alias("std"),
+                                       F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    return plain.join(F.broadcast(q), "column").select("column", "count", "mean", "std", "min", *[F.bround(F.col("q")[k], digits).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "max")
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """A20 helper: value counts of a column (e.g. contract mix of a filtered slice)."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), column)
@@ -190,7 +200,7 @@ def boxplot_stats(df: DataFrame, columns: list[str] | None = None, k: float = K.
 def class_density(df: DataFrame, columns: list[str] | None = None, gridsize: int = 200, cut: float = 3.0,
                   resolution: int = 50) -> DataFrame:
     """H2: per-class Gaussian kernel density of each column (each class integrates to
-    1, Scott bandwidth n^(-1/5) * sample std), on ``gridsize`` points spanning
+    1, Scott bandwidth n^(-1/5) * sample std, never below a millionth of the largest value), on ``gridsize`` points spanning
     [min - cut*bw, max + cut*bw].
 
     Values are first counted per bin of width bw/``resolution`` (bounded by the
@@ -202,7 +212,9 @@ def class_density(df: DataFrame, columns: list[str] | None = None, gridsize: int
     st = long.groupBy("column", K.TARGET_COLUMN).agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"),
         F.max("value").alias("hi"))
-    st = st.withColumn("bw", F.pow(F.col("n").cast("double"), -0.2) * F.col("sd")).where(F.col("bw") > 0)
+    # a class without spread, or of one row, gets a kernel a millionth of its value (or of one) wide: a peak at that value
+    least = F.greatest(F.abs(F.col("hi")), F.lit(1.0)) * 1e-6
+    st = st.withColumn("bw", F.greatest(F.pow(F.col("n").cast("double"), -0.2) * F.coalesce("sd", F.lit(0.0)), least))
     # one stats row per (column, class): a proven bound for the broadcast
     binned = long.join(F.broadcast(st), ["column", K.TARGET_COLUMN]).withColumn(
         "b", F.floor((F.col("value") - F.col("lo")) / (F.col("bw") / resolution)))

@@ -120,6 +120,17 @@ def sql_catalog() -> dict[str, str]:
     q["null_audit"] = with_clean(" UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null FROM clean"
         for c in K.RAW_COLUMNS))
+    kinds = {c: "double" if c in ("MonthlyCharges", "TotalCharges") else "int" if c in ("tenure", K.TARGET_COLUMN) else "string" for c in K.RAW_COLUMNS}
+    q["frame_audit"] = with_clean(" UNION ALL ".join(
+        f"SELECT {k} AS position, '{c}' AS \"column\", '{kinds[c]}' AS type, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null FROM clean"
+        for k, c in enumerate(K.RAW_COLUMNS)))
+    q["describe_numeric"] = with_clean(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS count, round_even(avg({c}), 6) AS mean, round_even(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+        f"round_even(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q25, round_even(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS q50, "
+        f"round_even(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q75, CAST(max({c}) AS DOUBLE) AS max FROM clean" for c in K.NUMERIC_COLUMNS))
+    q["customer_records"] = with_clean("SELECT customerID, TotalCharges FROM clean")
+    q["unassigned_cohorts"] = with_clean(f"SELECT CAST(count(*) FILTER (WHERE {COHORT} IS NULL) AS BIGINT) AS unassigned FROM clean")
+    q["clean_cache"] = q["clean_subscribers"]
     q["new_customers"] = with_clean(
         "SELECT customerID, tenure, MonthlyCharges, TotalCharges, Contract, Churn FROM clean WHERE tenure = 0")
     q["derived_columns"] = with_clean(

@@ -29,6 +29,18 @@ def _on_clean(fn) -> Query:
     return lambda spark, sf_dir: fn(cleaned(spark, sf_dir))
 
 
+def _clean_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw subscribers as CSV, read back, cleaned and published; then what a reader of the cache sees."""
+    import uuid
+
+    from churnkit.session import work_dir
+    from churnkit.sources.subscribers import load_clean, read_raw_csv
+
+    folder = work_dir(spark, "csv", uuid.uuid4().hex)
+    raw(spark, sf_dir).write.option("header", True).csv(f"{folder}/raw")
+    return load_clean(spark, f"{folder}/clean", lambda: read_raw_csv(spark, f"{folder}/raw"))
+
+
 def _base_queries() -> dict[str, Query]:
     return {
         "raw_subscribers": raw,
@@ -36,6 +48,11 @@ def _base_queries() -> dict[str, Query]:
         "scoring_input": lambda s, d: clean.prepare_scoring_input(raw(s, d)),
         "missing_total_charges": lambda s, d: clean.missing_total_charges_rows(raw(s, d)),
         "null_audit": _on_clean(clean.null_audit),
+        "frame_audit": _on_clean(clean.frame_audit),
+        "describe_numeric": _on_clean(eda.describe_numeric),
+        "customer_records": lambda s, d: clean.to_customer_record(raw(s, d)).select(K.ID_COLUMN, "TotalCharges"),
+        "unassigned_cohorts": _on_clean(cohorts.unassigned_cohort_count),
+        "clean_cache": _clean_cache,
         "new_customers": _on_clean(clean.new_customers),
         "derived_columns": _on_clean(cohorts.derived_columns),
         "churn_by_segment": _on_clean(eda.churn_rate_by_segment),

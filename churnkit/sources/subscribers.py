@@ -8,12 +8,16 @@ DataFrame plan, so column pruning and the join strategy are Catalyst's.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnkit.constants import RAW_COLUMNS
 from churnkit.plans.parallelism import spread
+from churnkit.sources import artifacts
 
 RAW_SCHEMA = T.StructType(
     [T.StructField("customerID", T.StringType())]
@@ -113,33 +117,49 @@ def raw_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Column of a CSV line that does not fit the schema.
+CORRUPT = "_corrupt_record"
+
+
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Read a raw subscriber CSV as-is (explicit schema, TotalCharges stays a string)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Read a raw subscriber CSV as-is (explicit schema, TotalCharges stays a string).  A line that does not fit keeps what could be read and is
+    itself in ``_corrupt_record``, null for good lines."""
+    held = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(held).option("header", True).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)  # a line is judged by all its columns, whichever are read
 
 
-def save_clean(df: DataFrame, out_dir: str) -> None:
-    """S3: write the clean table as Parquet and CSV (header)."""
-    df.write.mode("overwrite").parquet(f"{out_dir}/clean.parquet")
-    df.write.mode("overwrite").option("header", True).csv(f"{out_dir}/clean.csv")
+def publish_clean(spark: SparkSession, df: DataFrame, out_dir: str, notes: dict | None = None) -> str:
+    """S3: write the clean table as Parquet and CSV (header) into a folder of its own, then point ``CURRENT.json`` at it.  A reader sees the old
+    version or the new one, never half of either; versions before the last two are deleted."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{out_dir}/{version}/clean.parquet")
+    written = spark.read.parquet(f"{out_dir}/{version}/clean.parquet")
+    written.write.option("header", True).csv(f"{out_dir}/{version}/clean.csv")
+    old = current_clean(spark, out_dir)
+    artifacts.write_bytes(spark, f"{out_dir}/CURRENT.json", json.dumps({"version": version, "before": old and old["version"], "notes": notes or {}}).encode())
+    if old and old.get("before"):
+        artifacts.remove(spark, f"{out_dir}/{old['before']}")
+    return version
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def current_clean(spark: SparkSession, out_dir: str) -> dict | None:
+    path = f"{out_dir}/CURRENT.json"
+    return json.loads(artifacts.read_bytes(spark, path)) if artifacts.path_exists(spark, path) else None
 
 
 def load_clean(spark: SparkSession, out_dir: str, build_raw, rebuild: bool = False) -> DataFrame:
-    """Cached clean read -- Parquet if present, else rebuild from raw and cache it.
+    """Cached clean read -- the current version if there is one, else rebuild from raw and publish it.
 
-    ``build_raw`` is a zero-argument callable returning the raw DataFrame.
+    ``build_raw`` is a zero-argument callable returning the raw DataFrame.  Corrupt lines of a CSV are left out and counted in the version's notes.
     """
     from churnkit.operators.clean import clean_data
 
-    target = f"{out_dir}/clean.parquet"
-    if not rebuild and _path_exists(spark, target):
-        return spark.read.parquet(target)
-    save_clean(clean_data(build_raw()), out_dir)
-    return spark.read.parquet(target)
+    if rebuild or current_clean(spark, out_dir) is None:
+        raw, notes = build_raw(), {}
+        if CORRUPT in raw.columns:
+            lines = raw.select(F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad")).first()
+            notes = {"lines": lines["n"], "corrupt_lines": lines["bad"]}
+            raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        publish_clean(spark, clean_data(raw), out_dir, notes)
+    return spark.read.parquet(f"{out_dir}/{current_clean(spark, out_dir)['version']}/clean.parquet")

@@ -14,7 +14,7 @@ FAST = ["raw_subscribers", "clean_subscribers", "kpi_block", "kpi_summary", "lif
         "chi_square_association", "tenure_histogram", "boxplot_stats", "rule_metrics", "rule_tuned_threshold",
         "rule_reliability_curve", "rule_drivers", "rule_actions", "rule_tier_summary", "charge_outliers",
         "rule_counterfactuals", "rule_comparison", "rule_best_model", "rule_leaderboard_display", "rule_leaderboard_chart", "rule_methods",
-        "rule_ranking_comparison", "rule_agreement", "rule_segments", "rule_segment_profile", "validated_broken"]
+        "rule_ranking_comparison", "frame_audit", "describe_numeric", "customer_records", "unassigned_cohorts", "clean_cache", "rule_agreement", "rule_segments", "rule_segment_profile", "validated_broken"]
 
 
 @pytest.fixture(scope="module")
