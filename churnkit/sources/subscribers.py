@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,7 +130,7 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
         "columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)  # a line is judged by all its columns, whichever are read
 
 
-def publish_clean(spark: SparkSession, df: DataFrame, out_dir: str, notes: dict | None = None) -> str:
+def publish_clean(spark: SparkSession, df: DataFrame, out_dir: str, notes: Callable[[], dict] = dict) -> str:
     """S3: write the clean table as Parquet and CSV (header) into a folder of its own, then point ``CURRENT.json`` at it.  A reader sees the old
     version or the new one, never half of either; versions before the last two are deleted."""
     version = f"v-{uuid.uuid4().hex}"
@@ -137,7 +138,7 @@ def publish_clean(spark: SparkSession, df: DataFrame, out_dir: str, notes: dict
     written = spark.read.parquet(f"{out_dir}/{version}/clean.parquet")
     written.write.option("header", True).csv(f"{out_dir}/{version}/clean.csv")
     old = current_clean(spark, out_dir)
-    artifacts.write_bytes(spark, f"{out_dir}/CURRENT.json", json.dumps({"version": version, "before": old and old["version"], "notes": notes or {}}).encode())
+    artifacts.write_bytes(spark, f"{out_dir}/CURRENT.json", json.dumps({"version": version, "before": old and old["version"], "notes": notes()}).encode())
     if old and old.get("before"):
         artifacts.remove(spark, f"{out_dir}/{old['before']}")
     return version
@@ -156,10 +157,10 @@ def load_clean(spark: SparkSession, out_dir: str, build_raw, rebuild: bool = Fal
     from churnkit.operators.clean import clean_data
 
     if rebuild or current_clean(spark, out_dir) is None:
-        raw, notes = build_raw(), {}
+        raw, seen = build_raw(), None
         if CORRUPT in raw.columns:
-            lines = raw.select(F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad")).first()
-            notes = {"lines": lines["n"], "corrupt_lines": lines["bad"]}
+            seen = Observation()  # counted by the pass that writes
+            raw = raw.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(CORRUPT).alias("corrupt_lines"))
             raw = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-        publish_clean(spark, clean_data(raw), out_dir, notes)
+        publish_clean(spark, clean_data(raw), out_dir, lambda: seen.get if seen else {})
     return spark.read.parquet(f"{out_dir}/{current_clean(spark, out_dir)['version']}/clean.parquet")
