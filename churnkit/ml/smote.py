@@ -139,31 +139,35 @@ def neighbours(rows: DataFrame, encoder: Encoder, scaled: dict[int, Encoder], fo
 
     def pick(batches: Iterator[pa.RecordBatch], first: bool, final: bool) -> Iterator[pa.RecordBatch]:
         """The next cells that each unfinished row opens; ``done`` cells are skipped.  At last, all that may hold a nearer row."""
-        for b in batches:
-            fit, packed = b.column(0).to_numpy(), b.column(1).to_pylist()
-            bound = b.column(2).to_numpy(zero_copy_only=False)
-            done = b.column(3).to_pylist()
-            out: list[tuple[int, bytes, int, list[int]]] = []
-            for f in np.unique(fit).tolist():
-                own = np.flatnonzero(fit == f)
-                d = np.sqrt(squared(values(f, [packed[i] for i in own]), sent.value[0][f]))
-                least = np.maximum(d - radius[f][None, :], 0) * (1 - 1e-9) - 1e-9
-                least[:, np.isneginf(radius[f])] = np.inf
-                wide = len(radius[f]) if final or len(radius[f]) <= 4 * opened else opened
-                for i, row, near in zip(own.tolist(), least, d.argmin(axis=1).tolist(), strict=True):
-                    if done[i]:
-                        row[done[i]] = np.inf
-                    order = np.argsort(row, kind="stable")
-                    take = [near] if first else [int(c) for c in order[:wide] if row[c] <= bound[i] and row[c] < np.inf]
-                    for c in take:
-                        out.append((f, packed[i], c, chunks.get((f, c), 1)))
-            if out:
-                f, p, c, n = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(f, pa.int32()), pa.array(p, pa.binary()), pa.array(c, pa.int32()), pa.array(n, pa.int32())], names=["fit", "row", "cell", "pieces"])
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                b = batch.slice(low, 512)
+                fit, packed = b.column(0).to_numpy(), b.column(1)
+                bound, done = b.column(2).to_numpy(zero_copy_only=False), b.column(3)
+                for f in np.unique(fit).tolist():
+                    own = np.flatnonzero(fit == f)
+                    d = np.sqrt(squared(values(f, packed.take(pa.array(own)).to_pylist()), sent.value[0][f]))
+                    if first:
+                        row, cell = np.arange(len(own)), d.argmin(axis=1)
+                    else:
+                        least = np.maximum(d - radius[f][None, :], 0) * (1 - 1e-9) - 1e-9
+                        least[:, np.isneginf(radius[f])] = np.inf
+                        searched = done.take(pa.array(own))
+                        least[np.repeat(np.arange(len(own)), searched.value_lengths().to_numpy()), searched.flatten().to_numpy()] = np.inf
+                        wanted = (least <= bound[own][:, None]) & (least < np.inf)
+                        if not final and least.shape[1] > 4 * opened:
+                            rank = np.argsort(np.argsort(least, axis=1, kind="stable"), axis=1, kind="stable")
+                            wanted &= rank < opened
+                        row, cell = np.nonzero(wanted)
+                    if len(row):
+                        pieces = np.array([chunks.get((f, c), 1) for c in range(d.shape[1])], np.int32)
+                        yield pa.record_batch([pa.array(np.full(len(row), f, np.int32)), packed.take(pa.array(own[row])), pa.array(cell.astype(np.int32)), pa.array(pieces[cell])],
+                                              names=["fit", "row", "cell", "pieces"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, queries, candidates in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                f, queries, candidates = (c[i].as_py() for c in b.columns)  # one block of either at a time
                 own, copies = [c["row"] for c in candidates], np.array([c["copies"] for c in candidates])
                 there = values(f, own)
                 rank = np.argsort(np.argsort(np.array(own, object), kind="stable"), kind="stable")
