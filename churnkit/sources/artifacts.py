@@ -11,10 +11,12 @@ import hashlib
 import json
 import threading
 import time
+import traceback
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +80,22 @@ def lease(spark: SparkSession, path: str) -> Iterator[None]:
                 return
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            seen, since = None, time.monotonic()
-            while not fs.createNewFile(target):
+            seen, since, own = None, time.monotonic(), uuid.uuid4().hex.encode()
+
+            def taken() -> bool:
+                """Whether the file is now this process's: where two make it at once, the one whose mark stays has it."""
+                try:
+                    out = fs.create(target, False)
+                    out.write(bytearray(own))
+                    out.close()
+                    time.sleep(0.2)
+                    return read_bytes(spark, path) == own
+                except Py4JJavaError:
+                    if "FileAlreadyExists" in traceback.format_exc() or fs.exists(target):
+                        return False
+                    raise
+
+            while fs.exists(target) or not taken():
                 now = fs.getFileStatus(target).getModificationTime() if fs.exists(target) else None
                 if now != seen:
                     seen, since = now, time.monotonic()
