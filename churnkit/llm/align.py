@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.llm.common import arrow_map, prepare, stash, texts
-from churnkit.llm.packing import BYTE_LEVEL
+from churnkit.llm.packing import BYTE_LEVEL, settings
 
 #: Pieces up to so many characters are remembered, up to twice so many of them; so many bytes of new pieces are aligned at once.
 MEMO_CHARS, MEMO_SIZE, BLOCK_BYTES = 48, 100_000, 1 << 20
@@ -152,8 +152,6 @@ class Codec:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -171,7 +169,7 @@ class Codec:
         ids = [str(i) for i in range(max(len(self.a_bytes.entries), len(self.b_bytes.entries)))]
         marks = [x + m for own, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for x in ids[:len(own.entries)] for m in (",", last)]
         self.marked, self.marked_length = np.array(marks, dtype=object), np.array([len(x) for x in marks], np.int64)
-        self.cuts = self._may_cut(json.loads(self.a.to_str()))
+        self.cuts = self._may_cut()
         self.known: dict[str, tuple[int, str | None, bytes]] = {}
         self.older: dict[str, tuple[int, str | None, bytes]] = {}
 
@@ -191,16 +189,16 @@ class Codec:
                      ((i << 32) | j for j, x in enumerate(self.b_bytes.entries) for k in range(len(x)) for i in of_a.get(x[k:], ())))
         return np.unique(np.fromiter(ends, np.int64))
 
-    def _may_cut(self, a: dict) -> bool:
+    def _may_cut(self) -> bool:
         """Whether no token can cross a single space between two other characters: the first tokenizer splits there by its pattern,
         the second changes no text, puts a blank before it and has no piece with a blank behind something else."""
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
-        spec, split = model.normalizer_spec, a.get("pre_tokenizer") or {}
+        spec, (normalizer, split, _) = model.normalizer_spec, settings(self.a)
         plain = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
         inner = any(BLANK in p.piece.lstrip(BLANK) for p in model.pieces)
-        return bool(a.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex")
+        return bool(not normalizer and split.get("type") == "ByteLevel" and split.get("use_regex")
                     and not split.get("add_prefix_space") and plain and not inner)
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:

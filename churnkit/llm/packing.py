@@ -46,6 +46,12 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+def settings(tokenizer) -> tuple[dict, dict, list]:
+    """A tokenizer's normalizer and pre-tokenizer as its file has them, and its added tokens, without the vocabulary."""
+    parts = [json.loads(x.__getstate__()) if x is not None else {} for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    return (*parts, list(tokenizer.get_added_tokens_decoder().values()))
+
+
 class Chunks(dict):
     """The ids of what stands between blanks, as little-endian unsigned 32-bit integers.
 
@@ -60,11 +66,10 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.older = self.tokenizer.model, {}
-        own = json.loads(self.tokenizer.to_str())
-        parts = [x.get("type") for x in (own["normalizer"] or {}).get("normalizers", ())], (own["pre_tokenizer"] or {}).get("pretokenizers", ())
         # chunks and words are cut as this normalizer and pattern allow; with others, texts stay whole
-        self.cuts = parts[0] == NORMALIZERS and [x.get("type") for x in parts[1]] == ["Split", "ByteLevel"] and parts[1][0].get("pattern") == {"Regex": PATTERN} \
-            and not any(set(x["content"]) & set(" \t\n\r") or x["lstrip"] or x["rstrip"] or x["single_word"] for x in own["added_tokens"])
+        normalizer, split, added = settings(self.tokenizer)
+        self.cuts = [x.get("type") for x in normalizer.get("normalizers", ())] == NORMALIZERS and [x.get("type") for x in split.get("pretokenizers", ())] == ["Split", "ByteLevel"] \
+            and split["pretokenizers"][0].get("pattern") == {"Regex": PATTERN} and not any(set(x.content) & set(" \t\n\r") or x.lstrip or x.rstrip or x.single_word for x in added)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
