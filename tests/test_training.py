@@ -458,3 +458,44 @@ def test_replaced_data_get_artifacts_of_their_own(spark, tmp_path):
     fewer = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey % 3 != 0")
     fewer.write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
     assert workflow.run_dir(spark, str(tmp_path)) != first
+
+
+# --- work that grows with the rows -------------------------------------------------------------
+
+def test_the_neighbour_search_writes_no_row_for_each_pair_of_row_and_cell(spark, training, tmp_path):
+    encoder, table = training.encoder(), training.blocks(False)
+    scaled = {5: encoder.scaled_by(*linear.moments(table, encoder, [5])[0][:2])}
+    rows = smote.distinct_rows(table, encoder, {5: 1})
+    n = smote.neighbours(rows, encoder, scaled, str(tmp_path / "n"), pivots=20, opened=2).count()
+    assert n > 100
+    assert all(spark.read.parquet(str(p)).count() <= n for p in (tmp_path / "n").iterdir())
+
+
+def test_margins_take_each_tree_once(spark, training, tmp_path, monkeypatch):
+    level, seen = boosting.Booster._level, []
+
+    def watched(self, state, since, *rest):
+        seen.append([len(own) for own in since])
+        return level(self, state, since, *rest)
+
+    monkeypatch.setattr(boosting.Booster, "_level", watched)
+    boosting.Booster(spark, training.blocks(False), training.encoder(), [boosting.Job("x", B.WHOLE, boosting.Boosted(rounds=4, depth=2))], str(tmp_path), 1).train()
+    assert seen and all(own == [0] for own in seen)
+
+
+@pytest.mark.parametrize("nodes", [31, 601])
+def test_rows_stop_where_following_them_ends(nodes):
+    r = np.random.default_rng(nodes)
+    feature, cut, left = np.full(nodes, -1, np.int16), np.zeros(nodes, np.uint8), np.zeros(nodes, np.int32)
+    leaves, free = [0], 1
+    while free < nodes:
+        node = leaves.pop(int(r.integers(len(leaves))))
+        feature[node], cut[node], left[node] = r.integers(5), r.integers(6), free
+        leaves += [free, free + 1]
+        free += 2
+    codes = r.integers(0, 7, (5, 300)).astype(np.uint8)
+    want = np.zeros(300, np.int64)
+    for i in range(300):
+        while feature[want[i]] >= 0:
+            want[i] = left[want[i]] + (codes[feature[want[i]], i] > cut[want[i]])
+    assert (boosting.reached(codes, feature, cut, left, np.arange(nodes)) == want).all()
