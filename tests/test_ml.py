@@ -15,6 +15,7 @@ from churnkit.ml.ensemble import Trees, joined_trees
 from churnkit.ml.features import fit_encoder
 from churnkit.ml.split import split_assign
 from churnkit.plans.registry import cleaned, raw
+from tests.conftest import base_row, frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -402,3 +403,15 @@ def test_stream_refuses_rows_whose_file_holds_a_label(spark, gbt, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 39
     bad = spark.read.parquet(str(tmp_path / "bad")).collect()
     assert [(b[K.ID_COLUMN], b.errors) for b in bad] == [(first, ["Churn: extra field not permitted"])]
+
+
+def test_segments_scale_their_rows_once_for_all_runs(spark, monkeypatch):
+    from churnkit.ml import segment
+
+    fits, plain = [], segment.StandardScaler.fit
+    monkeypatch.setattr(segment.StandardScaler, "fit", lambda self, *a: fits.append(1) or plain(self, *a))
+    r = np.random.default_rng(1)
+    rows = frame(spark, [base_row(customerID=f"T-{i}", tenure=int(r.integers(0, 73)), MonthlyCharges=float(r.integers(20, 110))) for i in range(60)])
+    model = segment.fit_segmentation(rows, n_init=3)
+    assert len(fits) == 1 and {r.ValueSegment for r in segment.assign_value_segment(rows, model).collect()} == {"Low", "Mid", "High"}
+    assert segment.silhouette_diagnostic(rows, ks=(2, 3)).count() == 2 and len(fits) == 2
