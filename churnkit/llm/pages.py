@@ -7,8 +7,10 @@ longest common subsequence, and lines outside a main container that both share a
 Differencing alone cannot tell a page's own advert, menu words or notice from its article, since
 they need not recur on the nearest page, and it would delete an article that a mirror repeats.  So
 marked-up chrome goes first (navigation, header, footer, aside, form and similar elements, and
-elements whose class, id or role says so, but none that wraps the page's article), a page that marks its article (``article`` or ``main``)
-is reduced to it, and lines within such a container are aligned but not deleted.
+elements whose class, id or role says so, but none that wraps the page's article), and a page that marks its article (``article`` or ``main``)
+is reduced to it.  Within such a container differencing decides on lines of nothing but link text: those that the neighbour
+shares are a menu that nothing marks, unless the neighbour shares most of the other lines too, which makes it a copy of the article.  Other
+lines of a container stay though shared, since articles quote each other's.
 
 Pages are dealt out by ranges of (host, path, id), so a host of any size is spread, and the first
 and last page of a range also go to the ranges beside it.
@@ -46,7 +48,7 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
     tfoot th thead title tr ul""".split())
 #: An open element on the left ends where one on the right begins.
 ENDS = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
-        "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+        "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}, "a": {"a"}}
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar menu menus nav navbar
     navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal
     overlay newsletter subscribe subscription signup login comment comments commentlist disqus replies respond share sharing
@@ -88,38 +90,48 @@ def _chrome(tag: str, attributes: str, inside: bool) -> set[str]:
 
 
 def blocks(html: str) -> tuple[list[str], list[bool]]:
-    """Text blocks of a page without its marked-up chrome, in page order, and whether each lies in a main container.
+    """Text blocks of a page without its marked-up chrome, in page order, and whether each lies in a main container."""
+    return linked_blocks(html)[:2]
+
+
+def linked_blocks(html: str) -> tuple[list[str], list[bool], list[bool]]:
+    """``blocks``, and whether each is nothing but link text.
 
     An element that holds the page's main container is no chrome, whatever its name; nor is a form that holds all of its text.
     """
-    texts, inside, seen = _blocks(html)
+    texts, inside, linked, seen = _blocks(html)
     if "container" in seen and not any(inside):
-        texts, inside, seen = _blocks(html, "container")
+        texts, inside, linked, seen = _blocks(html, "container")
     if "form" in seen and not texts:
-        texts, inside, seen = _blocks(html, "form")
-    return texts, inside
+        texts, inside, linked, seen = _blocks(html, "form")
+    return texts, inside, linked
 
 
-def _blocks(html: str, kept: str = "") -> tuple[list[str], list[bool], set[str]]:
-    """``blocks``, and whether chrome held a container or a form was chrome; with ``kept``, such chrome stays."""
-    texts, inside, parts = [], [], []
+def _blocks(html: str, kept: str = "") -> tuple[list[str], list[bool], list[bool], set[str]]:
+    """``linked_blocks``, and whether chrome held a container or a form was chrome; with ``kept``, such chrome stays."""
+    texts, inside, linked, parts = [], [], [], []
     seen: set[str] = set()
     open_tags: list[tuple[str, set[str]]] = []  # name, what makes it chrome
-    chrome = main = 0
+    chrome = main = links = 0
+    plain = False  # whether the block has text outside links
     at, n = 0, len(html)
 
     def flush() -> None:
+        nonlocal plain
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
             texts.append(text)
             inside.append(main > 0)
+            linked.append(not plain)
+        plain = False
 
     def close(depth: int) -> None:
-        nonlocal chrome, main
+        nonlocal chrome, main, links
         while len(open_tags) > depth:
             name, off = open_tags.pop()
             chrome -= bool(off)
+            links -= name == "a"
             main -= name in CONTAINER and not off
 
     while at < n:
@@ -128,6 +140,7 @@ def _blocks(html: str, kept: str = "") -> tuple[list[str], list[bool], set[str]]
             break
         if not chrome and m.start() > at:
             parts.append(html[at:m.start()])
+            plain = plain or not links and not parts[-1].isspace()
         at = m.end()
         if m[2] is None:
             continue
@@ -172,10 +185,12 @@ def _blocks(html: str, kept: str = "") -> tuple[list[str], list[bool], set[str]]
         open_tags.append((tag, off))
         chrome += bool(off)
         main += tag in CONTAINER and not off
+        links += tag == "a"
     if not chrome and at < n:
         parts.append(html[at:])
+        plain = plain or not links and not parts[-1].isspace()
     flush()
-    return texts, inside, seen
+    return texts, inside, linked, seen
 
 
 def _rows(a: list, b: list) -> list[int]:
@@ -240,11 +255,16 @@ def _nearness(a: str, b: str) -> int:
     return n
 
 
-def main_text(lines: list[str], inside: list[bool], neighbour: list[str] | None) -> list[str]:
-    """Lines that stay: those in a main container if there is one, else those that the neighbour does not share."""
+def main_text(lines: list[str], inside: list[bool], neighbour: list[str] | None, linked: list[bool] | None = None) -> list[str]:
+    """Lines that stay: those that the neighbour does not share.  If there is a main container, only its lines, and of those that the neighbour shares
+    only what is nothing but link text goes, as long as the neighbour is no copy of the rest."""
     shared = set(common(lines, neighbour)) if neighbour else set()
     if any(inside):
-        return [x for x, own in zip(lines, inside, strict=True) if own]
+        own = [i for i, x in enumerate(inside) if x]
+        text = [i for i in own if not (linked and linked[i])]
+        if not text or 2 * len(shared.intersection(text)) > len(text):
+            return [lines[i] for i in own]
+        return [lines[i] for i in own if i not in shared or not linked or not linked[i]]
     return [x for i, x in enumerate(lines) if i not in shared]
 
 
@@ -280,14 +300,14 @@ def extract(df: DataFrame) -> DataFrame:
         for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             k = key_of(page_id, url)
             own = bisect_right(lows, k) - 1
-            lines, inside = blocks(html)
-            out.append((own, False, k, page_id, url, lines, inside))
+            found = linked_blocks(html)
+            out.append((own, False, k, page_id, url, *found))
             if first.get(k, 0) > 0:
-                out.append((own - 1, True, k, page_id, url, lines, inside))
+                out.append((own - 1, True, k, page_id, url, *found))
             if last.get(k, len(ends)) < len(ends) - 1:
-                out.append((own + 1, True, k, page_id, url, lines, inside))
-        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())]
-        names = ["part", "extra", "key", "page_id", "url", "lines", "inside"]
+                out.append((own + 1, True, k, page_id, url, *found))
+        kinds = [pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_())]
+        names = ["part", "extra", "key", "page_id", "url", "lines", "inside", "linked"]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +321,7 @@ def extract(df: DataFrame) -> DataFrame:
             for page_id, url, path in same:
                 k = max(range(len(near)), key=lambda k: _nearness(path, near[k][0]), default=None)
                 if k not in texts:
-                    texts[k] = " ".join(main_text(like[2], like[3], None if k is None else near[k][1]))
+                    texts[k] = " ".join(main_text(like[2], like[3], None if k is None else near[k][1], like[4]))
                 done.append((page_id, url, texts[k]))
 
         def batch_of() -> pa.RecordBatch:
@@ -311,13 +331,13 @@ def extract(df: DataFrame) -> DataFrame:
 
         last_path = ""
         for batch in batches:
-            for part, extra, key, page_id, url, lines, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, extra, key, page_id, url, lines, inside, linked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 host, path, _ = key.split("\0")
-                if like != (part, host, lines, inside):
+                if like != (part, host, lines, inside, linked):
                     beside = like is not None and like[:2] == (part, host)
                     settle((path, lines) if beside else None)
                     before = (last_path, like[2]) if beside else None
-                    like, same = (part, host, lines, inside), []
+                    like, same = (part, host, lines, inside, linked), []
                 last_path = path
                 if not extra:
                     same.append((page_id, url, path))
@@ -327,5 +347,5 @@ def extract(df: DataFrame) -> DataFrame:
         if done:
             yield batch_of()
 
-    parsed = arrow_map(rows, parse, "part int, extra boolean, key string, page_id long, url string, lines array<string>, inside array<boolean>")
+    parsed = arrow_map(rows, parse, "part int, extra boolean, key string, page_id long, url string, lines array<string>, inside array<boolean>, linked array<boolean>")
     return (parsed.repartition(parts, "part").sortWithinPartitions("part", "key", "extra").mapInArrow(run, "page_id long, url string, text string"))

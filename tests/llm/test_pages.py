@@ -86,3 +86,12 @@ def test_query(spark):
 def test_only_chrome_goes(html, text):
     lines, inside = pages.blocks(html)
     assert " ".join(pages.main_text(lines, inside, None)) == text
+
+
+def test_differencing_finds_an_unmarked_menu_within_the_main_container(spark):
+    menu = "<div><a href=/>Home</a> <a href=/n>News</a></div>"
+    page = lambda *p: f"<body><main>{menu}{''.join(f'<p>{x}</p>' for x in p)}</main>"
+    rows = [(1, "http://a.com/x/1", page("first story", "a quote", "see <a href=q>here</a>")), (2, "http://a.com/x/2", page("second story", "a quote", "its end")),
+            (3, "http://b.com/x/1", page("alone")), (4, "http://c.com/1", page("one", "two", "three")), (5, "http://c.com/2", page("one", "two", "other"))]
+    got = {r.page_id: r.text for r in pages.extract(frame(spark, rows)).collect()}
+    assert got == {1: "first story a quote see here", 2: "second story a quote its end", 3: "Home News alone", 4: "Home News one two three", 5: "Home News one two other"}
