@@ -173,6 +173,34 @@ def test_forest_grows_to_pure_leaves_and_splits_by_gini(training):
     assert gain[0][0] == pytest.approx(best[0] - (y.sum() ** 2 + (len(y) - y.sum()) ** 2) / len(y))
 
 
+def test_forest_cuts_of_many_small_nodes_take_no_room_for_bins_that_do_not_occur():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    nodes, rows, numeric, slots = 6000, 4, 3, 5
+    node = np.repeat(np.arange(nodes), rows)
+    codes = np.concatenate([r.integers(0, NUMERIC_BINS, (len(node), numeric)), r.integers(0, LEVEL_BINS, (len(node), slots - numeric))], axis=1).astype(np.uint8)
+    y, w = r.integers(0, 2, len(node)).astype(float), r.integers(1, 4, len(node)).astype(float)
+    total, pos = np.bincount(node, w), np.bincount(node, w * y)
+    some = np.argsort(r.random((nodes, slots)), axis=1)[:, :4]
+    gain, slot, cut = np.full(nodes, -1.0), np.full(nodes, -1), np.zeros(nodes, np.int64)
+    tracemalloc.start()
+    forest._try(codes, np.arange(len(node)), node, w, w * y, some, (pos > 0) & (pos < total), total, pos, numeric, gain, slot, cut)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    score = lambda a, b: (b**2 + (a - b) ** 2) / a
+    for k in range(0, nodes, 37):
+        own = node == k
+        best = -1.0
+        if 0 < pos[k] < total[k]:
+            for s in some[k]:
+                for c in range(NUMERIC_BINS):
+                    on = own & (codes[:, s] <= c)
+                    if 0 < w[on].sum() < total[k]:
+                        best = max(best, score(w[on].sum(), (w * y)[on].sum()) + score(total[k] - w[on].sum(), pos[k] - (w * y)[on].sum()) - score(total[k], pos[k]))
+        assert gain[k] == pytest.approx(best)
+
+
 def test_forest_does_not_depend_on_partitions_and_bounds_its_bags(spark, training, monkeypatch):
     encoder, table = training.encoder(), training.blocks(True)
     trees = [sorted(map(tuple, forest.train(t, encoder, [0, 5], 4, 1).collect())) for t in (table, table.repartition(5))]
