@@ -415,3 +415,18 @@ def test_segments_scale_their_rows_once_for_all_runs(spark, monkeypatch):
     model = segment.fit_segmentation(rows, n_init=3)
     assert len(fits) == 1 and {r.ValueSegment for r in segment.assign_value_segment(rows, model).collect()} == {"Low", "Mid", "High"}
     assert segment.silhouette_diagnostic(rows, ks=(2, 3)).count() == 2 and len(fits) == 2
+
+
+def test_runs_of_k_means_hold_their_vectors_themselves(spark, monkeypatch):
+    from churnkit.ml import segment
+
+    seen, plain = [], segment.KMeans.fit
+    monkeypatch.setattr(segment.KMeans, "fit", lambda self, rows, *a: seen.append(rows.storageLevel.useMemory) or plain(self, rows, *a))
+    r = np.random.default_rng(2)
+    rows = frame(spark, [base_row(customerID=f"T-{i}", tenure=int(r.integers(0, 73)), MonthlyCharges=float(r.integers(20, 110))) for i in range(60)])
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    segment.fit_segmentation(rows, n_init=2)
+    segment.silhouette_diagnostic(rows, ks=(2,))
+    # of an input that is held already, k-means would decode every row anew in each iteration
+    assert seen == [False] * 3
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
