@@ -94,3 +94,16 @@ def test_cut_keeps_columns_and_whole_characters(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in queries.op2_suffix_dedup(spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_expansion_tells_rows_apart_by_their_first_symbols():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        base = r.integers(0, 3, 120).astype(np.int64) + 40
+        parts = [np.r_[base[:r.integers(20, 120)], r.integers(40, 44, r.integers(1, 30)), k] for k in range(12)]
+        symbols = np.concatenate(parts)
+        order, bwt = suffix.transform(symbols)
+        for length in (1, 2, 7, 40, 100):
+            heads = [symbols[i:i + length].tolist() for i in order.tolist()]
+            want = np.cumsum([False] + [a != b for a, b in zip(heads, heads[1:])])
+            assert (suffix.expand(bwt, length) == want).all()
