@@ -527,3 +527,39 @@ def test_rows_stop_where_following_them_ends(nodes):
         while feature[want[i]] >= 0:
             want[i] = left[want[i]] + (codes[feature[want[i]], i] > cut[want[i]])
     assert (boosting.reached(codes, feature, cut, left, np.arange(nodes)) == want).all()
+
+
+def test_forest_compares_slots_of_few_rows_together(monkeypatch):
+    r = np.random.default_rng(4)
+    codes = np.c_[r.integers(0, NUMERIC_BINS, (1500, 2)), r.integers(0, LEVEL_BINS, (1500, 1)), r.integers(0, 2, (1500, 33)) * (LEVEL_BINS - 1)].astype(np.uint8)
+    y, calls, plain = (r.random(1500) < 0.4).astype(float), [], forest._purity
+    monkeypatch.setattr(forest, "_purity", lambda *a: calls.append(len(a[0])) or plain(*a))
+    trees, passes = [], []
+    for together in (1, 500, forest.TOGETHER):
+        monkeypatch.setattr(forest, "TOGETHER", together)
+        calls.clear()
+        trees.append(forest.grow(codes, y, 2, np.random.default_rng(2)))
+        passes.append(len(calls))
+    for other in trees[1:]:
+        assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(trees[0], other, strict=True))
+    assert passes[2] < passes[1] < passes[0] and passes[2] < passes[0] / 4
+
+
+def test_every_group_of_trees_has_a_task_of_its_own(spark, training):
+    fits = list(range(6))
+    found = forest.train(training.blocks(True), training.encoder(), fits, forest.GROUP_TREES + 1, 1).select("fit", "tree", F.spark_partition_id().alias("task")).collect()
+    groups = {(r["fit"], r["tree"] // forest.GROUP_TREES): r["task"] for r in found}
+    assert len(found) == len(fits) * (forest.GROUP_TREES + 1) and len(set(groups.values())) == len(groups) == 2 * len(fits)
+
+
+def test_few_blocks_are_dealt_out_evenly(spark, training, tmp_path):
+    given, slots = training.blocks(False).coalesce(1), spark.sparkContext.defaultParallelism
+    table = given.crossJoin(F.broadcast(spark.range(10 * slots))).drop("id")
+    for _ in range(slots - 1):
+        table = table.union(given)
+    booster = boosting.Booster(spark, table, training.encoder(), [boosting.Job("x", B.WHOLE, boosting.Boosted())], str(tmp_path), 1)
+    booster.tasks = table.rdd.getNumPartitions()
+    booster._begun(np.zeros(1)).unpersist()
+    dealt = [r["count"] for r in spark.read.parquet(f"{tmp_path}/margins-0").groupBy(F.input_file_name()).count().collect()]
+    n = given.count()
+    assert sum(dealt) == n * (11 * slots - 1) and max(dealt) <= n * (10 + slots)
