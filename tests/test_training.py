@@ -563,3 +563,58 @@ def test_few_blocks_are_dealt_out_evenly(spark, training, tmp_path):
     dealt = [r["count"] for r in spark.read.parquet(f"{tmp_path}/margins-0").groupBy(F.input_file_name()).count().collect()]
     n = given.count()
     assert sum(dealt) == n * (11 * slots - 1) and max(dealt) <= n * (10 + slots)
+
+
+def test_forest_learns_from_all_rows_of_its_fit(spark, training):
+    encoder, given = training.encoder(), training.blocks(False)
+    n = sum(int(b.used(0).sum()) for b in local(given, encoder))
+    table = given.crossJoin(F.broadcast(spark.range(230_000 // n))).drop("id")
+    roots = [np.frombuffer(r["cover"], "<f8")[0] for r in forest.train(table, encoder, [0], 2, 1).collect()]
+    assert roots == [n * (230_000 // n)] * 2  # every tree draws as many rows as there are, and n is over 200,000
+
+
+def test_forest_of_a_fit_that_no_task_can_hold(spark, training, tmp_path, monkeypatch):
+    encoder, table = training.encoder(), training.blocks(True)
+    codes, _, y = rows_of(training, 5)
+    monkeypatch.setattr(forest, "TASK_ROWS", 150)
+    monkeypatch.setattr(forest, "GROUP_TREES", 2)
+    found = [sorted(map(tuple, forest.train(t, encoder, [5], 4, 1).collect())) for t in (table, table.repartition(5))]
+    assert found[0] == found[1]
+    pieces = [r for r in found[0] if r[7]]
+    assert len(pieces) > 40 and max(np.frombuffer(r[6], "<f8")[0] for r in pieces) <= 150 and {r[1] for r in found[0] if not r[7]} == set(range(4))
+    trees = ensemble.joined_trees(encoder, False, 0.0, [r[1:] for r in found[0]])
+    # children share out their parent's rows, leaves are pure or of equal rows, and all rows are drawn about once
+    inner = np.flatnonzero(trees.feature >= 0)
+    assert np.allclose(trees.cover[inner], trees.cover[trees.left[inner]] + trees.cover[trees.left[inner] + 1]) and len(trees.roots) == 4
+    assert abs(trees.cover[trees.roots].mean() / len(y) - 1) < 0.06
+    leaves = trees.leaves(codes)
+    for leaf in np.unique(leaves[:, 0]):
+        rows = codes[leaves[:, 0] == leaf]
+        assert trees.cover[leaf] > 0 and (trees.value[leaf] in (0.0, 1.0) or len(np.unique(rows, axis=0)) < len(rows) + (len(rows) == 1))
+    p = trees.value[leaves].mean(axis=1)
+    assert (p[y == 1][:, None] > p[y == 0][None, :]).mean() > 0.9
+    # in slices it says the same, and the leaves of every node count once
+    monkeypatch.undo()
+    monkeypatch.setattr(ensemble, "MODEL_NODES", 200)
+    rows = [tuple(r) for r in found[0]]
+    spark.createDataFrame(rows, forest.TREES).write.parquet(f"{tmp_path}/trees")
+    ensemble.describe(spark, encoder, f"{tmp_path}/model", boosted=False, base=0.0, table=f"{tmp_path}/trees", fit=5)
+    parts = list(ensemble.slices(spark, f"{tmp_path}/model"))
+    assert len(parts) > 10 and {n for _, n in parts} == {4}
+    assert np.allclose(sum(t.value[t.leaves(codes)].sum(axis=1) for t, _ in parts) / 4, p, atol=1e-12)
+    back = ensemble.load(spark, f"{tmp_path}/model")
+    assert np.allclose(back.value[back.leaves(codes)].mean(axis=1), p, atol=1e-12)
+
+
+def test_forest_scores_do_not_depend_on_slices(spark, training, tmp_path, monkeypatch):
+    from churnkit.ml.score import ModelScorer, write_forest_scores
+
+    training.ensure(["RandomForest"])
+    rows = training.split.withColumn("y", F.col(K.TARGET_COLUMN).cast("int"))
+    want = {r[0]: r[1] for r in ModelScorer(training.model("RandomForest", 0)).transform(rows).select(K.ID_COLUMN, "p").collect()}
+    monkeypatch.setattr(ensemble, "MODEL_NODES", 1000)
+    assert len(list(ensemble.slices(spark, training.ledger.path("RandomForest", 0)))) > 2
+    write_forest_scores(rows, f"{tmp_path}/scores", training.ledger.path("RandomForest", 0), "x", [K.ID_COLUMN, "y", "fold"])
+    found = spark.read.parquet(f"{tmp_path}/scores").collect()
+    assert len(found) == len(want) and all(abs(r["p"] - want[r[K.ID_COLUMN]]) < 1e-12 and r["name"] == "x" for r in found)
+    assert [p.name for p in tmp_path.iterdir()] == ["scores"]
