@@ -7,8 +7,9 @@ again, and visits the leaves that come out.  How many leaves a query visits is c
 bounded sample of queries the true neighbours are found by comparing with all vectors, and the
 number of visits is widened until the share of true neighbours in visited leaves reaches a target.
 
-Equal vectors are indexed once, with as many of their smallest ids as a result can hold.  A leaf
-with very many vectors is searched in blocks.
+Equal vectors are indexed once, with as many of their smallest ids as a result can hold.  Leaves that
+lie beside each other are searched together, so a query travels once to a group of leaves, however
+many of them it visits.  A leaf with very many vectors is searched in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 neither do rows with a null id, nor vectors whose length is not the most frequent one; repeated
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 
 from churnkit.llm.common import arrow_map, prepare, stash
 
-#: Bounds of the fit: distinct vectors it sees, queries it calibrates with, ways of a node, vectors of a block of a leaf.
-SAMPLE, CALIBRATION, WAYS, BLOCK = 20_000, 256, 16, 4096
+#: Bounds of the fit: distinct vectors it sees, queries it calibrates with, ways of a node.
+SAMPLE, CALIBRATION, WAYS = 20_000, 256, 16
+#: Vectors that are searched together: at least, where there are so many, and at most; components they may have.
+BLOCK, MOST_BLOCK, BLOCK_CELLS = 4096, 1 << 15, 1 << 21
+#: Numbers that a task computes or sends on at once: scores of queries, components of the vectors of their visits.
+CELLS = 1 << 20
 #: Vectors of a leaf that the fit aims at, and the least share of them a leaf must have in the sample.
 LEAF, LEAST_SAMPLED = 400, 8
 
@@ -129,6 +134,25 @@ def _best(ids: np.ndarray, least: np.ndarray, scores: np.ndarray, k: int) -> np.
     return some[np.lexsort((least[some], -scores[some]))[:k]]
 
 
+def _groups(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first group of each leaf, its groups, and the number of all groups: leaves in turn share one of ``most`` vectors, a larger leaf
+    is dealt out to several."""
+    first, blocks, room, groups = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes):
+        if n > room or not groups:
+            blocks[leaf] = max(1, -(-n // most))
+            groups, room = groups + int(blocks[leaf]), most if n <= most else 0
+        first[leaf] = groups - blocks[leaf]
+        room = max(room - n, 0)
+    return first, blocks, max(groups, 1)
+
+
+def _parts(batch: pa.RecordBatch, cells: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at a time that ``cells`` numbers for each make ``CELLS``, one at least."""
+    step = max(1, CELLS // max(cells, 1))
+    return (batch.slice(low, step) for low in range(0, batch.num_rows, step))
+
+
 def nearest(df: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0.97, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``query_every``, the ``k`` rows found with
     the largest inner products, its own id excepted.  ``recall`` is the share of true neighbours that the calibration asks for.
@@ -159,47 +183,70 @@ def nearest(df: DataFrame, k: int = 20, query_every: int = 20, recall: float = 0
     asked = stash(queries.groupBy("v").agg(F.min("vec_id").alias("q")), "asked")  # equal queries are asked once, under their smallest id
     visits = _calibrate(index, asked, tree, centers, most, recall)
 
-    def visit(batch: pa.RecordBatch) -> pa.Table:
-        found = [tree.order(s, visits) for s in (_matrix(batch.column(0)) @ centers.T).tolist()]
-        again = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        return pa.table({"leaf": pa.array(np.concatenate(found), pa.int32()), "v": batch.column(0).take(again), "q": batch.column(1).take(again)})
-
-    sizes = index.groupBy("leaf").count()
-    blocks = sizes.select(F.col("leaf").alias("of"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
+    dims, slots = sample.shape[1], spark.sparkContext.defaultParallelism
+    first, blocks, groups = _groups([sizes.get(leaf, 0) for leaf in range(tree.leaves)], max(1, min(MOST_BLOCK, BLOCK_CELLS // dims, max(BLOCK, n // (4 * slots)))))
+
+    def visit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # a batch holds thousands of queries, and each goes with its vector to all groups it visits
+        for some in _parts(batch, max(len(centers), visits + dims * min(visits, groups))):
+            number, group, leaves = [], [], []
+            for i, scores in enumerate((_matrix(some.column(0)) @ centers.T).tolist()):
+                leaf = np.sort(np.array(tree.order(scores, visits), np.int32))
+                at = np.repeat(first[leaf] - np.cumsum(blocks[leaf]) + blocks[leaf], blocks[leaf]) + np.arange(blocks[leaf].sum())
+                leaf = np.repeat(leaf, blocks[leaf])
+                order = np.argsort(at, kind="stable")
+                at, leaf = at[order], leaf[order]
+                edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                number += [i] * len(edges)
+                group += at[edges].tolist()
+                leaves += [x.astype("<i4").tobytes() for x in np.split(leaf, edges[1:])]
+            take = pa.array(number, pa.int64())
+            yield pa.record_batch({"group": pa.array(group, pa.int32()), "v": some.column(0).take(take), "q": some.column(1).take(take), "leaves": pa.array(leaves, pa.binary())})
+
+    of = spark.createDataFrame([(leaf, int(first[leaf]), int(blocks[leaf])) for leaf in range(tree.leaves)], "of int, first int, blocks int")
     none = F.array().cast("array<bigint>")
-    stored = index.join(F.broadcast(blocks), F.col("leaf") == F.col("of")).select("leaf", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "v", "ids",
-                                                                                           F.lit(0).cast("long").alias("q"))
-    wanted = arrow_map(asked, visit, "leaf int, v binary, q long").join(F.broadcast(blocks), F.col("leaf") == F.col("of"))
-    wanted = wanted.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "v", none.alias("ids"), "q")
+    stored = index.join(F.broadcast(of), F.col("leaf") == F.col("of")).select(
+        (F.col("first") + F.pmod(F.xxhash64("v"), F.col("blocks"))).cast("int").alias("group"), F.lit(0).alias("kind"), "leaf", "v", "ids", F.lit(0).cast("long").alias("q"), F.lit(b"").alias("leaves"))
+    wanted = arrow_map(asked, visit, "group int, v binary, q long, leaves binary").select("group", F.lit(1).alias("kind"), F.lit(-1).alias("leaf"), "v", none.alias("ids"), "q", "leaves")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, x, ids, least = None, [], None, None, None
+        key, held, x, leaf_of, ids, least = None, [], None, None, None, None
         for batch in batches:
-            leaf, block, kind = (batch.column(i).to_numpy() for i in range(3))
-            edges = np.flatnonzero(np.r_[True, (leaf[1:] != leaf[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])]).tolist()
-            for a, b in zip(edges, [*edges[1:], len(leaf)], strict=True):
-                part, own = batch.slice(a, b - a), (leaf[a], block[a])
-                if own != key:
-                    key, held, x = own, [], None
+            group, kind = (batch.column(i).to_numpy() for i in range(2))
+            edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (kind[1:] != kind[:-1])]).tolist()
+            for a, b in zip(edges, [*edges[1:], len(group)], strict=True):
+                part = batch.slice(a, b - a)
+                if group[a] != key:
+                    key, held, x = group[a], [], None
                 if kind[a] == 0:
                     held.append(part)
                     continue
                 if not held:
                     continue
                 if x is None:
-                    x = np.concatenate([_matrix(h.column(3)) for h in held])
+                    x, leaf_of = np.concatenate([_matrix(h.column(3)) for h in held]), np.concatenate([h.column(2).to_numpy() for h in held])
                     ids = [i for h in held for i in h.column(4).to_pylist()]
                     least = np.array([i[0] for i in ids])
-                q = part.column(5).to_numpy()
-                scores = _matrix(part.column(3)) @ x.T
-                best = [_best(ids, least, s, most) for s in scores]
-                rows_of = np.repeat(np.arange(len(best)), [len(t) for t in best])
-                flat = np.concatenate(best)
-                yield pa.record_batch([pa.array(q[rows_of], pa.int64()), pa.array(scores[rows_of, flat], pa.float64()),
-                                       pa.array(least[flat], pa.int64()), pa.array([ids[i] for i in flat], pa.list_(pa.int64()))],
-                                      names=["q", "score", "least", "ids"])
-
-    pairs = stored.union(wanted).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "kind")
+                    held = held[:1]
+                for some in _parts(part, len(x)):
+                    q, vectors_ = some.column(5).to_numpy(), _matrix(some.column(3))
+                    visited = [np.isin(leaf_of, np.frombuffer(raw, "<i4")) for raw in some.column(6).to_pylist()]
+                    many = sum(map(np.count_nonzero, visited)) * 4 > len(x) * len(q)
+                    scores = vectors_ @ x.T if many else None
+                    best, values = [], []
+                    for i, own in enumerate(visited):
+                        own = np.flatnonzero(own)
+                        found = scores[i, own] if many else x[own] @ vectors_[i]
+                        top = _best(ids, least[own], found, most)
+                        best.append(own[top])
+                        values.append(found[top])
+                    flat = np.concatenate(best)
+                    yield pa.record_batch([pa.array(np.repeat(q, [len(t) for t in best]), pa.int64()), pa.array(np.concatenate(values), pa.float64()),
+                                           pa.array(least[flat], pa.int64()), pa.array([ids[i] for i in flat], pa.list_(pa.int64()))],
+                                          names=["q", "score", "least", "ids"])
+
+    pairs = stored.union(wanted).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
     found = pairs.mapInArrow(search, "q long, score double, least long, ids array<long>")
     found = _ranked(found, ["q"], most, F.desc("score"), F.col("least")).select("q", "score", F.explode("ids").alias("found"))
     found = _ranked(found, ["q"], most, F.desc("score"), F.col("found")).select("q", "score", "found")
@@ -227,6 +274,12 @@ def _calibrate(index: DataFrame, asked: DataFrame, tree: Tree, centers: np.ndarr
         return pa.table({"q": pa.array(number, pa.int32()), "score": pa.array(scores[number, flat], pa.float64()), "leaf": pa.array(leaf[flat], pa.int32())})
 
     true = _ranked(arrow_map(index.select("leaf", "v"), compare, "q int, score double, leaf int"), ["q"], most, F.desc("score")).select("q", "leaf").collect()
-    turn = [{leaf: t for t, leaf in enumerate(tree.order(s, tree.leaves))} for s in (q @ centers.T).tolist()]
-    needed = np.sort([turn[r.q][r.leaf] for r in true])
+    own: list[list[int]] = [[] for _ in some]
+    for r in true:
+        own[r.q].append(r.leaf)
+    needed = []
+    for vector, leaves in zip(q, own, strict=True):  # one query at a time: its order names all leaves
+        turn = {leaf: t for t, leaf in enumerate(tree.order((vector @ centers.T).tolist(), tree.leaves))}
+        needed += [turn[leaf] for leaf in leaves]
+    needed = np.sort(needed)
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1

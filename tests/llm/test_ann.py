@@ -1,6 +1,7 @@
 """Nearest neighbours: exact where all leaves are visited, recall against brute force, odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from churnkit.llm import ann, queries
@@ -63,3 +64,24 @@ def test_recall_of_the_query(spark, monkeypatch):
     got, want = as_dict(queries.op9_ann(spark, SF01).collect()), brute(rows)
     assert set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
     assert np.mean([len({j for _, j in got[q]} & {j for _, j in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_leaves_share_groups_and_large_ones_are_dealt_out():
+    first, blocks, groups = ann._groups([3, 4, 5, 25, 0, 10, 1], 10)
+    assert first.tolist() == [0, 0, 1, 2, 4, 5, 6] and blocks.tolist() == [1, 1, 1, 3, 1, 1, 1] and groups == 7
+    assert ann._groups([], 10)[2] == 1
+
+
+def test_a_batch_of_queries_is_taken_in_parts(spark, monkeypatch):
+    """Neither the scores of a whole batch nor the vectors of all its visits are held at once, and a query travels once to a group."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for most, cells in ((ann.MOST_BLOCK, ann.CELLS), (100, 500)):
+        monkeypatch.setattr(ann, "MOST_BLOCK", most)
+        monkeypatch.setattr(ann, "CELLS", cells)
+        got, want = as_dict(ann.nearest(df, recall=1.0).collect()), brute(rows)
+        assert set(got) == set(want)
+        assert all([j for _, j in got[q]] == [j for _, j in want[q]] for q in want)
+    batch = pa.record_batch({"x": pa.array(range(1000))})
+    assert [len(p) for p in ann._parts(batch, 200)] == [2] * 500 and [len(p) for p in ann._parts(batch, 10_000)] == [1] * 1000
